@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 Z95 = 1.959963984540054
 
@@ -60,7 +60,7 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_1df_p(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Upper tail of chi-square(1) for a column of aggregated statistics."""
     for stat in batches:

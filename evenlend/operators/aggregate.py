@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.missing import FLOATING
 from .categorical import encode_sorted
-from .columns import columns_of_type
+from .columns import columns_of_type, map_columns
 from .joins import left_attach, lookup_join
 from .ordering import exact_quantiles
 
@@ -114,9 +114,15 @@ def summarise_nested(
     parent_key: str,
     stats: Sequence[str] = SIX,
     infinite_empty: bool = False,
+    digits: int = 9,
 ) -> DataFrame:
-    """Grandchild rows summarised per child, attached to the child, then summarised again per parent."""
+    """Grandchild rows summarised per child, attached to the child, then summarised again per parent.
+
+    Inner means and deviations are rounded to ``digits`` decimals: the last bits of a distributed sum depend
+    on the order of its parts, and the outer distinct counts must not.
+    """
     inner = encode_and_summarise(grand, child_key, stats=stats, infinite_empty=infinite_empty)
+    inner = map_columns(inner, lambda f: f.name.endswith(("_mean", "_sd")), lambda c: F.round(c, digits))
     coded = encode_sorted(child, columns_of_type(child, T.StringType, exclude=[child_key, parent_key]))
     wide = left_attach(coded, inner, child_key).drop(child_key)
     return summarise_all(wide, parent_key, stats, counts_from=child, infinite_empty=infinite_empty)

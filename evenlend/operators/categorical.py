@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalars import locale_key
 from ..session import LEVEL_CAP
@@ -57,7 +57,7 @@ def _ordered(levels: DataFrame, sort: Column, cap: int = LEVEL_CAP) -> DataFrame
     if len(rows) > cap:
         return position_by(levels, sort, "ord").withColumn("ord", F.col("ord").cast("int"))
     ranked = sorted(rows, key=lambda r: tuple(r["__sort"]))
-    schema = levels.schema.add("ord", "int")
+    schema = T.StructType([*levels.schema.fields, T.StructField("ord", T.IntegerType())])
     names = levels.columns
     return levels.sparkSession.createDataFrame(
         [(*[r[c] for c in names], i + 1) for i, r in enumerate(ranked)], schema

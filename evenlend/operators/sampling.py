@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import cut_lineage
 from .frequency import freq
@@ -76,7 +76,7 @@ def stratified_exact(
 
 
 def _size_table(df: DataFrame, group: str, sizes: Mapping[object, int]) -> DataFrame:
-    schema = df.select(group).schema.add("size", "bigint")
+    schema = T.StructType([df.schema[group], T.StructField("size", T.LongType())])
     return df.sparkSession.createDataFrame([(g, int(n)) for g, n in sizes.items()], schema)
 
 
