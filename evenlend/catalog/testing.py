@@ -12,7 +12,7 @@ def erfc_sql(z: str, steps: int = 400) -> str:
     """erfc by Simpson's rule over [0, z]."""
     h = f"(({z}) / {steps})"
     return (
-        f"(1 - 2 / sqrt(pi()) * {h} / 3 * list_sum(["
+        f"greatest(0::DOUBLE, 1 - 2 / sqrt(pi()) * {h} / 3 * list_sum(["
         f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(i * {h}, 2)) "
         f"FOR i IN range(0, {steps + 1})]))"
     )

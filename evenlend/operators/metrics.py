@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.formulas import Z95
@@ -9,21 +11,21 @@ from ..functions.scalars import above
 from .ordering import BUCKET, exact_quantiles, running_totals, value_counts_long
 
 
-def score_steps(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row per distinct score with its positives ``p``, negatives ``q`` and the counts at or below it."""
-    scored = df.select(F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("s")).filter(
-        F.col("y").isNotNull()
-    )
+def score_steps(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
+    """One row per (group and) distinct score: its positives ``p``, negatives ``q`` and the counts up to it."""
+    scored = df.select(
+        *[F.col(f"`{g}`") for g in groups], F.col(label).cast("int").alias("__y"), F.col(score).cast("double").alias("__s")
+    ).filter(F.col("__y").isNotNull())
     points = (
-        value_counts_long(scored, ["s"], ["y"])
-        .groupBy("value", BUCKET)
+        value_counts_long(scored, ["__s"], [*groups, "__y"])
+        .groupBy(*groups, "value", BUCKET)
         .agg(
-            F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"),
-            F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"),
+            F.sum(F.when(F.col("__y") == 1, F.col("n")).otherwise(0)).alias("p"),
+            F.sum(F.when(F.col("__y") == 0, F.col("n")).otherwise(0)).alias("q"),
         )
     )
     return running_totals(
-        points, "value", {"cum_p": F.col("p"), "cum_q": F.col("q")}, bucket=BUCKET, with_group_total=True
+        points, "value", {"cum_p": F.col("p"), "cum_q": F.col("q")}, groups, bucket=BUCKET, with_group_total=True
     )
 
 
@@ -36,10 +38,12 @@ def _orientation(df: DataFrame, label: str, score: str, direction: str) -> float
     return -1.0 if medians.get(0, 0.0) > medians.get(1, 0.0) else 1.0
 
 
-def auc_ci(df: DataFrame, label: str, score: str, direction: str = "higher") -> DataFrame:
-    """One row ``n_pos, n_neg, auc, se, lower, upper``: mid-rank AUC and its DeLong 95% interval."""
+def auc_ci(
+    df: DataFrame, label: str, score: str, direction: str = "higher", groups: Sequence[str] = ()
+) -> DataFrame:
+    """``n_pos, n_neg, auc, se, lower, upper``: mid-rank AUC and its DeLong 95% interval, one row (per group)."""
     sign = _orientation(df, label, score, direction)
-    steps = score_steps(df, label, score)
+    steps = score_steps(df, label, score, groups)
     pos, neg = F.col("cum_p_all").cast("double"), F.col("cum_q_all").cast("double")
     below_q = (F.col("cum_q") - F.col("q")).cast("double")
     above_p = (F.col("cum_p_all") - F.col("cum_p")).cast("double")
@@ -47,7 +51,8 @@ def auc_ci(df: DataFrame, label: str, score: str, direction: str = "higher") ->
     v01 = (above_p + F.col("p") / 2.0) / pos
     if sign < 0:
         v10, v01 = 1.0 - v10, 1.0 - v01
-    sums = steps.select("p", "q", pos.alias("np"), neg.alias("nq"), v10.alias("v10"), v01.alias("v01")).agg(
+    names = [F.col(f"`{g}`") for g in groups]
+    sums = steps.select(*names, "p", "q", pos.alias("np"), neg.alias("nq"), v10.alias("v10"), v01.alias("v01")).groupBy(*groups).agg(
         F.max("np").alias("np"),
         F.max("nq").alias("nq"),
         F.sum(F.col("p") * F.col("v10")).alias("s10"),
@@ -61,7 +66,7 @@ def auc_ci(df: DataFrame, label: str, score: str, direction: str = "higher") ->
     var01 = F.try_divide(F.col("ss01") - F.col("s01") * F.col("s01") / nq_, nq_ - 1.0)
     se = F.sqrt(F.try_divide(var10, np_) + F.try_divide(var01, nq_))
     return (
-        sums.select(np_.cast("bigint").alias("n_pos"), nq_.cast("bigint").alias("n_neg"), auc.alias("auc"), se.alias("se"))
+        sums.select(*names, np_.cast("bigint").alias("n_pos"), nq_.cast("bigint").alias("n_neg"), auc.alias("auc"), se.alias("se"))
         .withColumn("lower", F.greatest(F.lit(0.0), F.col("auc") - F.lit(Z95) * F.col("se")))
         .withColumn("upper", F.least(F.lit(1.0), F.col("auc") + F.lit(Z95) * F.col("se")))
     )
