@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .glm import LogitModel, logit_fit, lr_test, make_design, pseudo_r2, score_logit
 from .metrics import auc_ci, confusion
+from .trees import BoostModel, gbt_score
 
-Scorer = Callable[[DataFrame], DataFrame]
+# Adds a score column of the given name to a table.
+Scorer = Callable[[DataFrame, str], DataFrame]
 
 
 def counterfactual_long(scenarios: DataFrame, attr: str, values: Sequence[object], scorers: Mapping[str, Scorer]) -> DataFrame:
@@ -18,7 +20,7 @@ def counterfactual_long(scenarios: DataFrame, attr: str, values: Sequence[object
     options = F.array(*[F.lit(v).cast(kind) if kind else F.lit(v) for v in values])
     out = scenarios.drop(attr).withColumn(attr, F.explode(options))
     for name, score in scorers.items():
-        out = score(out).withColumnRenamed("score", f"score_{name}")
+        out = score(out, f"score_{name}")
     return out
 
 
@@ -38,7 +40,7 @@ def counterfactual(scenarios: DataFrame, attr: str, values: Sequence[object], sc
         for v in values:
             column = f"{name}_{v}"
             out = out.withColumn(attr, F.lit(v).cast(kind) if kind else F.lit(v))
-            out = score(out).withColumnRenamed("score", column).drop(attr)
+            out = score(out, column).drop(attr)
             scored.append(column)
     gaps = [
         (F.col(f"`{n}_{values[-1]}`") - F.col(f"`{n}_{values[0]}`")).alias(f"{n}_gap") for n in scorers
@@ -48,7 +50,11 @@ def counterfactual(scenarios: DataFrame, attr: str, values: Sequence[object], sc
 
 
 def logit_scorer(model: LogitModel) -> Scorer:
-    return lambda df: score_logit(model, df)
+    return lambda df, out: score_logit(model, df, out)
+
+
+def boost_scorer(model: BoostModel) -> Scorer:
+    return lambda df, out: gbt_score(model, df, out)
 
 
 def metric_rows(scored: DataFrame, label: str, model: str, score: str = "score") -> DataFrame:

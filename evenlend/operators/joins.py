@@ -98,10 +98,11 @@ def recode_by_table(df: DataFrame, col: str, mapping: DataFrame, old: str, new:
 
 def ratio_of_groups(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, out: str = "ratio") -> DataFrame:
     """``a.value / b.value`` per key, aligned by key; a cell missing on either side counts as 0."""
-    left = a.select(*keys, F.col(value).alias("__a"))
-    right = b.select(*keys, F.col(value).alias("__b"))
-    both = left.join(right, list(keys), "full").fillna(0, ["__a", "__b"])
-    return both.select(*keys, F.try_divide(F.col("__a").cast("double"), F.col("__b").cast("double")).alias(out))
+    none = F.lit(None).cast("double")
+    left = a.select(*keys, F.col(value).cast("double").alias("__a"), none.alias("__b"))
+    right = b.select(*keys, none.alias("__a"), F.col(value).cast("double").alias("__b"))
+    both = left.unionByName(right).groupBy(*keys).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
+    return both.fillna(0.0, ["__a", "__b"]).select(*keys, F.try_divide("__a", "__b").alias(out))
 
 
 def attach_strata_weight(

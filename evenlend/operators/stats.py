@@ -38,11 +38,13 @@ def prop_test(cells: DataFrame, x1: str = "x1", n1: str = "n1", x2: str = "x2",
 
 
 def prop_test_by(df_a: DataFrame, df_b: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Tests every cell of ``cols`` for equal shares in two populations; denominators are whole populations."""
+    """Tests every cell of ``cols`` for equal shares in two populations; denominators are whole populations.
+
+    Both populations are counted in one aggregate, so a missing value is a cell like any other.
+    """
     names = list(cols)
-    a = df_a.groupBy(*names).agg(F.count(F.lit(1)).alias("x1"))
-    b = df_b.groupBy(*names).agg(F.count(F.lit(1)).alias("x2"))
-    cells = a.join(b, names, "full").fillna(0, ["x1", "x2"])
+    marks = [df.select(*names, F.lit(a).alias("a"), F.lit(b).alias("b")) for df, a, b in ((df_a, 1, 0), (df_b, 0, 1))]
+    cells = marks[0].unionByName(marks[1]).groupBy(*names).agg(F.sum("a").alias("x1"), F.sum("b").alias("x2"))
     sizes = cells.withColumns(
         {"n1": df_a.agg(F.count(F.lit(1))).scalar(), "n2": df_b.agg(F.count(F.lit(1))).scalar()}
     )
