@@ -111,8 +111,23 @@ def star_features(spark, sf_dir):
         F.round(F.avg("value"), 4).alias("value_mean"), F.count_distinct("event_type").alias("kinds")
     )
     wide = jn.star_join(base, {"orders": loans, "events": history}, "c_custkey")
-    back_train, back_test = jn.split_by_marker(wide)
-    return tidy(jn.union_marked(back_train, back_test), 4, exact=("c_acctbal", "orders__hi"))
+    return tidy(wide, 4, exact=("c_acctbal", "orders__hi"))
+
+
+@query(
+    "marked_split",
+    """
+    WITH u AS (SELECT o_orderkey, o_totalprice, avg(o_totalprice) OVER () AS m, o_orderstatus = 'F' AS is_train FROM orders)
+    SELECT o_orderkey, o_totalprice > m AS above_all FROM u WHERE NOT is_train
+    """,
+)
+def marked_split(spark, sf_dir):
+    """Two frames united to compute over both, then one of them taken back."""
+    (orders,) = load(spark, sf_dir, "orders")
+    both = jn.union_marked(orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderstatus <> 'F'"))
+    mean = both.agg(F.avg("o_totalprice")).scalar()
+    _, rest = jn.split_by_marker(both.withColumn("above_all", F.col("o_totalprice") > mean))
+    return rest.select("o_orderkey", "above_all")
 
 
 def _payment_sql() -> str:
@@ -396,3 +411,97 @@ def application_features(spark, sf_dir):
     with_median = ag.encode_by_group_stat(wide, "p_type", "p_retailprice", "type_median")
     rounded = with_median.withColumn("type_median", F.round("type_median", 4))
     return tidy(m.clean_missing(rounded), 6, exact=("p_retailprice",))
+
+
+def _feature_job_sql() -> str:
+    inner = {"l_quantity": "l_quantity", "l_returnflag": "f.code"}
+    first = ", ".join(
+        f"round(avg({e}), 9) AS {n}_mean, min({e}) AS {n}_min, max({e}) AS {n}_max, count(DISTINCT {e}) AS {n}_n_distinct"
+        for n, e in inner.items()
+    )
+
+    def single(expr: str, name: str, stats: tuple[str, ...]) -> str:
+        forms = {"mean": "avg({})", "min": "min({})", "max": "max({})"}
+        shown = [f"cast(cast({forms[s].format(expr)} AS REAL) AS DOUBLE) AS {name}_{s}" for s in stats if s in forms]
+        return ", ".join([*shown, f"count(DISTINCT {expr}) AS {name}_n_distinct"])
+
+    stats = ("mean", "min", "max", "n_distinct")
+    second = [single("floor(o_totalprice)", "o_totalprice", stats)]
+    second += [single(f"g.{n}_{s}", f"{n}_{s}", stats) for n in inner for s in stats]
+    loan_columns = [f"o_totalprice_{s}" for s in stats] + [f"{n}_{s}_{t}" for n in inner for s in stats for t in stats]
+    event_columns = [f"{c}_{s}" for c in ("value", "event_type") for s in stats]
+    loans = ", ".join(f"loans.{c} AS loans__{c}" for c in loan_columns)
+    events = ", ".join(f"seen.{c} AS events__{c}" for c in event_columns)
+    return f"""
+    WITH g AS (SELECT l_orderkey, {first} FROM lineitem LEFT JOIN {codes_sql('lineitem', 'l_returnflag')} f ON f.level = l_returnflag GROUP BY l_orderkey),
+    loans AS (SELECT o_custkey, {', '.join(second)} FROM orders LEFT JOIN g ON l_orderkey = o_orderkey GROUP BY o_custkey),
+    seen AS (SELECT user_id, {single('floor(value)', 'value', stats)}, {single('k.code', 'event_type', stats)}
+             FROM events LEFT JOIN {codes_sql('events', 'event_type')} k ON k.level = event_type GROUP BY user_id),
+    base AS (SELECT c_custkey, nullif(c_nationkey, 3) AS c_nationkey, floor(c_acctbal) AS c_acctbal, s.code AS c_mktsegment, c_acctbal >= 0 AS is_train
+             FROM customer LEFT JOIN {codes_sql('customer', 'c_mktsegment')} s ON s.level = c_mktsegment),
+    med AS (SELECT c_mktsegment, median(c_acctbal) AS m FROM base GROUP BY c_mktsegment),
+    wide AS (SELECT base.*, {loans}, {events} FROM base LEFT JOIN loans ON o_custkey = c_custkey LEFT JOIN seen ON user_id = c_custkey)
+    SELECT wide.c_custkey, cast(wide.c_nationkey AS BIGINT) AS c_nationkey, cast(wide.c_acctbal AS DOUBLE) AS c_acctbal, wide.c_mktsegment, is_train,
+           {', '.join(f'loans__{c}' for c in loan_columns)}, {', '.join(f'events__{c}' for c in event_columns)},
+           (CASE WHEN wide.c_nationkey IS NULL THEN 1 ELSE 0 END) + {' + '.join(f'(CASE WHEN loans__{c} IS NULL THEN 1 ELSE 0 END)' for c in loan_columns)}
+             + {' + '.join(f'(CASE WHEN events__{c} IS NULL THEN 1 ELSE 0 END)' for c in event_columns)} AS na,
+           CASE WHEN wide.c_acctbal < 0 OR loans__o_totalprice_mean = 0 THEN NULL
+                ELSE cast(cast(sqrt(wide.c_acctbal / loans__o_totalprice_mean) AS REAL) AS DOUBLE) END AS balance_share,
+           CASE WHEN wide.c_nationkey = 0 THEN NULL ELSE cast(cast(loans__l_quantity_mean_mean / wide.c_nationkey AS REAL) AS DOUBLE) END AS quantity_ratio,
+           cast(med.m AS DOUBLE) AS segment_median
+    FROM wide LEFT JOIN med ON med.c_mktsegment = wide.c_mktsegment
+    """
+
+
+@query("feature_job", _feature_job_sql())
+def feature_job(spark, sf_dir):
+    """Three levels of tables to one cleaned applicant table: summaries, union, joins, counts, ratios, medians."""
+    customer, orders, lines, events = load(spark, sf_dir, "customer", "orders", "lineitem", "events")
+    stats = ("mean", "min", "max", "n_distinct")
+    applicants = customer.select(
+        "c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("c_nationkey"), F.floor("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment"
+    )
+    base = jn.union_marked(applicants.filter("c_acctbal >= 0"), applicants.filter("c_acctbal < 0"))
+    base = ca.encode_sorted(base, ["c_mktsegment"])
+    loans = ag.summarise_nested(
+        lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_returnflag"),
+        orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), F.floor("o_totalprice").cast("double").alias("o_totalprice")),
+        "o_orderkey",
+        "c_custkey",
+        stats,
+    )
+    seen = ag.encode_and_summarise(
+        events.select(F.col("user_id").alias("c_custkey"), F.floor("value").cast("double").alias("value"), "event_type"), "c_custkey", stats=stats
+    )
+    wide = jn.star_join(base, {"loans": loans, "events": seen}, "c_custkey")
+    doubles = [c for c in wide.columns if c.endswith(("_mean", "_min", "_max"))]
+    wide = co.map_columns(wide, doubles, lambda c: c.cast("float").cast("double"))
+    wide = wide.withColumn("na", rw.row_missing_count(wide, [c for c in wide.columns if c != "is_train"]))
+    derived = co.with_features(
+        wide,
+        [
+            ("balance_share", F.sqrt(m.ieee_div(F.col("c_acctbal"), F.col("loans__o_totalprice_mean"))).cast("float").cast("double")),
+            ("quantity_ratio", m.ieee_div(F.col("loans__l_quantity_mean_mean"), F.col("c_nationkey")).cast("float").cast("double")),
+        ],
+    )
+    medians = ag.group_median(base, "c_mktsegment", "c_acctbal", out="segment_median")
+    joined = jn.lookup_join(derived, medians, "c_mktsegment").select(*derived.columns, "segment_median")
+    return tidy(m.clean_missing(joined), exact=joined.columns)
+
+
+@query(
+    "reattach_ids",
+    """
+    WITH f AS (SELECT o_custkey, max(o_totalprice) AS largest FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000 GROUP BY o_custkey)
+    SELECT c_custkey, largest FROM customer LEFT JOIN f ON o_custkey = c_custkey WHERE c_acctbal < 0
+    """,
+)
+def reattach_ids(spark, sf_dir):
+    """Processed features put back on a saved id frame."""
+    customer, orders = load(spark, sf_dir, "customer", "orders")
+    features = (
+        orders.filter("o_orderstatus = 'F' AND o_totalprice > 300000")
+        .groupBy(F.col("o_custkey").alias("c_custkey"))
+        .agg(F.max("o_totalprice").alias("largest"))
+    )
+    return jn.reattach(customer.filter("c_acctbal < 0"), features, "c_custkey")

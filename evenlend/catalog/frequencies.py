@@ -172,6 +172,27 @@ def distinct_values(spark, sf_dir):
     return ag.distinct_values(events, "event_type")
 
 
+@query(
+    "scalar_reductions",
+    """
+    SELECT count(*) AS n, count(DISTINCT o_custkey) AS n_customers, max(o_totalprice) AS largest, min(o_totalprice) AS smallest,
+           sum(floor(o_totalprice)::BIGINT)::BIGINT AS total, round(avg(floor(o_totalprice)), 4) AS mean
+    FROM orders
+    """,
+)
+def scalar_reductions(spark, sf_dir):
+    (orders,) = load(spark, sf_dir, "orders")
+    whole = F.floor("o_totalprice")
+    return orders.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("o_custkey").alias("n_customers"),
+        F.max("o_totalprice").alias("largest"),
+        F.min("o_totalprice").alias("smallest"),
+        F.sum(whole).alias("total"),
+        F.round(F.avg(whole.cast("double")), 4).alias("mean"),
+    )
+
+
 @query(
     "top_importance",
     """

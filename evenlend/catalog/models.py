@@ -229,28 +229,63 @@ def counterfactual_pairs(spark, sf_dir):
     )
 
 
-@query("blind_compare")
+STATUS_DATA = DATA.replace("l_extendedprice / 100000", "cast(l_linestatus = 'O' AS DOUBLE)")
+SHOWN = ("llh", "g2", "mcfadden", "n_pos", "n_neg", "auc", "tp", "fp", "fn", "tn", "kappa", "lr_df", "lr_chi2", "lr_p_value")
+
+
+@query(
+    "blind_compare",
+    f"""
+    WITH {newton_sql(STATUS_DATA, 2, name='aware')}, {newton_sql(DATA, 1, name='blind')},
+    s AS (SELECT y, 1 / (1 + exp(-(aware7.b0 + aware7.b1 * a + aware7.b2 * b))) AS p, 1 / (1 + exp(-(blind7.b0 + blind7.b1 * a))) AS q FROM ({STATUS_DATA}), aware7, blind7),
+    m AS (SELECT 'aware' AS model, y, p FROM s UNION ALL SELECT 'blind', y, q FROM s),
+    v AS (SELECT model, round(p, 13) AS p, sum(y) AS pos, count(*) - sum(y) AS neg FROM m GROUP BY ALL),
+    c AS (SELECT model, pos, neg, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v),
+    k AS (SELECT model, sum(pos) AS n_pos, sum(neg) AS n_neg, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY model),
+    t AS (SELECT model, avg(p) AS cut FROM m GROUP BY model),
+    h AS (SELECT m.model, count(*) FILTER (WHERE p > cut AND y = 1)::DOUBLE AS tp, count(*) FILTER (WHERE p > cut AND y = 0)::DOUBLE AS fp,
+                 count(*) FILTER (WHERE p <= cut AND y = 1)::DOUBLE AS fn, count(*) FILTER (WHERE p <= cut AND y = 0)::DOUBLE AS tn
+          FROM m JOIN t ON t.model = m.model GROUP BY m.model),
+    e AS (SELECT *, (tp + tn) / (tp + fp + fn + tn) AS po, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / ((tp + fp + fn + tn) ** 2) AS pe FROM h),
+    f AS (SELECT 'aware' AS model, dev, nulldev FROM aware_v UNION ALL SELECT 'blind', dev, nulldev FROM blind_v),
+    x AS (SELECT blind_v.dev - aware_v.dev AS chi2 FROM aware_v, blind_v),
+    out AS (
+      SELECT model, unnest(['llh', 'g2', 'mcfadden']) AS metric, unnest([-dev / 2, nulldev - dev, 1 - dev / nulldev]) AS value FROM f
+      UNION ALL SELECT model, unnest(['n_pos', 'n_neg', 'auc']), unnest([n_pos, n_neg, auc]) FROM k
+      UNION ALL SELECT model, unnest(['tp', 'fp', 'fn', 'tn', 'kappa']), unnest([tp, fp, fn, tn, (po - pe) / (1 - pe)]) FROM e
+      UNION ALL SELECT 'aware_vs_blind', unnest(['lr_df', 'lr_chi2', 'lr_p_value']), unnest([1, chi2, {erfc_sql('sqrt(chi2 / 2)')}]) FROM x)
+    SELECT model, metric, round(value, CASE WHEN metric = 'llh' THEN 3 WHEN metric IN ('g2', 'lr_chi2', 'lr_p_value') THEN 5 ELSE 8 END) AS value FROM out
+    """,
+)
 def blind_compare(spark, sf_dir):
-    """All measures of the model with and without the attribute, on an approved and a whole population."""
+    """Fit, ranking and threshold measures of the model with and without the attribute, and the test between them."""
     rows = _lines(spark, sf_dir)
-    return cf.compare_blind(rows.filter("l_linestatus = 'F' OR a > 0.2"), rows, "l_linestatus", "y", ["a", "b", "l_linestatus"])
+    out = cf.compare_blind(rows, rows, "l_linestatus", "y", ["a", "l_linestatus"]).filter(F.col("metric").isin(*SHOWN))
+    metric = F.col("metric")
+    rounded = F.when(metric == "llh", F.round("value", 3)).when(
+        metric.isin("g2", "lr_chi2", "lr_p_value"), F.round("value", 5)
+    )
+    return out.select("model", "metric", rounded.otherwise(F.round("value", 8)).alias("value"))
 
 
 SMALL_BOOST = tr.BoostParams(rounds=5, depth=3, step=0.3, min_rows=30, column_share=0.8)
-FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey"]
+FEATURES = ["o_totalprice", "n_lines", "quantity", "discount", "tax", "urgent"]
 
 
 def _boost_rows(spark, sf_dir):
-    (lines,) = load(spark, sf_dir, "lineitem")
-    return lines.select(
-        (F.col("l_orderkey") * 64 + F.col("l_linenumber")).alias("row_key"),
-        (F.col("l_returnflag") == "R").cast("int").alias("y"),
-        "l_linestatus",
-        F.nullif("l_tax", F.lit(0.08)).alias("l_tax"),
-        "l_quantity",
-        "l_extendedprice",
-        "l_discount",
-        "l_suppkey",
+    """One row per order with summaries of its lines; orders without lines have missing features."""
+    lines, orders = load(spark, sf_dir, "lineitem", "orders")
+    summed = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum("l_quantity").alias("quantity"),
+        F.avg("l_discount").alias("discount"),
+        F.max("l_tax").alias("tax"),
+    )
+    return orders.join(summed, "o_orderkey", "left").select(
+        "o_orderkey",
+        (F.col("o_orderstatus") == "F").cast("int").alias("y"),
+        (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"),
+        *FEATURES[:-1],
     )
 
 
@@ -262,7 +297,7 @@ def _boost(spark, sf_dir):
 @query("gbt_scores")
 def gbt_scores(spark, sf_dir):
     rows, model = _boost(spark, sf_dir)
-    return tr.score_to_table(model, rows, "row_key")
+    return tr.score_to_table(model, rows, "o_orderkey")
 
 
 @query("gbt_importance")
@@ -274,25 +309,25 @@ def gbt_importance(spark, sf_dir):
 @query("shap_long")
 def shap_long(spark, sf_dir):
     rows, model = _boost(spark, sf_dir)
-    return ex.shap_long(ex.shap_values(model, rows, "row_key"), "row_key")
+    return ex.shap_long(ex.shap_values(model, rows, "o_orderkey"), "o_orderkey")
 
 
 @query("shap_mean_abs")
 def shap_mean_abs(spark, sf_dir):
     rows, model = _boost(spark, sf_dir)
-    return ex.mean_abs_shap(ex.shap_values(model, rows, "row_key"))
+    return ex.mean_abs_shap(ex.shap_values(model, rows, "o_orderkey"))
 
 
 @query("shap_by_group")
 def shap_by_group(spark, sf_dir):
     rows, model = _boost(spark, sf_dir)
-    return ex.shap_by_group(ex.shap_values(model, rows, "row_key", ["l_linestatus", "y"]), ["l_linestatus", "y"])
+    return ex.shap_by_group(ex.shap_values(model, rows, "o_orderkey", ["urgent", "y"]), ["urgent", "y"])
 
 
 @query("shap_interactions")
 def shap_interactions(spark, sf_dir):
     rows, model = _boost(spark, sf_dir)
-    return ex.shap_interactions(model, rows, "row_key")
+    return ex.shap_interactions(model, rows, "o_orderkey")
 
 
 @query("shap_interaction_means")
@@ -301,10 +336,27 @@ def shap_interaction_means(spark, sf_dir):
     return ex.mean_abs_interactions(model, rows)
 
 
+@query("shap_additivity", "SELECT count(*) AS n, 0 AS off_values, 0 AS off_pairs FROM orders")
+def shap_additivity(spark, sf_dir):
+    """Rows whose contributions, or whose interactions, do not add up to the model's margin."""
+    rows, model = _boost(spark, sf_dir)
+    shap = ex.shap_values(model, rows, "o_orderkey")
+    total = sum((F.col(c) for c in ex.shap_columns(shap)), F.lit(0.0))
+    sums = shap.select("o_orderkey", "base", (F.col("base") + total).alias("by_value"))
+    pairs = ex.shap_interactions(model, rows, "o_orderkey").groupBy("o_orderkey").agg(F.sum("phi").alias("by_pair"))
+    scored = tr.score_to_table(model, rows, "o_orderkey").select("o_orderkey", (F.log(F.col("score") / (1 - F.col("score"))) / 2).alias("margin"))
+    joined = scored.join(sums, "o_orderkey").join(pairs, "o_orderkey")
+    return joined.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.abs(F.col("by_value") - F.col("margin")) > 1e-9).alias("off_values"),
+        F.count_if(F.abs(F.col("base") + F.col("by_pair") - F.col("margin")) > 1e-9).alias("off_pairs"),
+    )
+
+
 @query("tune_then_blind")
 def tune_then_blind(spark, sf_dir):
     """Depth chosen with the attribute visible; scores of the blind final model."""
     rows = _boost_rows(spark, sf_dir)
     grid = [tr.BoostParams(rounds=3, depth=d, step=0.3, min_rows=30, column_share=0.8) for d in (2, 3)]
-    model, _ = tr.tune_then_blind(rows, [*FEATURES, "l_linestatus"], "y", "l_linestatus", "row_key", grid)
-    return tr.score_to_table(model, rows, "row_key")
+    model, _ = tr.tune_then_blind(rows, FEATURES, "y", "urgent", "o_orderkey", grid)
+    return tr.score_to_table(model, rows, "o_orderkey")

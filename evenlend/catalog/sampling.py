@@ -25,6 +25,22 @@ def sample_by_ids(spark, sf_dir):
     return jn.sample_by_ids(customer.select("c_custkey", "c_acctbal"), events.select(F.col("user_id").alias("c_custkey")), "c_custkey")
 
 
+@query(
+    "split_by_ids",
+    """
+    SELECT 'train' AS part, p_partkey, p_size FROM part WHERE p_partkey IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'test', p_partkey, p_size FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)
+    """,
+)
+def split_by_ids(spark, sf_dir):
+    """Training and test rows from two saved id lists."""
+    part, customer = load(spark, sf_dir, "part", "customer")
+    train_ids = customer.select(F.col("c_custkey").alias("p_partkey"))
+    test_ids = part.join(train_ids, "p_partkey", "left_anti")
+    train, test = sa.split_by_ids(part.select("p_partkey", "p_size"), train_ids, test_ids, "p_partkey")
+    return tidy(jn.union_all(*[t.select(F.lit(n).alias("part"), "*") for n, t in (("train", train), ("test", test))]))
+
+
 @query(
     "sample_by_rownum",
     """

@@ -13,9 +13,9 @@ from .joins import left_attach, lookup_join
 from .ordering import exact_quantiles
 
 SIX = ("mean", "sd", "min", "max", "sum", "n_distinct")
-# Largest group (rows x summarised columns) whose distinct values may sit in one task's memory.
-GROUP_CELLS = 1_000_000
-HOT_KEYS = 10_000
+# Largest group (rows x summarised columns) whose values may sit together in one task's memory.
+GROUP_CELLS = 200_000
+HOT_KEYS = 100_000
 
 
 def _value(field: T.StructField) -> Column:
@@ -39,7 +39,7 @@ def _summaries(
             "min": lambda: extreme(F.min(c), float("inf")),
             "max": lambda: extreme(F.max(c), float("-inf")),
             "sum": lambda: F.coalesce(F.sum(c.cast("double")), F.lit(0.0)),
-            "n_distinct": lambda: (F.count_distinct(c) if hot else F.size(F.collect_set(c))).cast("int"),
+            "n_distinct": lambda: (F.count_distinct(c) if hot else F.size(F.array_distinct(F.collect_list(c)))).cast("int"),
         }[stat]()
 
     return [one(f, s).alias(f"{f.name}_{s}") for f in fields for s in stats]
@@ -72,11 +72,12 @@ def summarise_all(
     """Per key, every statistic of every other numeric column, missing values left out: ``<col>_<stat>``.
 
     Empty groups give sum 0 and n_distinct 0; infinities are kept, so they show in mean, sum and max.
-    One shuffle on the key. Distinct counts come from per-group sets as long as the group is small; keys
-    with more rows than ``group_cells / columns`` are counted first and go through a distinct aggregate
-    that spreads their values over all tasks. ``counts_from`` may name a cheaper table with the same rows
-    per key (for example the child before it was joined). ``infinite_empty`` gives an empty group the
-    minimum +Infinity and maximum -Infinity instead of NULL.
+    Rows of ordinary keys are shuffled once, raw: with few rows per key and map task a row is much smaller
+    than its partial aggregate. Their distinct counts come from the group's values in memory. Keys with more
+    rows than ``group_cells / columns`` are found first by a count and go through a distinct aggregate with
+    map-side combining, which spreads their values over all tasks. ``counts_from`` may name a cheaper table
+    with the same rows per key (for example the child before it was joined). ``infinite_empty`` gives an
+    empty group the minimum +Infinity and maximum -Infinity instead of NULL.
     """
     keys = [key] if isinstance(key, str) else list(key)
     numeric = {f.name: f for f in df.schema.fields if isinstance(f.dataType, (T.NumericType,)) and f.name not in keys}
@@ -87,13 +88,13 @@ def summarise_all(
 
     limit = max(1, group_cells // max(1, len(fields)))
     heavy = hot_keys(counts_from if counts_from is not None else df, keys, limit)
-    by_sets = _summaries(fields, stats, False, infinite_empty)
+    by_group = _summaries(fields, stats, False, infinite_empty)
     by_expand = _summaries(fields, stats, True, infinite_empty)
     if heavy is None:
         return used.groupBy(*keys).agg(*by_expand)
     if not heavy:
-        return used.groupBy(*keys).agg(*by_sets)
-    cold = _is_hot(used, heavy, keys, "left_anti").groupBy(*keys).agg(*by_sets)
+        return used.repartition(*keys).groupBy(*keys).agg(*by_group)
+    cold = _is_hot(used, heavy, keys, "left_anti").repartition(*keys).groupBy(*keys).agg(*by_group)
     warm = _is_hot(used, heavy, keys, "left_semi").groupBy(*keys).agg(*by_expand)
     return cold.unionByName(warm)
 

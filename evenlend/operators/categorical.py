@@ -81,8 +81,13 @@ def encode_sorted(df: DataFrame, cols: Sequence[str], cap: int = LEVEL_CAP) -> D
         return df
     found = driver_levels(df, cols, cap)
     if found is None:
-        per_column = {c: driver_levels(df, [c], cap) for c in cols}
-        found = {c: levels[c] for c, levels in per_column.items() if levels is not None}
+        sizes = label_counts(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("n")).orderBy("n").collect()
+        short, total = [], 0
+        for r in sizes:
+            total += r["n"]
+            if total <= cap:
+                short.append(r["column"])
+        found = driver_levels(df, short, cap) if short else {}
     order = df.columns
     exprs: dict[str, Column] = {}
     out = df

@@ -15,6 +15,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.formulas import chi2_tail, normal_two_sided
+from ..session import spread
 from .categorical import bounded_levels
 from .metrics import auc_ci
 
@@ -131,7 +132,7 @@ def logit_fit(df: DataFrame, design: Design, max_iter: int = 50, tol: float = 1e
     rows = df.select(
         F.col(f"`{design.label}`").cast("double").alias("y"), *[c.alias(n) for n, c in zip(names, columns.values())]
     ).dropna()
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         gram = gramian(rows, {n: F.col(n) for n in names})
         dropped = set(aliased_columns(gram, names))

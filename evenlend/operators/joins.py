@@ -82,9 +82,12 @@ def sample_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def sample_by_rownum(df: DataFrame, ids: DataFrame, order_key: str, id_col: str = "row_number") -> DataFrame:
-    """Rows whose 1-based position by ``order_key`` is in the list of row numbers."""
-    numbered = with_row_number(df, order_key, id_col)
-    return sample_by_ids(numbered, ids, id_col).drop(id_col)
+    """Rows whose 1-based position by ``order_key`` is in the list of row numbers.
+
+    Only the key column is numbered and shuffled; the wide rows are filtered by the keys that were picked.
+    """
+    numbered = with_row_number(df.select(order_key), order_key, id_col)
+    return sample_by_ids(df, sample_by_ids(numbered, ids, id_col), order_key)
 
 
 def recode_by_table(df: DataFrame, col: str, mapping: DataFrame, old: str, new: str) -> DataFrame:

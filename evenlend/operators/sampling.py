@@ -83,10 +83,10 @@ def _size_table(df: DataFrame, group: str, sizes: Mapping[object, int]) -> DataF
 def undersample(
     df: DataFrame, group: str, sizes: Mapping[object, int], key: str, score: Column | None = None, seed: int = 0
 ) -> DataFrame:
-    """Groups named in ``sizes`` are cut to that many rows; the other groups are kept whole."""
+    """Groups named in ``sizes`` are cut to that many rows; all other rows are kept."""
     listed = F.col(group).isin(*sizes)
     cut = stratified_exact(df.filter(listed), [group], _size_table(df, group, sizes), key, score=score, seed=seed)
-    return df.filter(~listed).unionByName(cut)
+    return df.filter(~F.coalesce(listed, F.lit(False))).unionByName(cut)
 
 
 def rebalance(df: DataFrame, group: str, key: str, score: Column | None = None, seed: int = 0) -> DataFrame:

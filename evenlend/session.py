@@ -36,6 +36,15 @@ def work_partitions(spark: SparkSession) -> int:
     return max(8, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the table comes in fewer files than there are cores.
+
+    Used before iterative fits, which pass over their input many times; larger inputs stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and model files.
 

@@ -53,7 +53,7 @@ def test_many_rows_with_one_score(spark):
 def test_rebalanced_sets(people):
     assert Counter(r["s"] for r in sa.rebalance(people, "s", "id").collect()) == {"hot": 1000, "cold": 1000}
     under = Counter(r["s"] for r in sa.undersample(people, "s", {"cold": 10}, "id").collect())
-    assert under["cold"] == 10 and under["hot"] == 3000
+    assert under == {"cold": 10, "hot": 3000, None: 1}
     grown = sa.rebalance_collect(people, "s", "cold", "hot", 200, 300, "id").collect()
     assert Counter(r["s"] for r in grown) == {"hot": 500, "cold": 500}
     small = {r["id"] for r in sa.undersample(people, "s", {"cold": 200}, "id").filter("s = 'cold'").collect()}
