@@ -144,29 +144,41 @@ def logit_fit(df: DataFrame, design: Design, max_iter: int = 50, tol: float = 1e
         fit = GeneralizedLinearRegression(
             family="binomial", link="logit", labelCol="y", maxIter=max_iter, tol=tol
         ).fit(data)
-        summary = fit.summary
-        errors = list(summary.coefficientStandardErrors)
+        errors = list(fit.summary.coefficientStandardErrors)
         estimates = {INTERCEPT: fit.intercept, **{labels[n]: float(v) for n, v in zip(used, fit.coefficients)}}
+        eta = _balanced_sum([F.lit(fit.intercept), *[F.col(n) * F.lit(float(v)) for n, v in zip(used, fit.coefficients)]])
+        n, positives, loss = rows.agg(F.count(F.lit(1)), F.sum("y"), F.sum(_log_loss(F.col("y"), eta))).first()
+        deviance = 2.0 * loss
         return LogitModel(
             design,
             estimates,
             {INTERCEPT: errors[-1], **{labels[n]: e for n, e in zip(used, errors)}},
-            summary.deviance,
-            summary.nullDeviance,
-            summary.aic,
-            summary.numInstances,
+            deviance,
+            _null_deviance(n, positives),
+            deviance + 2.0 * len(estimates),
+            n,
             tuple(labels[n] for n in names if n in dropped),
         )
     finally:
         rows.unpersist()
 
 
+def _log_loss(y: Column, eta: Column) -> Column:
+    """``log(1 + exp(eta)) - y * eta`` without overflow."""
+    return F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - y * eta
+
+
+def _null_deviance(n: int, positives: float) -> float:
+    return -2.0 * sum(k * math.log(k / n) for k in (positives, n - positives) if k > 0)
+
+
 def _null_model(rows: DataFrame, design: Design, dropped: tuple[str, ...]) -> LogitModel:
-    row = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("p")).first()
-    n, p = row["n"], row["p"]
-    deviance = -2.0 * n * (p * math.log(p) + (1 - p) * math.log(1 - p)) if n and 0 < p < 1 else 0.0
-    odds = math.log(p / (1 - p)) if n and 0 < p < 1 else float("nan")
-    se = 1.0 / math.sqrt(n * p * (1 - p)) if n and 0 < p < 1 else float("nan")
+    n, positives = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
+    share = positives / n if n else float("nan")
+    inside = 0.0 < share < 1.0
+    odds = math.log(share / (1 - share)) if inside else float("nan")
+    se = 1.0 / math.sqrt(n * share * (1 - share)) if inside else float("nan")
+    deviance = _null_deviance(n, positives) if n else 0.0
     return LogitModel(design, {INTERCEPT: odds}, {INTERCEPT: se}, deviance, deviance, deviance + 2.0, n, dropped)
 
 

@@ -11,13 +11,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import work_partitions
 
 BUCKET = "__bucket"
 CHUNK = "__chunk"
-NUMERIC = (T.NumericType,)
+QUANTILE_BUCKETS = 256
+# Buckets with wanted ranks: up to this many are broadcast, and up to this many rows of one meet in a window.
+WANTED_CHUNKS = 20_000
+WINDOW_ROWS = 4_000_000
 
 
 def bucket_edges(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
@@ -137,14 +140,10 @@ def with_row_number(df: DataFrame, order_key: str, out: str = "row_number", grou
     return running_totals(df, order_key, {out: F.lit(1).cast("long")}, groups)
 
 
-def value_counts_long(
-    df: DataFrame, cols: Sequence[str], groups: Sequence[str] = (), edges: Mapping[str, Sequence[float]] | None = None
+def values_long(
+    df: DataFrame, cols: Sequence[str], groups: Sequence[str], edges: Mapping[str, Sequence[float]]
 ) -> DataFrame:
-    """One row per (group, column, distinct value) with its count and range bucket; NULL and NaN are dropped.
-
-    All columns share one scan and one shuffle, and equal values collapse before the shuffle.
-    """
-    edges = bucket_edges(df, cols) if edges is None else edges
+    """``groups, column, value`` and the value's range bucket, for several columns in one scan; NULL and NaN dropped."""
     tagged = assign_buckets(df, edges, {c: f"__b_{i}" for i, c in enumerate(cols)})
     cells = [
         F.struct(
@@ -154,8 +153,16 @@ def value_counts_long(
     ]
     long = tagged.select(*[F.col(f"`{g}`") for g in groups], F.inline(F.array(*cells)))
     present = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    normal = present.withColumn("value", F.col("value") + F.lit(0.0))  # -0.0 and 0.0 are one value
-    return normal.groupBy(*groups, "column", "value", BUCKET).agg(F.count(F.lit(1)).alias("n"))
+    return present.withColumn("value", F.col("value") + F.lit(0.0))  # -0.0 and 0.0 are one value
+
+
+def value_counts_long(df: DataFrame, cols: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
+    """One row per (group, column, distinct value) with its count and range bucket.
+
+    Equal values collapse before the shuffle.
+    """
+    long = values_long(df, cols, groups, bucket_edges(df, cols))
+    return long.groupBy(*groups, "column", "value", BUCKET).agg(F.count(F.lit(1)).alias("n"))
 
 
 def exact_quantiles(
@@ -163,25 +170,57 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per (group, column): columns ``column``, ``n``, ``quantiles``.
 
-    Never holds the values of a group in one task, unlike the built-in exact percentile aggregate.
+    Counts per range bucket tell in which buckets the wanted ranks lie; only the values of those buckets are
+    shuffled and ordered. The values of a group are never held together, unlike in the built-in percentile.
     """
-    counts = value_counts_long(df, cols, groups)
-    ranked = running_totals(
-        counts, "value", {"upto": F.col("n")}, [*groups, "column"], bucket=BUCKET, with_group_total=True
+    edges = bucket_edges(df, cols, QUANTILE_BUCKETS)
+    key = F.struct(*[F.col(f"`{g}`").alias(f"g{i}") for i, g in enumerate([*groups, "column"])], F.col(BUCKET).alias("b"))
+    long = values_long(df, cols, groups, edges).withColumn(CHUNK, key)
+
+    def spot(p: float, total: Column) -> Column:
+        return (total - 1) * F.lit(float(p))
+
+    peers = [F.col(f"{CHUNK}.g{i}") for i in range(len(groups) + 1)]
+    before = Window.partitionBy(*peers).orderBy(F.col(f"{CHUNK}.b")).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = long.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("rows"))
+    chunks = chunks.withColumns(
+        {
+            "before": F.coalesce(F.sum("rows").over(before), F.lit(0)),
+            "total": F.sum("rows").over(Window.partitionBy(*peers)),
+        }
     )
-    last, first, size = F.col("upto") - 1, F.col("upto") - F.col("n"), F.col("upto_all")
+    ranks = [side(spot(p, F.col("total"))) for p in probs for side in (F.floor, F.ceil)]
+    inside = F.lit(False)
+    for rank in ranks:
+        inside = inside | ((rank >= F.col("before")) & (rank < F.col("before") + F.col("rows")))
+    wanted = chunks.filter(inside)
+    found = wanted.limit(WANTED_CHUNKS + 1).collect()
+    few = len(found) <= WANTED_CHUNKS
+    table = F.broadcast(df.sparkSession.createDataFrame(found, wanted.schema)) if few else wanted
+
+    picked = long.join(table.select(CHUNK, "before", "total"), CHUNK)
+    values = picked.groupBy(CHUNK, "value").agg(
+        F.count(F.lit(1)).alias("n"), F.max("before").alias("before"), F.max("total").alias("total")
+    )
+    if few and all(r["rows"] <= WINDOW_ROWS for r in found):
+        upward = Window.partitionBy(CHUNK).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        ordered = values.withColumn("run", F.sum("n").over(upward))
+    else:
+        renamed = values.withColumnRenamed(CHUNK, "chunk")
+        ordered = running_totals(renamed, "value", {"run": F.col("n")}, ["chunk"]).withColumnRenamed("chunk", CHUNK)
+    last = F.col("before") + F.col("run") - 1
+    first = last - F.col("n") + 1
     picks = []
     for i, p in enumerate(probs):
-        spot = (size - 1) * F.lit(float(p))
-        for side, rank in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
-            picks.append(F.max(F.when((rank >= first) & (rank <= last), F.col("value"))).alias(f"{side}{i}"))
-    rows = ranked.groupBy(*groups, "column").agg(F.max("upto_all").alias("n"), *picks)
+        for name, side in (("lo", F.floor), ("hi", F.ceil)):
+            rank = side(spot(p, F.col("total")))
+            picks.append(F.max(F.when((rank >= first) & (rank <= last), F.col("value"))).alias(f"{name}{i}"))
+    named = [p.alias(n) for p, n in zip(peers, [*groups, "column"])]
+    rows = ordered.select(*named, "*").groupBy(*groups, "column").agg(F.max("total").alias("n"), *picks)
     quantiles = []
     for i, p in enumerate(probs):
-        spot = (F.col("n") - 1) * F.lit(float(p))
-        part = spot - F.floor(spot)
-        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        quantiles.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * part))
+        place, lo, hi = spot(p, F.col("n")), F.col(f"lo{i}"), F.col(f"hi{i}")
+        quantiles.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (place - F.floor(place))))
     return rows.select(*groups, "column", "n", F.array(*quantiles).alias("quantiles"))
 
 

@@ -32,7 +32,10 @@ def test_row_number_in_groups_with_a_null_group(skewed):
     assert len(out) == len(rows)
 
 
-def test_quantiles_match_numpy(skewed):
+@pytest.mark.parametrize("chunks,rows_in_window", [(20_000, 4_000_000), (20_000, 1), (3, 4_000_000)])
+def test_quantiles_match_numpy(skewed, monkeypatch, chunks, rows_in_window):
+    monkeypatch.setattr(od, "WANTED_CHUNKS", chunks)
+    monkeypatch.setattr(od, "WINDOW_ROWS", rows_in_window)
     df, rows = skewed
     probs = [0.0, 0.1, 0.5, 0.9, 1.0]
     for row in od.exact_quantiles(df, ["v"], probs, ["g"]).collect():
