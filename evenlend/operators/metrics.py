@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.formulas import Z95
 from ..functions.scalars import above
-from .ordering import BUCKET, exact_quantiles, running_totals, value_counts_long
+from .ordering import BUCKET, bucket_edges, exact_quantiles, running_totals, values_long
 
 
 def score_steps(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -16,13 +16,9 @@ def score_steps(df: DataFrame, label: str, score: str, groups: Sequence[str] = (
     scored = df.select(
         *[F.col(f"`{g}`") for g in groups], F.col(label).cast("int").alias("__y"), F.col(score).cast("double").alias("__s")
     ).filter(F.col("__y").isNotNull())
-    points = (
-        value_counts_long(scored, ["__s"], [*groups, "__y"])
-        .groupBy(*groups, "value", BUCKET)
-        .agg(
-            F.sum(F.when(F.col("__y") == 1, F.col("n")).otherwise(0)).alias("p"),
-            F.sum(F.when(F.col("__y") == 0, F.col("n")).otherwise(0)).alias("q"),
-        )
+    long = values_long(scored, ["__s"], [*groups, "__y"], bucket_edges(scored, ["__s"]))
+    points = long.groupBy(*groups, "value", BUCKET).agg(
+        F.count_if(F.col("__y") == 1).alias("p"), F.count_if(F.col("__y") == 0).alias("q")
     )
     return running_totals(
         points, "value", {"cum_p": F.col("p"), "cum_q": F.col("q")}, groups, bucket=BUCKET, with_group_total=True

@@ -76,14 +76,16 @@ def running_totals(
     else:
         bucketed = df.withColumn(BUCKET, F.col(bucket))
     weights = {f"__w{i}": expr for i, expr in enumerate(totals.values())}
-    chunked = bucketed.withColumn(
-        CHUNK, F.struct(*[F.col(f"`{g}`").alias(f"g{i}") for i, g in enumerate(groups)], F.col(BUCKET).alias("b"))
-    ).withColumns(weights)
+    # a struct compares NULL group values as equal; without groups the bucket itself is the chunk
+    parts = [F.col(f"`{g}`").alias(f"g{i}") for i, g in enumerate(groups)]
+    key = F.struct(*parts, F.col(BUCKET).alias("b")) if groups else F.col(BUCKET)
+    chunked = bucketed.withColumn(CHUNK, key).withColumns(weights)
 
     sums = chunked.groupBy(CHUNK).agg(*[F.sum(w).alias(w) for w in weights])
     peers = [F.col(f"{CHUNK}.g{i}") for i in range(len(groups))] or [F.lit(1)]
+    place = F.col(f"{CHUNK}.b") if groups else F.col(CHUNK)
     whole = Window.partitionBy(*peers)
-    before = whole.orderBy(F.col(f"{CHUNK}.b")).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         CHUNK,
         *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"{w}_off") for w in weights],
@@ -95,7 +97,8 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     local = chunked.withColumns({f"{w}_run": F.sum(w).over(inside) for w in weights})
-    joined = local.join(offsets, CHUNK)
+    # without groups there is one offset row per bucket, a few thousand at most
+    joined = local.join(offsets if groups else F.broadcast(offsets), CHUNK)
     keep = [F.col(f"`{c}`") for c in df.columns]
     added = [(F.col(f"{w}_run") + F.col(f"{w}_off")).alias(name) for w, name in zip(weights, totals)]
     if with_group_total:
@@ -156,15 +159,6 @@ def values_long(
     return present.withColumn("value", F.col("value") + F.lit(0.0))  # -0.0 and 0.0 are one value
 
 
-def value_counts_long(df: DataFrame, cols: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """One row per (group, column, distinct value) with its count and range bucket.
-
-    Equal values collapse before the shuffle.
-    """
-    long = values_long(df, cols, groups, bucket_edges(df, cols))
-    return long.groupBy(*groups, "column", "value", BUCKET).agg(F.count(F.lit(1)).alias("n"))
-
-
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], groups: Sequence[str] = ()
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.formulas import chi2_1df_p, kolmogorov_tail
-from .ordering import BUCKET, running_totals, value_counts_long
+from .ordering import BUCKET, bucket_edges, running_totals, values_long
 
 
 def yates_statistic(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
@@ -59,10 +59,9 @@ def ks_2samp(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
     both = a.select(F.col(col).cast("double").alias("v"), F.lit(1).alias("s")).unionAll(
         b.select(F.col(col).cast("double").alias("v"), F.lit(2).alias("s"))
     )
-    counts = value_counts_long(both, ["v"], ["s"])
-    points = counts.groupBy("value", BUCKET).agg(
-        F.sum(F.when(F.col("s") == 1, F.col("n")).otherwise(0)).alias("n_a"),
-        F.sum(F.when(F.col("s") == 2, F.col("n")).otherwise(0)).alias("n_b"),
+    long = values_long(both, ["v"], ["s"], bucket_edges(both, ["v"]))
+    points = long.groupBy("value", BUCKET).agg(
+        F.count_if(F.col("s") == 1).alias("n_a"), F.count_if(F.col("s") == 2).alias("n_b")
     )
     steps = running_totals(
         points, "value", {"cum_a": F.col("n_a"), "cum_b": F.col("n_b")}, bucket=BUCKET, with_group_total=True
