@@ -120,8 +120,8 @@ def recode_by_table(spark, sf_dir):
     """
     WITH b AS (SELECT [quantile_cont(c_acctbal, i / 4.0) FOR i IN [0, 1, 2, 3, 4]] AS e FROM customer)
     SELECT c_custkey, c_acctbal,
-           CASE WHEN c_acctbal <= e[1] THEN NULL WHEN c_acctbal <= e[2] THEN 1 WHEN c_acctbal <= e[3] THEN 2
-                WHEN c_acctbal <= e[4] THEN 3 WHEN c_acctbal <= e[5] THEN 4 END AS c_acctbal_bin
+           cast(CASE WHEN c_acctbal <= e[1] THEN NULL WHEN c_acctbal <= e[2] THEN 1 WHEN c_acctbal <= e[3] THEN 2
+                WHEN c_acctbal <= e[4] THEN 3 WHEN c_acctbal <= e[5] THEN 4 END AS BIGINT) AS c_acctbal_bin
     FROM customer, b
     """.replace(
         "[quantile_cont(c_acctbal, i / 4.0) FOR i IN [0, 1, 2, 3, 4]]", "quantile_cont(c_acctbal, [0, 0.25, 0.5, 0.75, 1])"

@@ -203,8 +203,8 @@ def sentinel_ratio(spark, sf_dir):
 @query(
     "row_missing_count",
     """
-    SELECT o_orderkey, (CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) + (CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END)
-           + (CASE WHEN o_totalprice < 1000 THEN 1 ELSE 0 END) + (CASE WHEN o_custkey < 100 THEN 1 ELSE 0 END) AS n_missing
+    SELECT o_orderkey, cast((CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) + (CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END)
+           + (CASE WHEN o_totalprice < 1000 THEN 1 ELSE 0 END) + (CASE WHEN o_custkey < 100 THEN 1 ELSE 0 END) AS BIGINT) AS n_missing
     FROM orders
     """,
 )
@@ -286,7 +286,7 @@ def group_median_encode(spark, sf_dir):
     WITH a AS (SELECT p_partkey, p_size * 42 - 60 AS raw FROM part),
     b AS (SELECT p_partkey, raw, CASE WHEN raw < 0 THEN NULL WHEN raw > 1900 THEN 2021 - raw ELSE raw END AS y FROM a)
     SELECT p_partkey, cast(raw AS BIGINT) AS raw, cast(CASE WHEN y > 100 THEN NULL ELSE y END AS BIGINT) AS age,
-           round(abs(raw) * 0.002738, 6) AS years
+           round(abs(raw) * 0.002738::DOUBLE, 6) AS years
     FROM b
     """,
 )
@@ -443,8 +443,8 @@ def _feature_job_sql() -> str:
     wide AS (SELECT base.*, {loans}, {events} FROM base LEFT JOIN loans ON o_custkey = c_custkey LEFT JOIN seen ON user_id = c_custkey)
     SELECT wide.c_custkey, cast(wide.c_nationkey AS BIGINT) AS c_nationkey, cast(wide.c_acctbal AS DOUBLE) AS c_acctbal, wide.c_mktsegment, is_train,
            {', '.join(f'loans__{c}' for c in loan_columns)}, {', '.join(f'events__{c}' for c in event_columns)},
-           (CASE WHEN wide.c_nationkey IS NULL THEN 1 ELSE 0 END) + {' + '.join(f'(CASE WHEN loans__{c} IS NULL THEN 1 ELSE 0 END)' for c in loan_columns)}
-             + {' + '.join(f'(CASE WHEN events__{c} IS NULL THEN 1 ELSE 0 END)' for c in event_columns)} AS na,
+           cast((CASE WHEN wide.c_nationkey IS NULL THEN 1 ELSE 0 END) + {' + '.join(f'(CASE WHEN loans__{c} IS NULL THEN 1 ELSE 0 END)' for c in loan_columns)}
+             + {' + '.join(f'(CASE WHEN events__{c} IS NULL THEN 1 ELSE 0 END)' for c in event_columns)} AS BIGINT) AS na,
            CASE WHEN wide.c_acctbal < 0 OR loans__o_totalprice_mean = 0 THEN NULL
                 ELSE cast(cast(sqrt(wide.c_acctbal / loans__o_totalprice_mean) AS REAL) AS DOUBLE) END AS balance_share,
            CASE WHEN wide.c_nationkey = 0 THEN NULL ELSE cast(cast(loans__l_quantity_mean_mean / wide.c_nationkey AS REAL) AS DOUBLE) END AS quantity_ratio,

@@ -196,7 +196,7 @@ def scalar_reductions(spark, sf_dir):
 @query(
     "top_importance",
     """
-    SELECT l_partkey, sum(cast(l_quantity AS BIGINT)) AS quantity FROM lineitem GROUP BY l_partkey
+    SELECT l_partkey, cast(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY l_partkey
     ORDER BY quantity DESC, l_partkey LIMIT 9
     """,
 )

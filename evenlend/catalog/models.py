@@ -336,7 +336,7 @@ def shap_interaction_means(spark, sf_dir):
     return ex.mean_abs_interactions(model, rows)
 
 
-@query("shap_additivity", "SELECT count(*) AS n, 0 AS off_values, 0 AS off_pairs FROM orders")
+@query("shap_additivity", "SELECT count(*) AS n, 0::BIGINT AS off_values, 0::BIGINT AS off_pairs FROM orders")
 def shap_additivity(spark, sf_dir):
     """Rows whose contributions, or whose interactions, do not add up to the model's margin."""
     rows, model = _boost(spark, sf_dir)

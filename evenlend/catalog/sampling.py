@@ -28,8 +28,8 @@ def sample_by_ids(spark, sf_dir):
 @query(
     "split_by_ids",
     """
-    SELECT 'train' AS part, p_partkey, p_size FROM part WHERE p_partkey IN (SELECT c_custkey FROM customer)
-    UNION ALL SELECT 'test', p_partkey, p_size FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)
+    SELECT 'train' AS part, p_partkey, p_size::BIGINT AS p_size FROM part WHERE p_partkey IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'test', p_partkey, p_size::BIGINT FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)
     """,
 )
 def split_by_ids(spark, sf_dir):
