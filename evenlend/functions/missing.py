@@ -62,14 +62,19 @@ def finite_or_null(c: Column) -> Column:
     return F.when(~(F.isnan(c) | (F.abs(c) == F.lit(INF))), c)
 
 
+def quoted(name: str) -> str:
+    """A column name for SQL text. Wide frames are described in SQL text: one call per column, not ten."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def clean_missing(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """NaN and +-Infinity become NULL in every floating column (or in ``cols``), in one projection."""
     wanted = set(df.columns if cols is None else cols)
-    return df.select(
-        *[
-            finite_or_null(F.col(f"`{f.name}`")).alias(f.name)
-            if f.name in wanted and isinstance(f.dataType, FLOATING)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+    out = []
+    for f in df.schema.fields:
+        c = quoted(f.name)
+        if f.name in wanted and isinstance(f.dataType, FLOATING):
+            out.append(f"CASE WHEN NOT (isnan({c}) OR abs({c}) = double('Infinity')) THEN {c} END AS {c}")
+        else:
+            out.append(c)
+    return df.selectExpr(*out)

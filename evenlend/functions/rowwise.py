@@ -8,7 +8,7 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .missing import FLOATING
+from .missing import FLOATING, quoted
 
 
 # Up to this many columns a plain expression stays inside generated code; wider rows use array functions.
@@ -25,9 +25,9 @@ def row_missing_count(df: DataFrame, names: Sequence[str] | None = None) -> Colu
     kinds = {f.name: f.dataType for f in df.schema.fields}
     flags = []
     for n in wanted:
-        c = F.col(f"`{n}`")
-        flags.append(c.isNull() | F.isnan(c) if isinstance(kinds[n], FLOATING) else c.isNull())
-    return F.size(F.filter(F.array(*flags), lambda missing: missing))
+        c = quoted(n)
+        flags.append(f"({c} IS NULL OR isnan({c}))" if isinstance(kinds[n], FLOATING) else f"{c} IS NULL")
+    return F.expr(f"size(filter(array({', '.join(flags)}), missing -> missing))")
 
 
 def row_sum(names: Sequence[str]) -> Column:

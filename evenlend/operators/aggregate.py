@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.missing import FLOATING
+from ..functions.missing import FLOATING, quoted
 from .categorical import encode_sorted
 from .columns import columns_of_type, map_columns
 from .joins import left_attach, lookup_join
@@ -18,31 +18,30 @@ GROUP_CELLS = 200_000
 HOT_KEYS = 100_000
 
 
-def _value(field: T.StructField) -> Column:
-    c = F.col(f"`{field.name}`")
+def _value(field: T.StructField) -> str:
+    c = quoted(field.name)
     if isinstance(field.dataType, FLOATING):
-        return F.when(~F.isnan(c), c + F.lit(0.0))  # NaN is missing; -0.0 and 0.0 are one value
-    return c.cast("double") if isinstance(field.dataType, T.DecimalType) else c
+        return f"CASE WHEN NOT isnan({c}) THEN {c} + 0.0D END"  # NaN is missing; -0.0 and 0.0 are one value
+    return f"double({c})" if isinstance(field.dataType, T.DecimalType) else c
 
 
 def _summaries(
     fields: Sequence[T.StructField], stats: Sequence[str], hot: bool, infinite_empty: bool
 ) -> list[Column]:
-    def extreme(c: Column, empty: float) -> Column:
-        return F.coalesce(c.cast("double"), F.lit(empty)) if infinite_empty else c.cast("double")
-
-    def one(field: T.StructField, stat: str) -> Column:
-        c = _value(field)
-        return {
-            "mean": lambda: F.avg(c),
-            "sd": lambda: F.stddev_samp(c),
-            "min": lambda: extreme(F.min(c), float("inf")),
-            "max": lambda: extreme(F.max(c), float("-inf")),
-            "sum": lambda: F.coalesce(F.sum(c.cast("double")), F.lit(0.0)),
-            "n_distinct": lambda: (F.count_distinct(c) if hot else F.size(F.array_distinct(F.collect_list(c)))).cast("int"),
-        }[stat]()
-
-    return [one(f, s).alias(f"{f.name}_{s}") for f in fields for s in stats]
+    """One aggregate per field and statistic, in SQL text."""
+    forms = {
+        "mean": "avg({v})",
+        "sd": "stddev_samp({v})",
+        "min": "coalesce(double(min({v})), double('Infinity'))" if infinite_empty else "double(min({v}))",
+        "max": "coalesce(double(max({v})), double('-Infinity'))" if infinite_empty else "double(max({v}))",
+        "sum": "coalesce(sum(double({v})), 0.0D)",
+        "n_distinct": "int(count(DISTINCT {v}))" if hot else "size(array_distinct(collect_list({v})))",
+    }
+    out = []
+    for f in fields:
+        value = _value(f)
+        out += [F.expr(f"{forms[s].format(v=value)} AS {quoted(f'{f.name}_{s}')}") for s in stats]
+    return out
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int, cap: int = HOT_KEYS) -> list | None:
@@ -88,13 +87,13 @@ def summarise_all(
 
     limit = max(1, group_cells // max(1, len(fields)))
     heavy = hot_keys(counts_from if counts_from is not None else df, keys, limit)
-    by_group = _summaries(fields, stats, False, infinite_empty)
-    by_expand = _summaries(fields, stats, True, infinite_empty)
     if heavy is None:
-        return used.groupBy(*keys).agg(*by_expand)
+        return used.groupBy(*keys).agg(*_summaries(fields, stats, True, infinite_empty))
+    by_group = _summaries(fields, stats, False, infinite_empty)
     if not heavy:
         return used.repartition(*keys).groupBy(*keys).agg(*by_group)
     cold = _is_hot(used, heavy, keys, "left_anti").repartition(*keys).groupBy(*keys).agg(*by_group)
+    by_expand = _summaries(fields, stats, True, infinite_empty)
     warm = _is_hot(used, heavy, keys, "left_semi").groupBy(*keys).agg(*by_expand)
     return cold.unionByName(warm)
 

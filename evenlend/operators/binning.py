@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.formulas import pretty_breaks
+from ..functions.missing import quoted
 from .ordering import exact_quantiles
 
 
-def bin_index(c: Column, breaks: Sequence[float], include_lowest: bool) -> Column:
-    """1-based bin of right-closed intervals; NULL outside the edges and, unless included, on the lowest edge."""
-    inside = c >= breaks[0] if include_lowest else c > breaks[0]
-    out = F.when(~inside | F.isnan(c), None)
-    for i, edge in enumerate(breaks[1:], start=1):
-        out = out.when(c <= edge, i)
-    return out.cast("int")
+def bin_index(name: str, breaks: Sequence[float], include_lowest: bool) -> str:
+    """SQL text of the 1-based bin of right-closed intervals; NULL outside the edges and, unless included, on the lowest."""
+    c = f"double({quoted(name)})"
+    edges = [f"double('{float(b)!r}')" for b in breaks]
+    first = f"{c} >= {edges[0]}" if include_lowest else f"{c} > {edges[0]}"
+    steps = " ".join(f"WHEN {c} <= {edge} THEN {i}" for i, edge in enumerate(edges[1:], start=1))
+    return f"CASE WHEN NOT ({first}) OR isnan({c}) THEN NULL {steps} END"
 
 
 def bin_labels(breaks: Sequence[float], include_lowest: bool) -> list[str]:
@@ -29,17 +30,15 @@ def apply_bins(df: DataFrame, breaks: Mapping[str, Sequence[float]], include_low
     """``<col>_bin`` (index, for joins) and ``<col>_label`` (rounded text, for display), in one projection."""
     added = []
     for c, edges in breaks.items():
-        if len(edges) < 2:
-            added.append(F.lit(None).cast("int").alias(f"{c}_bin"))
-            if labels:
-                added.append(F.lit(None).cast("string").alias(f"{c}_label"))
-            continue
-        index = bin_index(F.col(f"`{c}`").cast("double"), edges, include_lowest)
-        added.append(index.alias(f"{c}_bin"))
+        index, names = "NULL", []
+        if len(edges) > 1:
+            index, names = bin_index(c, edges, include_lowest), bin_labels(edges, include_lowest)
+        added.append(f"int({index}) AS {quoted(f'{c}_bin')}")
         if labels:
-            names = F.array(*[F.lit(t) for t in bin_labels(edges, include_lowest)])
-            added.append(F.get(names, index - 1).alias(f"{c}_label"))
-    return df.select("*", *added)
+            shown = ", ".join(f"'{t}'" for t in names)
+            label = f"get(array({shown}), int({index}) - 1)" if names else "NULL"
+            added.append(f"string({label}) AS {quoted(f'{c}_label')}")
+    return df.selectExpr("*", *added)
 
 
 def quantile_breaks(df: DataFrame, cols: Sequence[str], k: int) -> dict[str, list[float]]:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.missing import quoted
 from ..functions.scalars import locale_key
 from ..session import LEVEL_CAP
 from .columns import map_columns
@@ -142,8 +143,19 @@ def collapse_levels(df: DataFrame, col: str, groups: Mapping[str, Sequence[str]]
     return df.withColumn(col, collapse_expr(F.col(col), groups))
 
 
+def text_literal(value: str) -> str:
+    """A string for SQL text, quotes and backslashes escaped."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def explicit_na(df: DataFrame, cols: Sequence[str], label: str = "0") -> DataFrame:
-    return map_columns(df, cols, lambda c: F.coalesce(c.cast("string"), F.lit(label)))
+    wanted, shown = set(cols), text_literal(label)
+    return df.selectExpr(
+        *[
+            f"coalesce(string({quoted(c)}), {shown}) AS {quoted(c)}" if c in wanted else quoted(c)
+            for c in df.columns
+        ]
+    )
 
 
 def ints_to_labels(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
@@ -163,14 +175,15 @@ def dummies(
     In rows with a missing source the level columns are NULL and only ``<col>_NA`` is 1.
     """
     found = bounded_levels(df, cols)
-    out = [F.col(f"`{c}`") for c in df.columns if not (remove and c in set(cols))]
+    out = [quoted(c) for c in df.columns if not (remove and c in set(cols))]
     for c in dict.fromkeys(cols):
         levels = [(v, n) for v, n in found[c] if v is not None]
         common = max(levels, key=lambda x: x[1])[0] if levels and drop == "most_frequent" else None
-        text = F.col(f"`{c}`").cast("string")
+        source = quoted(c)
         for v, _ in levels:
             if v != common:
-                out.append(F.when(text == v, 1).when(text.isNotNull(), 0).alias(f"{c}_{v}"))
+                test = f"string({source}) = {text_literal(v)}"
+                out.append(f"CASE WHEN {test} THEN 1 WHEN {source} IS NOT NULL THEN 0 END AS {quoted(f'{c}_{v}')}")
         if na == "column" and any(v is None for v, _ in found[c]):
-            out.append(F.when(text.isNull(), 1).otherwise(0).alias(f"{c}_NA"))
-    return df.select(*out)
+            out.append(f"CASE WHEN {source} IS NULL THEN 1 ELSE 0 END AS {quoted(f'{c}_NA')}")
+    return df.selectExpr(*out)

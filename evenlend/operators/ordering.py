@@ -39,20 +39,15 @@ def bucket_edges(df: DataFrame, cols: Sequence[str], buckets: int | None = None)
 
 
 def assign_buckets(df: DataFrame, edges: Mapping[str, Sequence[float]], outputs: Mapping[str, str]) -> DataFrame:
-    """Add an integer bucket per column by binary search on the cut points (JVM-side)."""
-    out = df
-    for c, cuts in edges.items():
-        name = outputs[c]
-        if not cuts:
-            out = out.withColumn(name, F.lit(0))
-            continue
-        raw = f"{name}__in"
-        out = out.withColumn(raw, F.col(f"`{c}`").cast("double"))
-        cutter = Bucketizer(
-            splits=[float("-inf"), *cuts, float("inf")], inputCol=raw, outputCol=name, handleInvalid="keep"
-        )
-        out = cutter.transform(out).withColumn(name, F.col(name).cast("int")).drop(raw)
-    return out
+    """Add a bucket number per column by binary search on the cut points, all columns in one projection."""
+    infinite = float("inf")
+    cutter = Bucketizer(
+        splitsArray=[[-infinite, *(cuts or [0.0]), infinite] for cuts in edges.values()],
+        inputCols=list(edges),
+        outputCols=[outputs[c] for c in edges],
+        handleInvalid="keep",
+    )
+    return cutter.transform(df)
 
 
 def running_totals(

@@ -54,6 +54,14 @@ def test_dummies_tie_and_missing_column(spark):
     assert [tuple(r) for r in ca.explicit_na(out, ["x_b"]).orderBy("i").collect()][2][1] == "0"
 
 
+def test_dummies_of_awkward_labels(spark):
+    labels = ["it's", "back\\slash", "ti`ck", "plain", "plain"]
+    df = spark.createDataFrame([(v,) for v in labels], "`odd name` string")
+    out = ca.dummies(df, ["odd name"])
+    assert sorted(out.columns) == sorted(f"odd name_{v}" for v in labels[:3])
+    assert sum(sum(r) for r in out.collect()) == 3
+
+
 def test_integer_columns_become_labels_but_not_the_key(spark):
     df = spark.createDataFrame([(1, 2, 0.5)], "k int, n int, v double")
     assert ca.ints_to_labels(df, ["k"]).dtypes == [("k", "int"), ("n", "string"), ("v", "double")]
