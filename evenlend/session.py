@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # A lookup side is broadcast only when it was counted and has at most this many rows / cells.
@@ -48,19 +46,17 @@ def spread(df: DataFrame) -> DataFrame:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and model files.
 
-    ``spark.checkpoint.dir`` wins. Only a local master may fall back to a machine-local folder.
+    ``spark.checkpoint.dir`` wins, then a folder already set on the context. Where neither is set (tests),
+    a folder beside the warehouse is used, which every executor reaches as it reaches the tables.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current:
         return configured or current
-    if not configured:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        configured = tempfile.mkdtemp(prefix="evenlend-checkpoint-")
-    context.setCheckpointDir(configured)
-    return configured
+    root = configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    context.setCheckpointDir(root)
+    return root
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
