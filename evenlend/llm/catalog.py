@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, sharding, simhash, toxicity
+from . import decontaminate, language, licenses, packing, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,3 +130,38 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_toxicity")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+LICENSE_BASE_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+ph(label, p) AS (VALUES ('mit', ['under', 'the', 'mit', 'license']), ('apache-2', ['apache', 'license', 'version', '2']), ('cc-by-nc', ['cc', 'by', 'nc'])),
+hit AS (
+  SELECT doc_id, label, s FROM (SELECT doc_id, label, w, p, unnest(range(0, len(w) - len(p) + 1)) AS s FROM d, ph WHERE len(w) >= len(p))
+  WHERE w[s + 1:s + len(p)] = p
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, count(s) AS n_base, min(s) AS first_word, max(s) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM d LEFT JOIN hit USING (doc_id) GROUP BY d.doc_id, w
+"""
+
+
+@query("op1_licenses")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["start"])
+    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+@query("op5_pack")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
