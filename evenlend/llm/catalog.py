@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, licenses, packing, sharding, simhash, topk, toxicity
+from . import decontaminate, language, licenses, linededup, packing, sharding, simhash, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,3 +181,123 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 @query("op4_topk", TOPK_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+# The SQL engine counts edits in bytes, so letters beyond ASCII become single unused bytes first.
+LINE_SQL = """
+WITH RECURSIVE l AS (
+  SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (
+    SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
+  )
+),
+c AS (SELECT line, count(*) AS copies, min((doc_id, line_no)) AS class_at FROM l GROUP BY line),
+t AS (
+  SELECT class_at, length(line) AS n, translate(line, 'äöüßÄÖÜéèêàâçëîïôûùáíóúñÁÉÍÓÚÑÇÈÊÀ',
+    concat('#$%&*+/<=>@[]^_`{|}~', chr(1), chr(2), chr(3), chr(4), chr(5), chr(6), chr(7), chr(8), chr(14), chr(15), chr(16), chr(17), chr(18), chr(19), chr(20), chr(21))) AS line
+  FROM c WHERE length(line) >= 20
+),
+near AS (SELECT x.class_at AS a, y.class_at AS b FROM t x JOIN t y ON y.n BETWEEN x.n - 2 AND x.n + 2 AND x.class_at <> y.class_at AND levenshtein(x.line, y.line) <= 2),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
+g AS (SELECT a, least(a, min(b)) AS group_at FROM reach GROUP BY a),
+k AS (SELECT a, count(*) AS links FROM near GROUP BY a)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(length(line) AS INTEGER) AS chars, copies, coalesce(links, 0) AS links,
+  class_at[1] AS class_doc, CAST(class_at[2] AS INTEGER) AS class_line, coalesce(group_at, class_at)[1] AS group_doc,
+  CAST(coalesce(group_at, class_at)[2] AS INTEGER) AS group_line, (doc_id, line_no) = coalesce(group_at, class_at) AS first
+FROM l JOIN c USING (line) LEFT JOIN k ON k.a = class_at LEFT JOIN g ON g.a = class_at
+"""
+
+
+@query("op6_line_dedup", LINE_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line, with the first of its equal lines and the first of its linked group."""
+    found = linededup.line_classes(table(spark, sf_dir, "documents"))
+    places = [F.col(f"{x}_at.{y}").alias(f"{x}_{z}") for x in ("class", "group") for y, z in (("doc_id", "doc"), ("line_no", "line"))]
+    return found.select("doc_id", "line_no", "chars", "copies", "links", *places, "first")
+
+
+# Captures made from the pages, four a page at most: the response itself; a later revisit by another spelling of the URL, with the
+# entity tag or the date; a stale revisit whose tag differs; a revisit by digest just before the response.
+RECORDS_SQL = """
+SELECT page_id, page_id * 4 + k AS record_id, page_id * 1000 + CASE k WHEN 0 THEN 0 WHEN 1 THEN 500000 WHEN 2 THEN 900000 ELSE -1 END AS captured_at,
+  CASE WHEN k = 0 THEN 200 ELSE 304 END AS status,
+  CASE WHEN k = 1 THEN concat(url, '#again') WHEN k = 2 THEN concat(url, '&utm_campaign=x') ELSE url END AS url,
+  md5(coalesce(html, '')) AS digest, k
+FROM pages CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k) WHERE k < 2 OR (k = 2 AND page_id % 5 = 0) OR (k = 3 AND page_id % 7 = 0)
+"""
+
+
+def page_records(pages: DataFrame) -> DataFrame:
+    kinds = F.filter(
+        F.array(F.lit(0), F.lit(1), F.when(F.col("page_id") % 5 == 0, 2), F.when(F.col("page_id") % 7 == 0, 3)), lambda k: k.isNotNull()
+    )
+    rows = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.explode(kinds).alias("k"))
+    k, page = F.col("k"), F.col("page_id")
+    tag = F.concat(F.lit('"'), F.when(k == 2, F.reverse("digest")).otherwise(F.col("digest")), F.lit('"'))
+    url = F.when(k == 1, F.concat("url", F.lit("#again"))).when(k == 2, F.concat("url", F.lit("&utm_campaign=x"))).otherwise(F.col("url"))
+    tagged = (page % 3 != 2) & (k < 3)
+    entries = F.array(
+        F.struct(F.lit("Date").alias("key"), F.concat(F.lit("day "), page * 4 + k).alias("value")),
+        F.struct(F.lit("Cache-Control").alias("key"), F.when(k == 0, "max-age=60").otherwise("max-age=120").alias("value")),
+        F.struct(F.lit("Content-Length").alias("key"), F.when(k == 0, "full").otherwise("0").alias("value")),
+        F.struct(F.lit("ETag").alias("key"), F.when(tagged, tag).alias("value")),
+        F.struct(F.lit("Last-Modified").alias("key"), F.when(k < 3, F.concat(F.lit("day "), page)).alias("value")),
+    )
+    return rows.select(
+        page.alias("page_id"),
+        (page * 4 + k).alias("record_id"),
+        url.alias("url"),
+        (page * 1000 + F.when(k == 0, 0).when(k == 1, 500000).when(k == 2, 900000).otherwise(-1)).alias("captured_at"),
+        F.when(k == 0, 200).otherwise(304).alias("status"),
+        "digest",
+        F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("headers"),
+    )
+
+
+WARC_SQL = rf"""
+WITH r0 AS ({RECORDS_SQL}),
+r1 AS (SELECT *, trim(url) AS u FROM r0),
+r2 AS (
+  SELECT *, regexp_extract(u, '{warc.URL}', 2) AS host, regexp_extract(u, '{warc.URL}', 3) AS port, regexp_extract(u, '{warc.URL}', 4) AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '{warc.URL}', 5), '&'),
+      lambda a: a <> '' AND NOT regexp_matches(a, '{warc.TRACKING}'))), '&') AS args
+  FROM r1
+),
+r AS (
+  SELECT page_id, record_id, captured_at, status, digest, k,
+    CASE WHEN u = '' THEN NULL WHEN host <> '' THEN concat(regexp_replace(lower(host), '^www\.', ''),
+      CASE WHEN port IN ('', '80', '443') THEN '' ELSE concat(':', port) END, regexp_replace(path, '/+$', ''),
+      CASE WHEN args = '' THEN '' ELSE concat('?', args) END) ELSE u END AS canonical_url,
+    CASE WHEN page_id % 3 <> 2 AND k < 3 THEN CASE WHEN k = 2 THEN reverse(digest) ELSE digest END END AS tag,
+    CASE WHEN k < 3 THEN page_id END AS day
+  FROM r2
+),
+j AS (
+  SELECT v.*, o.record_id AS o_id, o.tag AS o_tag, o.day AS o_day, o.digest AS o_digest, o.page_id AS o_page,
+    row_number() OVER (PARTITION BY v.record_id ORDER BY o.captured_at DESC, o.record_id DESC) AS n
+  FROM r v LEFT JOIN r o ON o.status = 200 AND o.canonical_url = v.canonical_url AND o.captured_at < v.captured_at
+  WHERE v.status = 304
+),
+d AS (
+  SELECT *, CASE WHEN tag IS NOT NULL THEN 'etag' WHEN day IS NOT NULL THEN 'last-modified' ELSE 'digest' END AS by_what,
+    CASE WHEN tag IS NOT NULL THEN coalesce(tag = o_tag, false) WHEN day IS NOT NULL THEN coalesce(day = o_day, false)
+      ELSE coalesce(digest = o_digest, false) END AS agrees
+  FROM j WHERE n = 1
+),
+e AS (SELECT *, CASE WHEN o_id IS NULL THEN 'no_response' WHEN agrees THEN 'resolved' ELSE 'mismatch' END AS outcome FROM d)
+SELECT record_id, canonical_url, captured_at, CASE WHEN outcome = 'resolved' THEN o_id END AS response_id, outcome,
+  CASE WHEN outcome = 'resolved' THEN by_what END AS matched_by,
+  concat_ws(';', 'cache-control=max-age=120', concat('content-length=', CASE WHEN outcome = 'resolved' THEN 'full' ELSE '0' END),
+    concat('date=day ', record_id),
+    CASE WHEN coalesce(tag, CASE WHEN outcome = 'resolved' THEN o_tag END) IS NOT NULL
+      THEN concat('etag="', coalesce(tag, CASE WHEN outcome = 'resolved' THEN o_tag END), '"') END,
+    CASE WHEN coalesce(day, CASE WHEN outcome = 'resolved' THEN o_day END) IS NOT NULL
+      THEN concat('last-modified=day ', coalesce(day, CASE WHEN outcome = 'resolved' THEN o_day END)) END) AS headers
+FROM e
+"""
+
+
+@query("op7_warc_revisits", WARC_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(page_records(table(spark, sf_dir, "pages")))
+    line = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.withColumn("headers", F.array_join(line, ";"))
