@@ -7,6 +7,9 @@
 3. A ridge logistic regression is fitted on a bounded sample of about ``SAMPLE_ROWS`` labelled rows, taken by a hash.
 4. Every whole text is scored in one pass without a shuffle.
 
+Texts are not shuffled while the labelled ids are few enough to be broadcast (counted); beyond that the texts that may be
+learned from are joined by id once for the counts, and their sample once more for the fit.
+
 Counts have one entry per hash bucket (``2 ** BUCKET_BITS``), so the model has a fixed size.
 
 Defined cases: null and empty texts get the score of a text without any feature; without labelled rows, or with one
@@ -23,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, text_key
+from .common import cut_lineage, held_out, small_side, text_key
 
 SIZES = (3, 4, 5)
 BUCKET_BITS = 20
@@ -54,7 +57,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, share: float = 1.0) -> DataFra
         drawn = F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(1 << 30))
         rows = rows.filter(drawn < int(share * (1 << 30)))
     marks = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return rows.join(marks, "doc_id").select("toxic", "text")
+    return rows.join(small_side(cut_lineage(marks)), "doc_id").select("toxic", "text")
 
 
 @dataclass
