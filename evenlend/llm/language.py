@@ -50,8 +50,8 @@ def training_rows(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Dat
     """``lang, text`` of about ``per_language`` labelled rows of every language that may be learned from."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
-    drawn = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(1 << 30)).alias("__u"))
-    picked = drawn.join(small_side(sizes, 10_000), "lang").filter(F.col("__u") * F.col("__n") < (per_language << 30))
+    drawn = rows.select("lang", "text", (F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(1 << 30)) / float(1 << 30)).alias("__u"))
+    picked = drawn.join(small_side(sizes, 10_000), "lang").filter(F.col("__u") * F.col("__n") < per_language)
     return picked.select("lang", "text")
 
 
@@ -153,31 +153,35 @@ class Scorer:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred, score`` (the winner's share when scores are read as likelihoods)."""
+    """``doc_id, lang_pred, score`` of every row; the score is the winner's share when scores are read as likelihoods."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            text = batch.column(len(names))
-            found = [scorer.predict(t.as_py()) for t in text]
-            columns = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
+            found = [scorer.predict(t.as_py()) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
-    given = docs.select(*[F.col(f"`{c}`") for c in names])
-    out = given.schema.add("lang_pred", "string").add("score", "double")
-    return given.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, out)
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document; learns from the rows outside the held-out quarter."""
-    narrow = docs.select("doc_id", "text")
-    scored = predict(narrow, learn(docs, per_language))
+    scored = predict(docs, learn(docs, per_language))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.0, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """The documents in a known language, with all their columns; ``und`` and scores under ``least_score`` go."""
-    scored = predict(docs, learn(docs, per_language))
-    return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, per_language))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            found = [scorer.predict(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,8 @@ the weights below the node. A change of one weight moves rows only between the c
 along the path of nodes whose weights changed. A shard added by ``grow`` joins as a region of its own: no other subtree
 changes its weight, hence rows move into the new shard only.
 
-Everything is column expressions; the tree is part of the plan (one comparison per child), the rows never move for it.
+Everything is column expressions; the tree is a literal of the plan, only the children of the chosen nodes draw, and rows
+never move for it.
 
 Defined cases: a null id is a key of its own, repeated ids go to the same shard, a null text has size 1 and the checksum
 of no bytes, an empty table gives no rows. Columns other than id and text are not read.
@@ -44,19 +45,22 @@ def grow(tree: Sequence[Shard], weight: float = 1.0) -> list[Shard]:
     return [*tree, Shard(f"r+{new}", f"k+{new}", new, weight)]
 
 
-def _draw(key: Column, node: str, weight: float) -> Column:
-    digits = F.substring(F.md5(F.concat(key, F.lit(f"|{node}")).cast("binary")), 1, DRAW_BITS // 4)
+def _draw(key: Column, child: Column) -> Column:
+    digits = F.substring(F.md5(F.concat(key, F.lit("|"), child["name"]).cast("binary")), 1, DRAW_BITS // 4)
     unit = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**DRAW_BITS)
-    return F.log(unit) / F.lit(float(weight))
+    return F.log(unit) / child["weight"]
 
 
-def _descend(key: Column, level: list[tuple[str, float, Column]]) -> Column:
-    """The value of the child with the largest draw; equal draws go to the child named first."""
-    if len(level) == 1:
-        return level[0][2]
-    draws = F.array(*[_draw(key, name, weight) for name, weight, _ in level])
-    best = F.array_position(draws, F.array_max(draws)).cast("int")
-    return F.element_at(F.array(*[F.lit(i) for i in range(len(level))]), best)
+def _children(children: Sequence[tuple[str, float, int]]) -> Column:
+    """Name, weight and number of each child."""
+    each = [F.struct(F.lit(n).alias("name"), F.lit(float(w)).alias("weight"), F.lit(-i).alias("order"), F.lit(v).alias("next")) for i, (n, w, v) in enumerate(children)]
+    return F.array(*each)
+
+
+def _winner(key: Column, children: Column) -> Column:
+    """The number of the child with the largest draw; equal draws go to the child named first."""
+    drawn = F.transform(children, lambda c: F.struct(_draw(key, c).alias("draw"), c["order"].alias("order"), c["next"].alias("next")))
+    return F.array_max(drawn)["next"]
 
 
 def place(df: DataFrame, tree: Sequence[Shard], id_col: str = "doc_id", out: str = "shard") -> DataFrame:
@@ -66,25 +70,18 @@ def place(df: DataFrame, tree: Sequence[Shard], id_col: str = "doc_id", out: str
         raise ValueError("the tree has no shard with a weight")
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
     regions = sorted({s.region for s in live})
-    racks = {r: sorted({s.rack for s in live if s.region == r}) for r in regions}
-    leaves = {(r, k): [s for s in live if (s.region, s.rack) == (r, k)] for r in regions for k in racks[r]}
-    weigh = lambda shards: sum(s.weight for s in shards)
-
-    region_pick = _descend(key, [(f"region {r}", weigh([s for s in live if s.region == r]), F.lit(0)) for r in regions])
-    step = df.withColumn("__region", region_pick)
-    rack_pick = F.lit(None).cast("int")
-    for i, r in enumerate(regions):
-        choice = _descend(key, [(f"rack {r}/{k}", weigh(leaves[r, k]), F.lit(0)) for k in racks[r]])
-        rack_pick = F.when(F.col("__region") == i, choice).otherwise(rack_pick)
-    step = step.withColumn("__rack", rack_pick)
-    shard_pick = F.lit(None).cast("int")
-    for i, r in enumerate(regions):
-        for j, k in enumerate(racks[r]):
-            here = leaves[r, k]
-            choice = _descend(key, [(f"shard {r}/{k}/{s.shard}", s.weight, F.lit(0)) for s in here])
-            number = F.element_at(F.array(*[F.lit(s.shard) for s in here]), choice + 1)
-            shard_pick = F.when((F.col("__region") == i) & (F.col("__rack") == j), number).otherwise(shard_pick)
-    return step.withColumn(out, shard_pick).drop("__region", "__rack")
+    racks = sorted({(s.region, s.rack) for s in live})
+    weigh = lambda **at: sum(s.weight for s in live if all(getattr(s, k) == v for k, v in at.items()))
+    top = _children([(f"region {r}", weigh(region=r), i) for i, r in enumerate(regions)])
+    middle = F.array(*[
+        _children([(f"rack {r}/{k}", weigh(region=r, rack=k), i) for i, (of, k) in enumerate(racks) if of == r]) for r in regions
+    ])
+    leaves = F.array(*[
+        _children([(f"shard {r}/{k}/{s.shard}", s.weight, s.shard) for s in live if (s.region, s.rack) == (r, k)]) for r, k in racks
+    ])
+    step = df.withColumn("__region", _winner(key, top))
+    step = step.withColumn("__rack", _winner(key, F.get(middle, F.col("__region"))))
+    return step.withColumn(out, _winner(key, F.get(leaves, F.col("__rack")))).drop("__region", "__rack")
 
 
 def assign(docs: DataFrame, tree: Sequence[Shard], grown: Sequence[Shard] | None = None) -> DataFrame:

@@ -216,7 +216,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     near = cut_lineage(_ranked(_expand(_reach(queries, space, 1 / 3, 0.0), index, space, k, blocks), k))
     full = near.filter(F.col("rank") == k).select(F.col("query_id").alias("__q"), F.col("score").alias("__s"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    better = F.greatest(square + space.norm2 - 2.0 * F.col("__s"), F.lit(0.0))
+    better = F.when(F.col("__s").isNotNull(), F.greatest(square + space.norm2 - 2.0 * F.col("__s"), F.lit(0.0)))
     tight = queries.join(full, F.col("vec_id") == F.col("__q"), "left")
     tight = tight.select("vec_id", "v", F.least("bound", F.coalesce(better, F.col("bound"))).alias("bound"), F.col("bound").alias("old"))
     far = _expand(_reach(tight, space, 1.0, 1 / 3), index, space, k, blocks)
