@@ -18,6 +18,7 @@ with its own pieces; an empty table gives no pieces; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -49,6 +50,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PartEncoder:
     """Identifiers of texts, as little-endian 32-bit bytes, through a two-generation cache of their parts."""
 
@@ -57,30 +62,39 @@ class PartEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
+        self.marks = {mark: self._whole(mark) for mark in ".,"}
         self.limit = cache_parts // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _whole(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _packed(self.tokenizer.encode(part, add_special_tokens=False).ids)
 
     def _word(self, letters: str) -> bytes:
-        """A run of Latin letters goes straight to the merge table: it is already normalised and one pre-token."""
-        symbols = letters.lower().encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(symbols)], dtype="<u4").tobytes()
+        """A run of lower-case Latin letters goes straight to the merge table: it is already normalised and one pre-token."""
+        found = self.young.get(letters) or self.old.get(letters)
+        if found is None:
+            symbols = letters.encode().decode("latin-1").translate(self.letters)
+            found = _packed([t.id for t in self.tokenizer.model.tokenize(symbols)])
+            self._keep(letters, found)
+        return found
+
+    def _keep(self, part: str, found: bytes) -> None:
+        if len(part) <= 64:
+            if len(self.young) >= self.limit:
+                self.old, self.young = self.young, {}
+            self.young[part] = found
 
     def part(self, part: str) -> bytes:
+        """Spellings of a word with a capital or a closing mark share the word's identifiers."""
         found = self.old.get(part)
         if found is None:
             simple = _SIMPLE.fullmatch(part)
-            if simple and simple[2]:
-                found = self.part(simple[1]) + self.part(simple[2])
+            if simple is None:
+                found = self._whole(part)
             else:
-                found = self._word(part) if simple else self._whole(part)
-        if len(part) <= 64:
-            if len(self.young) >= self.limit:
-                self.old, self.young = self.young, {}
-            self.young[part] = found
+                found = self._word(simple[1].lower()) + (self.marks[simple[2]] if simple[2] else b"")
+        self._keep(part, found)
         return found
 
     def encode(self, text: str) -> bytes:
