@@ -113,10 +113,17 @@ def _index(rows: DataFrame, space: Space) -> DataFrame:
     return placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
 
 
-def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
-    frame = pd.DataFrame({"query_id": query, "vec_id": ids, "score": score})
-    frame = frame.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-    return frame.groupby("query_id", sort=False).head(k)
+def _best(scores: np.ndarray, out: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best of every column of ``scores`` but those marked ``out``, ties to the smaller id."""
+    n = len(scores)
+    scores = np.where(out, scores.min() - 1, scores)
+    least = np.partition(scores, n - k, axis=0)[n - k] if n > k else scores.min()
+    row, col = np.nonzero((scores >= least) & ~out)
+    order = np.lexsort((ids[row], -scores[row, col], col))
+    row, col = row[order], col[order]
+    first = np.searchsorted(col, col)
+    keep = np.arange(len(col)) - first < k
+    return row[keep], col[keep]
 
 
 def _probe(queries: DataFrame, space: Space, ids: np.ndarray, sample: np.ndarray, k: int) -> DataFrame:
@@ -178,17 +185,19 @@ def _expand(reach: DataFrame, index: DataFrame, space: Space, k: int, blocks: in
         room = SLACK * (1 + centre)
         first = np.searchsorted(dist, centre - radius - room, "left")
         last = np.searchsorted(dist, centre + radius + room, "right")
+        asks, place = queries["query_id"].to_numpy(), np.arange(len(x))[:, None]
         found = []
-        for i, own in enumerate(queries["query_id"].to_numpy()):
-            near = slice(first[i], last[i])
-            score = x[near] @ q[i]
-            other = ids[near] != own
-            score, there = score[other], ids[near][other]
-            if len(score) > k:
-                least = np.partition(score, len(score) - k)[len(score) - k]
-                score, there = score[score >= least], there[score >= least]
-            if len(score):
-                found.append(_best(np.full(len(score), own), there, score, k))
+        for at in range(0, len(q), CHUNK):
+            part = at + np.flatnonzero(last[at : at + CHUNK] > first[at : at + CHUNK])
+            if not len(part):
+                continue
+            lo, hi = first[part].min(), last[part].max()
+            # No product exceeds the largest squared norm; below 2^53 doubles hold products and sums exactly.
+            kind = np.float64 if space.norm2 < 2**52 else np.int64
+            exact = x[lo:hi].astype(kind) @ q[part].astype(kind).T
+            out = (place[lo:hi] < first[part]) | (place[lo:hi] >= last[part]) | (ids[lo:hi, None] == asks[part])
+            row, col = _best(exact, out, ids[lo:hi], k)
+            found.append(pd.DataFrame({"query_id": asks[part[col]], "vec_id": ids[lo:hi][row], "score": exact[row, col].astype(np.int64)}))
         return pd.concat(found, ignore_index=True) if found else empty
 
     grouped = held.select("vec_id", "v", "dist", *cell).groupBy(*cell).cogroup(asked.select("query_id", "v", "bound", *cell).groupBy(*cell))
