@@ -41,22 +41,26 @@ def hot_group_summary(spark, sf_dir):
     return tidy(ag.summarise_all(lines, "l_returnflag", cols=["l_quantity", "l_partkey"], group_cells=10_000), 4)
 
 
-def single_six(expr: str, name: str) -> str:
+def single_six(expr: str, name: str, counted: str | None = None) -> str:
     """The six summaries at single precision, which hides the summation order of either engine."""
     forms = {"mean": "avg({})", "sd": "stddev_samp({})", "min": "min({})", "max": "max({})", "sum": "coalesce(sum({}), 0)"}
     shown = [f"cast(cast({f.format(expr)} AS REAL) AS DOUBLE) AS {name}_{s}" for s, f in forms.items()]
-    return ", ".join([*shown, f"count(DISTINCT {expr}) AS {name}_n_distinct"])
+    return ", ".join([*shown, f"count(DISTINCT {counted or expr}) AS {name}_n_distinct"])
 
 
 def _nested_sql() -> str:
     inner_cols = {"l_quantity": "l_quantity", "l_linenumber": "l_linenumber", "l_returnflag": "f.code"}
     inner = ", ".join(
-        f"round(avg({e}), 9) AS {n}_mean, round(stddev_samp({e}), 9) AS {n}_sd, min({e}) AS {n}_min, max({e}) AS {n}_max, "
+        f"avg({e}) AS {n}_mean, stddev_samp({e}) AS {n}_sd, min({e}) AS {n}_min, max({e}) AS {n}_max, "
         f"coalesce(sum(cast({e} AS DOUBLE)), 0) AS {n}_sum, count(DISTINCT {e}) AS {n}_n_distinct"
         for n, e in inner_cols.items()
     )
     outer = [single_six("floor(o_totalprice)", "o_totalprice"), single_six("c.code", "o_orderstatus")]
-    outer += [single_six(f"g.{n}_{s}", f"{n}_{s}") for n in inner_cols for s in STATS]
+    outer += [
+        single_six(f"g.{n}_{s}", f"{n}_{s}", f"round(g.{n}_{s}, 9)" if s in ("mean", "sd") else None)
+        for n in inner_cols
+        for s in STATS
+    ]
     return f"""
     WITH g AS (
       SELECT l_orderkey, {inner} FROM lineitem
@@ -416,18 +420,20 @@ def application_features(spark, sf_dir):
 def _feature_job_sql() -> str:
     inner = {"l_quantity": "l_quantity", "l_returnflag": "f.code"}
     first = ", ".join(
-        f"round(avg({e}), 9) AS {n}_mean, min({e}) AS {n}_min, max({e}) AS {n}_max, count(DISTINCT {e}) AS {n}_n_distinct"
+        f"avg({e}) AS {n}_mean, min({e}) AS {n}_min, max({e}) AS {n}_max, count(DISTINCT {e}) AS {n}_n_distinct"
         for n, e in inner.items()
     )
 
-    def single(expr: str, name: str, stats: tuple[str, ...]) -> str:
+    def single(expr: str, name: str, stats: tuple[str, ...], counted: str | None = None) -> str:
         forms = {"mean": "avg({})", "min": "min({})", "max": "max({})"}
         shown = [f"cast(cast({forms[s].format(expr)} AS REAL) AS DOUBLE) AS {name}_{s}" for s in stats if s in forms]
-        return ", ".join([*shown, f"count(DISTINCT {expr}) AS {name}_n_distinct"])
+        return ", ".join([*shown, f"count(DISTINCT {counted or expr}) AS {name}_n_distinct"])
 
     stats = ("mean", "min", "max", "n_distinct")
     second = [single("floor(o_totalprice)", "o_totalprice", stats)]
-    second += [single(f"g.{n}_{s}", f"{n}_{s}", stats) for n in inner for s in stats]
+    second += [
+        single(f"g.{n}_{s}", f"{n}_{s}", stats, f"round(g.{n}_{s}, 9)" if s == "mean" else None) for n in inner for s in stats
+    ]
     loan_columns = [f"o_totalprice_{s}" for s in stats] + [f"{n}_{s}_{t}" for n in inner for s in stats for t in stats]
     event_columns = [f"{c}_{s}" for c in ("value", "event_type") for s in stats]
     loans = ", ".join(f"loans.{c} AS loans__{c}" for c in loan_columns)

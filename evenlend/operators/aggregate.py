@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.missing import FLOATING, quoted
 from .categorical import encode_sorted
-from .columns import columns_of_type, map_columns
+from .columns import columns_of_type
 from .joins import left_attach, lookup_join
 from .ordering import exact_quantiles
 
@@ -25,8 +25,17 @@ def _value(field: T.StructField) -> str:
     return f"double({c})" if isinstance(field.dataType, T.DecimalType) else c
 
 
+def _counted(field: T.StructField, digits: int | None) -> str:
+    """The value whose distinct values are counted; inexact ones to ``digits`` significant digits."""
+    v = _value(field)
+    if digits is None or not isinstance(field.dataType, FLOATING):
+        return v
+    unit = f"power(10.0D, floor(log10(abs({v}))) - {digits - 1})"
+    return f"CASE WHEN {v} = 0.0D OR abs({v}) = double('Infinity') THEN {v} ELSE round({v} / {unit}) * {unit} END"
+
+
 def _summaries(
-    fields: Sequence[T.StructField], stats: Sequence[str], hot: bool, infinite_empty: bool
+    fields: Sequence[T.StructField], stats: Sequence[str], hot: bool, infinite_empty: bool, digits: int | None = None
 ) -> list[Column]:
     """One aggregate per field and statistic, in SQL text."""
     forms = {
@@ -40,7 +49,10 @@ def _summaries(
     out = []
     for f in fields:
         value = _value(f)
-        out += [F.expr(f"{forms[s].format(v=value)} AS {quoted(f'{f.name}_{s}')}") for s in stats]
+        inexact = digits if f.name.endswith(("_mean", "_sd")) else None
+        for s in stats:
+            v = _counted(f, inexact) if s == "n_distinct" else value
+            out.append(F.expr(f"{forms[s].format(v=v)} AS {quoted(f'{f.name}_{s}')}"))
     return out
 
 
@@ -67,6 +79,7 @@ def summarise_all(
     counts_from: DataFrame | None = None,
     group_cells: int = GROUP_CELLS,
     infinite_empty: bool = False,
+    counted_digits: int | None = None,
 ) -> DataFrame:
     """Per key, every statistic of every other numeric column, missing values left out: ``<col>_<stat>``.
 
@@ -76,24 +89,25 @@ def summarise_all(
     rows than ``group_cells / columns`` are found first by a count and go through a distinct aggregate with
     map-side combining, which spreads their values over all tasks. ``counts_from`` may name a cheaper table
     with the same rows per key (for example the child before it was joined). ``infinite_empty`` gives an
-    empty group the minimum +Infinity and maximum -Infinity instead of NULL.
+    empty group the minimum +Infinity and maximum -Infinity instead of NULL. With ``counted_digits`` the distinct
+    values of earlier means and deviations are told apart by that many significant digits.
     """
     keys = [key] if isinstance(key, str) else list(key)
     numeric = {f.name: f for f in df.schema.fields if isinstance(f.dataType, (T.NumericType,)) and f.name not in keys}
     fields = list(numeric.values()) if cols is None else [numeric[c] for c in cols]
     used = df.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"`{f.name}`") for f in fields])
     if "n_distinct" not in stats:
-        return used.groupBy(*keys).agg(*_summaries(fields, stats, False, infinite_empty))
+        return used.groupBy(*keys).agg(*_summaries(fields, stats, False, infinite_empty, counted_digits))
 
     limit = max(1, group_cells // max(1, len(fields)))
     heavy = hot_keys(counts_from if counts_from is not None else df, keys, limit)
     if heavy is None:
-        return used.groupBy(*keys).agg(*_summaries(fields, stats, True, infinite_empty))
-    by_group = _summaries(fields, stats, False, infinite_empty)
+        return used.groupBy(*keys).agg(*_summaries(fields, stats, True, infinite_empty, counted_digits))
+    by_group = _summaries(fields, stats, False, infinite_empty, counted_digits)
     if not heavy:
         return used.repartition(*keys).groupBy(*keys).agg(*by_group)
     cold = _is_hot(used, heavy, keys, "left_anti").repartition(*keys).groupBy(*keys).agg(*by_group)
-    by_expand = _summaries(fields, stats, True, infinite_empty)
+    by_expand = _summaries(fields, stats, True, infinite_empty, counted_digits)
     warm = _is_hot(used, heavy, keys, "left_semi").groupBy(*keys).agg(*by_expand)
     return cold.unionByName(warm)
 
@@ -114,18 +128,19 @@ def summarise_nested(
     parent_key: str,
     stats: Sequence[str] = SIX,
     infinite_empty: bool = False,
-    digits: int = 9,
+    counted_digits: int = 12,
 ) -> DataFrame:
     """Grandchild rows summarised per child, attached to the child, then summarised again per parent.
 
-    Inner means and deviations are rounded to ``digits`` decimals: the last bits of a distributed sum depend
-    on the order of its parts, and the outer distinct counts must not.
+    The last bits of a distributed sum depend on the order of its parts, and the outer distinct counts must not: inner
+    means and deviations are counted by ``counted_digits`` significant digits, all other statistics use them as they are.
     """
     inner = encode_and_summarise(grand, child_key, stats=stats, infinite_empty=infinite_empty)
-    inner = map_columns(inner, lambda f: f.name.endswith(("_mean", "_sd")), lambda c: F.round(c, digits))
     coded = encode_sorted(child, columns_of_type(child, T.StringType, exclude=[child_key, parent_key]))
     wide = left_attach(coded, inner, child_key).drop(child_key)
-    return summarise_all(wide, parent_key, stats, counts_from=child, infinite_empty=infinite_empty)
+    return summarise_all(
+        wide, parent_key, stats, counts_from=child, infinite_empty=infinite_empty, counted_digits=counted_digits
+    )
 
 
 def group_median(df: DataFrame, key: str, col: str, na_rm: bool = False, out: str = "median") -> DataFrame:

@@ -34,11 +34,13 @@ def driver_levels(df: DataFrame, cols: Sequence[str], cap: int = LEVEL_CAP) -> d
     return out
 
 
-def bounded_levels(df: DataFrame, cols: Sequence[str], cap: int = LEVEL_CAP) -> dict[str, list[tuple[str, int]]]:
-    found = driver_levels(df, cols, cap)
-    if found is None:
-        raise ValueError(f"columns {list(cols)} have more than {cap} levels; this operator needs closed level sets")
-    return found
+def closed_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[tuple[str, int]]]:
+    """Levels with counts where each level becomes a column of the result, so that the schema holds them anyway."""
+    counts = label_counts(df, cols).withColumn("folded", F.lower("level"))
+    out: dict[str, list] = {c: [] for c in cols}
+    for r in sorted(counts.collect(), key=lambda r: (r["folded"] is None, r["folded"] or "", r["level"] or "")):
+        out[r["column"]].append((r["level"], r["n"]))
+    return out
 
 
 def levels_by_freq(df: DataFrame, col: str) -> DataFrame:
@@ -174,7 +176,7 @@ def dummies(
 
     In rows with a missing source the level columns are NULL and only ``<col>_NA`` is 1.
     """
-    found = bounded_levels(df, cols)
+    found = closed_levels(df, cols)
     out = [quoted(c) for c in df.columns if not (remove and c in set(cols))]
     for c in dict.fromkeys(cols):
         levels = [(v, n) for v, n in found[c] if v is not None]
@@ -187,3 +189,19 @@ def dummies(
         if na == "column" and any(v is None for v, _ in found[c]):
             out.append(f"CASE WHEN {source} IS NULL THEN 1 ELSE 0 END AS {quoted(f'{c}_NA')}")
     return df.selectExpr(*out)
+
+
+def dummies_long(df: DataFrame, key: Sequence[str], cols: Sequence[str], drop: str | None = "most_frequent") -> DataFrame:
+    """``key..., column, level``: the ones of all dummy columns, one row each, for columns of any number of levels.
+
+    Levels stay a table. The most frequent level of a column (the first in sorted order among equals) is the reference and
+    has no row; a missing value has the NULL level.
+    """
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("level")) for c in dict.fromkeys(cols)]
+    ones = df.select(*[F.col(f"`{k}`") for k in key], F.inline(F.array(*cells)))
+    if drop != "most_frequent":
+        return ones
+    known = label_counts(df, list(dict.fromkeys(cols))).filter("level IS NOT NULL")
+    rank = F.struct((-F.col("n")).alias("n"), locale_key(F.col("level")))
+    common = known.groupBy("column").agg(F.min_by("level", rank).alias("__common"))  # one row per named column
+    return ones.join(F.broadcast(common), "column", "left").filter("level IS NULL OR level <> __common").select(*key, "column", "level")

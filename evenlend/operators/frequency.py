@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from math import prod
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .categorical import bounded_levels
-
-CELL_LIMIT = 2_000_000
+from .categorical import driver_levels, levels_sorted
 
+GRID_ROWS = 500_000
 
 def freq(df: DataFrame, *keys: str, dropna: bool = False) -> DataFrame:
     """Rows per key combination. Missing values count as a level unless ``dropna``."""
@@ -18,25 +17,38 @@ def freq(df: DataFrame, *keys: str, dropna: bool = False) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def level_grid(df: DataFrame, levels: Mapping[str, Sequence[object]], limit: int = CELL_LIMIT) -> DataFrame:
-    """Every combination of the given levels, one row each, generated without a join."""
-    cells = prod(len(v) for v in levels.values())
-    if cells > limit:
-        raise ValueError(f"{cells} cells exceed the limit of {limit}; use fewer or coarser dimensions")
-    grid = df.sparkSession.range(1)
+def level_grid(df: DataFrame, levels: Mapping[str, Sequence[object] | DataFrame]) -> DataFrame:
+    """Every combination of the given levels, one row each, generated in parallel from the number of the cell.
+
+    Levels are a list, or a table ``level, ord`` with places from 1 where a column has too many for a list.
+    """
+    sizes = {n: v.count() if isinstance(v, DataFrame) else len(v) for n, v in levels.items()}
+    cells, step = prod(sizes.values()), prod(sizes.values())
+    parts = max(1, min(cells // GRID_ROWS + 1, 100_000))
+    grid = df.sparkSession.range(0, cells, 1, parts).withColumnRenamed("id", "__cell")
     for name, values in levels.items():
         kind = df.schema[name].dataType
-        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v).cast(kind) for v in values])))
+        step //= max(1, sizes[name])
+        place = F.floor(F.col("__cell") / max(1, step)) % max(1, sizes[name])
+        if isinstance(values, DataFrame):
+            table = values.select((F.col("ord") - 1).cast("bigint").alias("__place"), F.col("level").cast(kind).alias(name))
+            grid = grid.withColumn("__place", place.cast("bigint")).join(table, "__place").drop("__place")
+        else:
+            known = F.array(*[F.lit(v).cast(kind) for v in values]) if values else F.array().cast(T.ArrayType(kind))
+            grid = grid.withColumn(name, F.get(known, place.cast("int")))
     return grid.select(*levels)
 
 
-def _levels_of(df: DataFrame, dims: Sequence[str], levels: Mapping[str, Sequence[object]] | None) -> dict[str, list]:
-    given = dict(levels or {})
+def _levels_of(
+    df: DataFrame, dims: Sequence[str], levels: Mapping[str, Sequence[object]] | None
+) -> dict[str, Sequence[object] | DataFrame]:
+    given: dict[str, Sequence[object] | DataFrame] = dict(levels or {})
     open_dims = [d for d in dims if d not in given]
     if open_dims:
-        found = bounded_levels(df, open_dims)
-        given.update({d: [v for v, _ in found[d] if v is not None] for d in open_dims})
-    return {d: list(given[d]) for d in dims}
+        found = driver_levels(df, open_dims)
+        for d in open_dims:
+            given[d] = [v for v, _ in found[d] if v is not None] if found is not None else levels_sorted(df, d)
+    return {d: given[d] for d in dims}
 
 
 def freq_complete(

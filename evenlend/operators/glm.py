@@ -15,8 +15,8 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.formulas import chi2_tail, normal_two_sided
-from ..session import spread
-from .categorical import bounded_levels
+from ..session import work_partitions
+from .categorical import closed_levels
 from .metrics import auc_ci
 
 INTERCEPT = "(Intercept)"
@@ -84,7 +84,7 @@ def make_design(
     """
     names = [c for c in (features or df.columns) if c not in {label, *exclude}]
     text = [n for n in names if isinstance(df.schema[n].dataType, (T.StringType, T.BooleanType))]
-    found = bounded_levels(df, text) if text else {}
+    found = closed_levels(df, text) if text else {}
     levels = {}
     for n in text:
         ranked = [(v, k) for v, k in found[n] if v is not None]
@@ -106,22 +106,27 @@ def gramian(df: DataFrame, columns: Mapping[str, Column], weight: Column | None
 
 
 def aliased_columns(gram: np.ndarray, names: Sequence[str], tolerance: float = ALIAS_TOLERANCE) -> list[str]:
-    """Columns that are linear combinations of the intercept and earlier columns."""
-    kept: list[int] = [0]
+    """Columns that are linear combinations of the intercept and earlier columns.
+
+    ``gram`` is of centred columns, so the share of variance that earlier columns leave unexplained does not depend on
+    a column's offset or unit. One Cholesky factorisation in column order finds them all.
+    """
+    spread_of = np.diag(gram)[1:]
+    scale = np.sqrt(np.where(spread_of > 0, spread_of, 1.0))
+    unit = gram[1:, 1:] / np.outer(scale, scale)
+    kept: list[int] = []
+    factor = np.zeros((len(names), len(names)))
     dropped = []
-    scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
-    unit = gram / np.outer(scale, scale)
-    for j, name in enumerate(names, start=1):
-        if gram[j, j] <= 0:
-            dropped.append(name)
-            continue
-        inner = unit[np.ix_(kept, kept)]
-        cross = unit[kept, j]
-        left = unit[j, j] - cross @ np.linalg.solve(inner, cross)
+    for j, name in enumerate(names):
+        row = factor[j]
+        for c, i in enumerate(kept):
+            row[c] = (unit[j, i] - row[:c] @ factor[i, :c]) / factor[i, c]
+        left = unit[j, j] - row[: len(kept)] @ row[: len(kept)] if spread_of[j] > 0 else 0.0
         if left < tolerance:
             dropped.append(name)
-        else:
-            kept.append(j)
+            continue
+        factor[j, len(kept)] = math.sqrt(left)
+        kept.append(j)
     return dropped
 
 
@@ -132,27 +137,35 @@ def logit_fit(df: DataFrame, design: Design, max_iter: int = 50, tol: float = 1e
     rows = df.select(
         F.col(f"`{design.label}`").cast("double").alias("y"), *[c.alias(n) for n, c in zip(names, columns.values())]
     ).dropna()
-    rows = spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.repartition(work_partitions(df.sparkSession)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        gram = gramian(rows, {n: F.col(n) for n in names})
-        dropped = set(aliased_columns(gram, names))
+        middle = rows.agg(*[F.avg(n).alias(n) for n in names]).first() if names else {}
+        centred = {n: F.col(n) - F.lit(float(middle[n] or 0.0)) for n in names}
+        dropped = set(aliased_columns(gramian(rows, centred), names))
         used = [n for n in names if n not in dropped]
         labels = dict(zip(names, columns))
         if not used:
             return _null_model(rows, design, tuple(labels[n] for n in names))
-        data = VectorAssembler(inputCols=used, outputCol="features").transform(rows).select("y", "features")
+        moved = rows.select("y", *[centred[n].alias(n) for n in used])
+        data = VectorAssembler(inputCols=used, outputCol="features").transform(moved).select("y", "features")
         fit = GeneralizedLinearRegression(
             family="binomial", link="logit", labelCol="y", maxIter=max_iter, tol=tol
         ).fit(data)
-        errors = list(fit.summary.coefficientStandardErrors)
-        estimates = {INTERCEPT: fit.intercept, **{labels[n]: float(v) for n, v in zip(used, fit.coefficients)}}
-        eta = _balanced_sum([F.lit(fit.intercept), *[F.col(n) * F.lit(float(v)) for n, v in zip(used, fit.coefficients)]])
+        slopes = [float(v) for v in fit.coefficients]
+        offsets = np.array([1.0, *[-float(middle[n]) for n in used]])
+        eta = _balanced_sum([F.lit(fit.intercept), *[centred[n] * F.lit(v) for n, v in zip(used, slopes)]])
+        p = 1.0 / (1.0 + F.exp(-eta))
+        covariance = np.linalg.inv(gramian(rows, {n: centred[n] for n in used}, p * (1.0 - p)))
+        errors = np.sqrt(np.diag(covariance))[1:].tolist()
+        intercept = fit.intercept + float(offsets[1:] @ slopes)
+        estimates = {INTERCEPT: intercept, **{labels[n]: v for n, v in zip(used, slopes)}}
+        intercept_error = math.sqrt(float(offsets @ covariance @ offsets))
         n, positives, loss = rows.agg(F.count(F.lit(1)), F.sum("y"), F.sum(_log_loss(F.col("y"), eta))).first()
         deviance = 2.0 * loss
         return LogitModel(
             design,
             estimates,
-            {INTERCEPT: errors[-1], **{labels[n]: e for n, e in zip(used, errors)}},
+            {INTERCEPT: intercept_error, **{labels[n]: e for n, e in zip(used, errors)}},
             deviance,
             _null_deviance(n, positives),
             deviance + 2.0 * len(estimates),
@@ -266,12 +279,11 @@ def vif(model: LogitModel, df: DataFrame) -> DataFrame:
 def residuals(model: LogitModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Fitted values, linear predictor and deviance residuals per row."""
     y = F.col(f"`{model.design.label}`").cast("double")
-    p = F.col("fitted")
-    loss = F.when(y == 1.0, -2.0 * F.log(p)).when(y == 0.0, -2.0 * F.log(1.0 - p))
+    loss = 2.0 * _log_loss(y, F.col("link"))
     return (
         df.select(*keep, model.design.label, linear_predictor(model).alias("link"))
         .withColumn("fitted", 1.0 / (1.0 + F.exp(-F.col("link"))))
-        .withColumn("deviance_residual", F.signum(y - p) * F.sqrt(loss))
+        .withColumn("deviance_residual", F.signum(y - F.col("fitted")) * F.sqrt(loss))
     )
 
 

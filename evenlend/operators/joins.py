@@ -7,9 +7,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import BROADCAST_CELLS, BROADCAST_ROWS
+from ..session import BROADCAST_CELLS, BROADCAST_ROWS, cut_lineage
 from .ordering import with_row_number
 
+HOT_ROWS = 2_000_000
+
 
 def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS, cells: int = BROADCAST_CELLS) -> bool:
     """Counts at most ``rows``+1 rows of ``table`` and says whether it is small enough to broadcast."""
@@ -17,14 +19,22 @@ def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS, cells: int = BR
     return table.limit(bound + 1).count() <= bound
 
 
-def salted_join(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", salts: int = 16) -> DataFrame:
-    """Equi join that spreads every key of ``df`` over ``salts`` tasks by repeating ``table`` per salt.
+def salted_join(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Equi join in which every key with more than ``hot_rows`` rows in ``df`` is spread over tasks of about that size.
 
-    The salt is a hash of the row, so a retried task places each row where it was before.
+    Keys are counted first; only hot ones get salts, as many as their count asks for, and only their rows of ``table``
+    are repeated. The salt is a hash of the row, so a retried task places each row where it was before.
     """
-    salt = "__salt"
-    left = df.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int"))
-    right = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt, salts = "__salt", "__salts"
+    counts = df.groupBy(*[F.col(f"`{c}`") for c in on]).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
+    hot = cut_lineage(counts.select(*[F.col(f"`{c}`") for c in on], F.ceil(F.col("__n") / hot_rows).cast("int").alias(salts)))
+    if hot.isEmpty():
+        return df.join(table, list(on), how)
+    side = F.broadcast(hot) if fits_broadcast(hot) else hot
+    left, right = df.join(side, list(on), "left"), table.join(side, list(on), "left")
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    left = left.withColumn(salt, F.when(F.col(salts).isNotNull(), F.pmod(row, F.col(salts)).cast("int")).otherwise(0)).drop(salts)
+    right = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1))).drop(salts)
     return left.join(right, [*on, salt], how).drop(salt)
 
 

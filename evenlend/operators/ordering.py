@@ -13,11 +13,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import work_partitions
+from ..session import cut_lineage, work_partitions
 
 BUCKET = "__bucket"
 CHUNK = "__chunk"
 QUANTILE_BUCKETS = 256
+# Rows that one range bucket of a global order should hold.
+BUCKET_ROWS = 4_000_000
 # Buckets with wanted ranks: up to this many are broadcast, and up to this many rows of one meet in a window.
 WANTED_CHUNKS = 20_000
 WINDOW_ROWS = 4_000_000
@@ -101,36 +103,21 @@ def running_totals(
     return joined.select(*keep, *added)
 
 
-def _split_points(df: DataFrame, sort: Column, buckets: int) -> list:
-    """Evenly spaced sort keys out of a hash sample of the rows (only the balance depends on the sample)."""
-    rows = df.count()
-    keep_one_in = max(1, rows // (buckets * 40))
-    sample = df.select(sort.alias("s")).filter(F.pmod(F.xxhash64("s"), F.lit(keep_one_in)) == 0)
-    points = [r["s"] for r in sample.orderBy("s").collect()]  # about 40 keys per bucket
-    step = max(1, len(points) // buckets)
-    return points[step::step][: buckets - 1]
-
-
 def position_by(df: DataFrame, sort: Column, out: str, buckets: int | None = None) -> DataFrame:
-    """1-based position of each row by a unique sort key of any orderable struct type."""
-    spark = df.sparkSession
-    n = buckets or min(256, work_partitions(spark))
-    keyed = df.withColumn("__sort", sort)
-    kind = keyed.schema["__sort"].dataType
-    points = _split_points(keyed, F.col("__sort"), n)
-
-    def literal(point) -> Column:
-        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(point, kind.fields)])
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("__sort") < literal(points[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    placed = keyed.withColumn("__place", tree(0, len(points)))
-    ranked = running_totals(placed, "__sort", {out: F.lit(1).cast("long")}, bucket="__place")
-    return ranked.drop("__sort", "__place")
+    """1-based position of each row by a sort key of any orderable type; equal keys are numbered in some order.
+
+    Rows are range-partitioned and written once; a row's position is its index in its partition plus the sizes of the
+    partitions before it. The offsets have one row per partition.
+    """
+    n = buckets or max(work_partitions(df.sparkSession), df.count() // BUCKET_ROWS)
+    keyed = df.withColumn("__sort", sort).repartitionByRange(n, "__sort").sortWithinPartitions("__sort")
+    fixed = cut_lineage(keyed.drop("__sort").withColumn("__at", F.monotonically_increasing_id()))
+    fixed = fixed.withColumn("__part", F.shiftright("__at", 33))
+    sizes = fixed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    placed = fixed.join(F.broadcast(offsets), "__part")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias(out))
 
 
 def with_row_number(df: DataFrame, order_key: str, out: str = "row_number", groups: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,8 @@ from .frequency import freq
 from .joins import fits_broadcast, sample_by_ids, sample_by_rownum, union_all
 
 SCORE_BITS = 32
-BUCKET_BITS = 10
+BUCKET_BITS = 10  # at least; tables of over 2**30 rows get more slices, so that one holds about SLICE_ROWS rows
+SLICE_ROWS = 1 << 20
 
 
 def uniform_score(key: Column, seed: int = 0) -> Column:
@@ -47,15 +48,16 @@ def stratified_exact(
 ) -> DataFrame:
     """Exactly ``size`` rows per stratum without replacement (all rows when the stratum is smaller).
 
-    The sample is the ``size`` lowest scores. Scores are cut into 1,024 equal slices; counts per (stratum,
-    slice) tell which slices are taken whole, which one is taken in part and which not at all. Whole slices
+    The sample is the ``size`` lowest scores. Scores are cut into equal slices, 1,024 or more as the table grows; counts per
+    (stratum, slice) tell which slices are taken whole, which one is taken in part and which not at all. Whole slices
     need only a lookup, and a ranking window runs on the one partial slice per stratum, so a stratum that
     holds a third of the table never meets in one task.
     """
     names = list(strata)
     score = uniform_score(F.col(key), seed) if score is None else score
-    shift = SCORE_BITS - BUCKET_BITS
-    scored = df.withColumn("__score", score).withColumn("__slice", F.shiftright(F.col("__score"), shift).cast("int"))
+    bits = min(SCORE_BITS, max(BUCKET_BITS, (df.count() // SLICE_ROWS).bit_length()))
+    shift = SCORE_BITS - bits
+    scored = df.withColumn("__score", score).withColumn("__slice", F.shiftright(F.col("__score"), shift))
 
     counts = scored.dropna(subset=names).groupBy(*names, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*names).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 # A lookup side is broadcast only when it was counted and has at most this many rows / cells.
 BROADCAST_ROWS = 200_000
 BROADCAST_CELLS = 1_000_000
-# Level lists (distinct labels of one categorical column) up to this size may live on the driver.
+# Level lists (distinct labels of categorical columns) up to this size are handled on the driver, longer ones as tables.
 LEVEL_CAP = 20_000
 
 
@@ -31,16 +31,7 @@ def build_session(app: str = "evenlend", master: str | None = None, **conf: obje
 
 def work_partitions(spark: SparkSession) -> int:
     """How many range buckets an ordered operator should aim for."""
-    return max(8, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the table comes in fewer files than there are cores.
-
-    Used before iterative fits, which pass over their input many times; larger inputs stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def checkpoint_root(spark: SparkSession) -> str:

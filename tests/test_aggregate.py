@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenlend.functions import missing as m
-from evenlend.operators import aggregate as ag, frequency as fr, joins as jn
+from evenlend.operators import aggregate as ag, categorical as ct, frequency as fr, joins as jn
+from evenlend.operators.glm import make_design
 
 EDGE = [(1, 1.0, 0.0), (1, 0.0, 0.0), (2, None, 5.0), (3, 7.0, 1.0), (4, -3.0, 2.0), (4, 3.0, 2.0), (4, 3.0, 2.0)]
 
@@ -100,8 +101,18 @@ def test_contingency_sums_to_one_and_keeps_zero_cells(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("b", 2, "x"), ("b", 2, None)], "p string, q int, r string")
     rows = fr.contingency(df, ["p", "q", "r"], normalize=True).collect()
     assert len(rows) == 4 and sum(r["n"] for r in rows) == 2 and sum(r["prop"] for r in rows) == pytest.approx(1.0)
-    with pytest.raises(ValueError):
-        fr.level_grid(df, {"p": range(2000), "q": range(2000)})
+    grid = fr.level_grid(df, {"p": [str(i) for i in range(2000)], "q": range(1500)})
+    assert grid.count() == 3_000_000 and grid.dropDuplicates().count() == 3_000_000
+
+
+def test_levels_beyond_the_driver_list(spark):
+    df = spark.range(25_000).selectExpr("concat('v', id) AS p", "int(id % 2) AS q", "double(id % 3) AS y")
+    table = fr.contingency(df, ["p", "q"])
+    assert table.count() == 50_000
+    assert table.agg(F.sum("n")).first()[0] == 25_000
+    ones = ct.dummies_long(df.withColumn("k", F.monotonically_increasing_id()), ["k"], ["p", "q"])
+    assert ones.filter("column = 'p'").count() == 24_999 and ones.filter("column = 'q'").count() == 12_500
+    assert len(make_design(df, "y", ["p"]).columns()) == 24_999
 
 
 def test_ratio_of_groups_aligns_by_key(spark):
