@@ -171,3 +171,21 @@ def bin_pretty(spark, sf_dir):
     (lines,) = load(spark, sf_dir, "lineitem")
     binned = bi.bin_pretty(lines.select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity", 10)
     return tidy(binned.drop("l_quantity"))
+
+
+def _long_dummies_sql() -> str:
+    part = """
+    SELECT l_orderkey, cast(l_linenumber AS BIGINT) AS l_linenumber, '{c}' AS "column", cast({c} AS VARCHAR) AS level FROM lineitem
+    WHERE {c} IS NULL OR cast({c} AS VARCHAR) <> (
+      SELECT v FROM (SELECT cast({c} AS VARCHAR) AS v, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, lower(v), v LIMIT 1)
+    """
+    return " UNION ALL ".join(part.format(c=c) for c in ("l_orderkey", "l_returnflag"))
+
+
+@query("dummies_many_levels", _long_dummies_sql())
+def dummies_many_levels(spark, sf_dir):
+    """Dummy columns of any number of levels in sparse form: an order key and a flag."""
+    (lines,) = load(spark, sf_dir, "lineitem")
+    keyed = lines.select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("k"), "l_returnflag")
+    long = ca.dummies_long(keyed, ["l_orderkey", "l_linenumber"], ["k", "l_returnflag"])
+    return tidy(long.withColumn("column", F.when(F.col("column") == "k", "l_orderkey").otherwise(F.col("column"))))

@@ -360,3 +360,31 @@ def tune_then_blind(spark, sf_dir):
     grid = [tr.BoostParams(rounds=3, depth=d, step=0.3, min_rows=30, column_share=0.8) for d in (2, 3)]
     model, _ = tr.tune_then_blind(rows, FEATURES, "y", "urgent", "o_orderkey", grid)
     return tr.score_to_table(model, rows, "o_orderkey")
+
+
+@query(
+    "logit_large_offset",
+    """
+    WITH t AS (
+      SELECT count_if(y AND f) AS a, count_if(NOT y AND f) AS b, count_if(y AND NOT f) AS c, count_if(NOT y AND NOT f) AS d
+      FROM (SELECT o_totalprice > 150000 AS y, o_orderpriority = '1-URGENT' AS f FROM orders)
+    ),
+    s AS (SELECT ln(a / b / (c / d)) / 5 AS slope, ln(c / d) AS base, sqrt(1 / a + 1 / b + 1 / c + 1 / d) / 5 AS se FROM t)
+    SELECT round(slope, 7) AS slope, round(se, 7) AS slope_se, round((base - 1000000 * slope) / 1000, 5) AS intercept_thousands, 0 AS n_aliased FROM s
+    """,
+)
+def logit_large_offset(spark, sf_dir):
+    """A column with mean a million and a deviation of about two stays in the model; a two-by-two table has a closed form."""
+    (orders,) = load(spark, sf_dir, "orders")
+    rows = orders.select(
+        (F.col("o_totalprice") > 150000).cast("int").alias("y"),
+        (F.lit(1_000_000.0) + 5.0 * (F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("x"),
+    )
+    model = glm.logit_fit(rows, glm.make_design(rows, "y", ["x"]))
+    values = (
+        round(model.estimates.get("x", 0.0), 7),
+        round(model.errors.get("x", 0.0), 7),
+        round(model.estimates[glm.INTERCEPT] / 1000, 5),
+        len(model.aliased),
+    )
+    return spark.createDataFrame([values], "slope double, slope_se double, intercept_thousands double, n_aliased int")

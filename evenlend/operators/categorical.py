@@ -120,13 +120,25 @@ def relabel(df: DataFrame, col: str, labels: Sequence[str | None]) -> DataFrame:
     values = [r[0] for r in rows]
     if len(values) > len(labels):
         raise ValueError(f"{col} has more levels than the {len(labels)} labels given")
-    values.sort(key=(lambda v: (v.lower(), v)) if kind == "string" else None)
+    if kind == "string":  # the order of all label columns is that of the engine's lower-casing
+        folded = df.select(F.col(col).alias("v"), F.lower(F.col(col)).alias("f")).dropna().distinct().collect()
+        order = {r["v"]: r["f"] for r in folded}
+        values.sort(key=lambda v: (order[v], v))
+    else:
+        values.sort()
     mapped = F.lit(None).cast("string")
     for value, label in zip(values, labels):
         mapped = F.when(F.col(col) == F.lit(value), F.lit(label).cast("string")).otherwise(mapped)
     return df.withColumn(col, mapped)
 
 
+def relabel_codes(df: DataFrame, col: str, labels: Sequence[str | None]) -> DataFrame:
+    """Names for codes 1, 2, ...: code k becomes label k, whatever codes are present; other codes become missing."""
+    code = F.col(f"`{col}`").cast("int")
+    names = F.array(*[F.lit(v).cast("string") for v in labels])
+    return df.withColumn(col, F.when(code.between(1, len(labels)), F.get(names, code - 1)))
+
+
 def merge_levels(df: DataFrame, col: str, levels: Sequence[object], label: str) -> DataFrame:
     """Fold the listed levels into ``label``; the others stay."""
     c = F.col(col).cast("string")

@@ -32,7 +32,7 @@ class LoanTables:
     test: DataFrame
 
 
-def payment_summary(payments: DataFrame) -> DataFrame:
+def payment_summary(payments: DataFrame, infinite_empty: bool = True) -> DataFrame:
     paid, due = F.col("AMT_PAYMENT"), F.col("AMT_INSTALMENT")
     entered, planned = F.col("DAYS_ENTRY_PAYMENT"), F.col("DAYS_INSTALMENT")
     derived = co.with_features(
@@ -44,23 +44,25 @@ def payment_summary(payments: DataFrame) -> DataFrame:
             ("DBD", m.positive_part(planned - entered)),
         ],
     )
-    return ag.summarise_all(derived, KEY, counts_from=payments)
+    return ag.summarise_all(derived, KEY, counts_from=payments, infinite_empty=infinite_empty)
 
 
-def previous_summary(previous: DataFrame) -> DataFrame:
+def previous_summary(previous: DataFrame, infinite_empty: bool = True) -> DataFrame:
     coded = ca.encode_sorted(previous.drop(LOAN), co.columns_of_type(previous, T.StringType, exclude=[KEY, LOAN]))
     derived = co.map_columns(coded, ps.PREVIOUS_SENTINEL_COLUMNS, lambda c: m.sentinel_to_null(c, ps.DAY_SENTINEL))
     ratio = m.ieee_div(F.col("AMT_APPLICATION"), F.col("AMT_CREDIT"))
-    return ag.summarise_all(derived.withColumn("APP_CREDIT_PERC", ratio), KEY, counts_from=previous)
+    widened = derived.withColumn("APP_CREDIT_PERC", ratio)
+    return ag.summarise_all(widened, KEY, counts_from=previous, infinite_empty=infinite_empty)
 
 
 def applicant_features(
-    tables: LoanTables, suffixes: tuple[str, str] | None = ("_x", "_y"), infinite_empty: bool = False
+    tables: LoanTables, suffixes: tuple[str, str] | None = ("_x", "_y"), infinite_empty: bool = True
 ) -> DataFrame:
     """Wide applicant table with ``Target`` (NULL for the test side) and ``is_train``.
 
     Children are summarised per applicant before any join. All five joins use the applicant key, on which
-    the summaries are already partitioned.
+    the summaries are already partitioned. With ``infinite_empty`` groups without values have infinite extremes while
+    missing cells are counted (``na``), as in the study; they end as NULL either way.
     """
     train = tables.train.withColumnRenamed("TARGET", LABEL)
     base = jn.union_marked(train, tables.test, MARKER)
@@ -68,9 +70,9 @@ def applicant_features(
     sides = {
         "bureau": ag.summarise_nested(tables.bureau_balance, tables.bureau, "SK_ID_BUREAU", KEY, infinite_empty=infinite_empty),
         "card": ag.encode_and_summarise(tables.card_balance, KEY, [LOAN], infinite_empty=infinite_empty),
-        "payments": payment_summary(tables.payments),
+        "payments": payment_summary(tables.payments, infinite_empty),
         "cash": ag.encode_and_summarise(tables.cash_balance, KEY, [LOAN], infinite_empty=infinite_empty),
-        "previous": previous_summary(tables.previous),
+        "previous": previous_summary(tables.previous, infinite_empty),
     }
     wide = jn.star_join(base, sides, KEY, suffixes)
     counted = [c for c in wide.columns if c not in (LABEL, MARKER)]
@@ -82,6 +84,7 @@ def applicant_features(
     first, second, third = (F.col(c) for c in ps.EXTERNAL_SCORES)
     documents = co.names_matching(tables.train, ps.DOCUMENT_FLAGS)
     contacts = co.names_matching(tables.train, ps.CONTACT_FLAGS)
+    # Names and formulas of the study's engineered columns.
     derived = co.with_features(
         wide.withColumn("DAYS_EMPLOYED", m.sentinel_to_null(employed, ps.DAY_SENTINEL)),
         [

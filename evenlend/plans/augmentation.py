@@ -31,8 +31,8 @@ def _binned(df: DataFrame, income_bins: int, age_bins: int) -> DataFrame:
 
 def harmonise_test(test: DataFrame, income_bins: int = 4, age_bins: int = 10) -> DataFrame:
     """Coded applicants of the first lender in the common form; all of them count as approved."""
-    named = ca.relabel(test, "CODE_GENDER", ps.GENDERS)
-    named = ca.relabel(named, "NAME_FAMILY_STATUS", ps.FAMILY_STATUS)
+    named = ca.relabel_codes(test, "CODE_GENDER", ps.GENDERS)
+    named = ca.relabel_codes(named, "NAME_FAMILY_STATUS", ps.FAMILY_STATUS)
     code = F.col("OCCUPATION_TYPE").cast("int")
     jobs = F.get(F.array(*[F.lit(v) for v in ps.OCCUPATIONS]), code - 1)
     named = named.withColumns(

@@ -31,7 +31,7 @@ def scorecard_protocol(
     attr: str,
     label: str,
     key: str,
-    reference: str = "sorted",
+    reference: str = "frequent",
 ) -> ScorecardReport:
     """Logit with and without the attribute on the same rows and features, with every diagnostic."""
     spark = train.sparkSession

@@ -98,3 +98,8 @@ def test_column_selection_helpers(spark):
 def test_binned_preset_names_59_distinct_columns():
     assert len(ps.BINNED) == len(set(ps.BINNED)) == 59
     assert len(ps.EXPLAINED_FEATURES) == len(set(ps.EXPLAINED_FEATURES)) == 34
+
+
+def test_codes_are_named_by_value(spark):
+    df = spark.createDataFrame([(1,), (3,), (None,), (9,)], "g int")
+    assert [r["g"] for r in ca.relabel_codes(df, "g", ["one", "two", "three"]).collect()] == ["one", "three", None, None]

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -273,3 +274,25 @@ def test_tuning_sees_the_attribute_and_the_final_model_does_not(boosted):
     grid = [tr.BoostParams(rounds=2, depth=d, step=0.3, min_rows=5, column_share=1.0) for d in (1, 2)]
     model, report = tr.tune_then_blind(rows, ["g", "age", "pay"], "y", "g", "id", grid)
     assert "g" not in model.features and {r["group"] for r in report.collect()} == {"0", "1"} and report.count() == 4
+
+
+def test_large_offsets_stay_in_the_model(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(4000):
+        x = rng.gauss(0, 5)
+        rows.append((int(rng.random() < 1 / (1 + math.exp(-0.2 * x))), 1e6 + x, x, 2e6 + 2 * x))
+    df = spark.createDataFrame(rows, "y int, far double, near double, twice double")
+    far, near = (glm.logit_fit(df, glm.make_design(df, "y", [c])) for c in ("far", "near"))
+    assert not far.aliased
+    assert far.estimates["far"] == pytest.approx(near.estimates["near"], rel=1e-6)
+    assert far.errors["far"] == pytest.approx(near.errors["near"], rel=1e-6)
+    assert glm.logit_fit(df, glm.make_design(df, "y", ["far", "twice"])).aliased == ("twice",)
+
+
+def test_deviance_residual_of_an_extreme_link(spark):
+    df = spark.createDataFrame([(0, 40.0), (1, 40.0), (0, 0.0)], "y int, x double")
+    design = glm.make_design(df, "y", ["x"])
+    model = glm.LogitModel(design, {glm.INTERCEPT: 0.0, "x": 1.0}, {}, 0.0, 0.0, 0.0, 3)
+    got = [r["deviance_residual"] for r in glm.residuals(model, df, []).collect()]
+    assert got == pytest.approx([-math.sqrt(80), 0.0, -math.sqrt(2 * math.log(2))], abs=1e-6)
