@@ -100,17 +100,28 @@ def _tree_sql(tree: list[sharding.Shard]) -> str:
 
 
 SHARDS = sharding.even_tree(16)
+# Checksums byte by byte from the table of the reflected polynomial; slots by id, which is unique in the shared tables.
 SHARD_SQL = f"""
-WITH p AS (
-  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
-    CAST({_tree_sql(SHARDS)} AS INTEGER) AS shard, CAST({_tree_sql(sharding.grow(SHARDS))} AS INTEGER) AS grown_shard
+WITH RECURSIVE step AS (
+  SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, xor(c >> 1, 3988292384 * (c & 1)), k + 1 FROM step WHERE k < 8
+),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+b AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST(concat('0x', x) AS BIGINT)) AS b
   FROM documents
+),
+p AS (
+  SELECT doc_id, CAST(len(b) + 1 AS BIGINT) AS size,
+    CAST(xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1])), 4294967295) AS BIGINT) AS text_crc32,
+    CAST({_tree_sql(SHARDS)} AS INTEGER) AS shard, CAST({_tree_sql(sharding.grow(SHARDS))} AS INTEGER) AS grown_shard
+  FROM b, tab
 )
-SELECT doc_id, size, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM p
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM p
 """
 
 
-@query("op9_shard")
+@query("op9_shard", SHARD_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"), SHARDS, sharding.grow(SHARDS))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

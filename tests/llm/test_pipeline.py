@@ -37,12 +37,6 @@ def test_license_places_match_sql(spark, duck):
     assert canonical(got[list(want.columns)]) == canonical(want)
 
 
-def test_shards_match_sql(spark, duck):
-    got = catalog.QUERIES["op9_shard"](spark, SMALL).toPandas()
-    want = duck.execute(catalog.SHARD_SQL).df()
-    assert canonical(got[list(want.columns)]) == canonical(want)
-
-
 def test_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, before = docs.columns, docs.count()
