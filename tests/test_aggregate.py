@@ -120,3 +120,18 @@ def test_ratio_of_groups_aligns_by_key(spark):
     b = spark.createDataFrame([("y", 0.25), ("z", 0.75)], "k string, prop double")
     out = {r["k"]: r["ratio"] for r in jn.ratio_of_groups(a, b, ["k"], "prop").collect()}
     assert out == {"x": None, "y": 2.0, "z": 0.0}
+
+
+def test_hot_keys_are_salted_by_their_count(spark):
+    df = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN NULL ELSE id % 20 END AS k")
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(15)], "k long, v string")
+    want = sorted(df.join(table, ["k"], "left").collect(), key=repr)
+    for hot in (1, 40, 10_000):
+        assert sorted(jn.salted_join(df, table, ["k"], "left", hot_rows=hot).collect(), key=repr) == want
+
+
+def test_counted_digits_only_touch_the_count(spark):
+    df = spark.createDataFrame([(1, 0.1 + 0.2), (1, 0.3), (1, 3e-11), (1, 0.0), (1, float("inf"))], "g int, x_mean double")
+    got = ag.summarise_all(df, "g", ["min", "max", "n_distinct"], counted_digits=12).first()
+    assert (got["x_mean_n_distinct"], got["x_mean_min"], got["x_mean_max"]) == (4, 0.0, float("inf"))
+    assert ag.summarise_all(df, "g", ["n_distinct"]).first()["x_mean_n_distinct"] == 5

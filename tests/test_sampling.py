@@ -20,7 +20,9 @@ def test_stratified_sizes_are_exact_and_ids_unique(spark, people):
     assert len({r["id"] for r in out}) == len(out)
 
 
-def test_stratified_equals_a_plain_ranking(spark, people):
+@pytest.mark.parametrize("slice_rows", [sa.SLICE_ROWS, 1])
+def test_stratified_equals_a_plain_ranking(spark, people, monkeypatch, slice_rows):
+    monkeypatch.setattr(sa, "SLICE_ROWS", slice_rows)
     sizes = spark.createDataFrame([("hot", 500), ("cold", 100)], "s string, size int")
     score = sa.arithmetic_score(F.col("id"), 3)
     got = {r["id"] for r in sa.stratified_exact(people, ["s"], sizes, "id", score=score).collect()}
