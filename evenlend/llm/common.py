@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
@@ -15,7 +16,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # A side that was counted at or under this many fixed-width rows is broadcast (about 100 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
-__all__ = ["WORD", "UPPER", "cut_lineage", "lower_ascii", "words", "text_key", "small_side", "numbered", "held_out"]
+__all__ = ["WORD", "UPPER", "cut_lineage", "lower_ascii", "words", "text_key", "small_side", "numbered", "held_out", "release_buffers"]
+
+
+def release_buffers() -> None:
+    """Gives Arrow's unused buffers of a worker back to the machine; called between batches of texts."""
+    pa.default_memory_pool().release_unused()
 
 
 def lower_ascii(text: Column) -> Column:

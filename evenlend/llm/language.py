@@ -25,13 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import held_out, small_side, text_key
+from .common import held_out, release_buffers, small_side, text_key
 
 DOCS_PER_LANGUAGE = 2000
 ENTRIES = 10_000
 LONGEST = 4
 UNKNOWN = "und"
-CACHE_ROWS = 200_000
+CACHE_ROWS = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -162,6 +162,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = [scorer.predict(t.as_py()) for t in batch.column(1)]
             columns = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
+            release_buffers()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
@@ -183,5 +184,6 @@ def keep_identified(docs: DataFrame, least_score: float = 0.0, per_language: int
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+            release_buffers()
 
     return docs.mapInArrow(run, docs.schema)

@@ -27,12 +27,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, release_buffers
 
 CAPACITY = 4096
 GROUP_ROWS = 4096
 END_ID = 2
-CACHE_PARTS = 400_000
+CACHE_PARTS = 250_000
 SEED = 5
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
@@ -130,6 +130,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                         kept.append(piece)
             columns = [batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.binary())] if keep_ids else []), names)
+            release_buffers()
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (", ids binary" if keep_ids else "")

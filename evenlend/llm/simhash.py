@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut_lineage, small_side, text_key
+from .common import cut_lineage, release_buffers, small_side, text_key
 from .components import components
 
 BITS = 64
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "text_key", "fp"])
+            release_buffers()
 
     narrow = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
     kind = dict(narrow.dtypes)["doc_id"]
