@@ -9,6 +9,12 @@ The frequencies are learned from a bounded sample of labelled rows: about ``DOCS
 taken by a hash, and the ``ENTRIES`` most frequent words and n-grams of each size and label. The model grows with the
 number of labels only. Every text is scored whole, in one pass without a shuffle.
 
+A winner alone proves nothing: every text has one. ``keep_identified`` also asks for evidence, the mean over the words of
+1 for a word that the winner knows, else the share of the word's ``LONGEST``-grams that the winner knows (0 for words too short
+to have one with at most one space). Texts under ``LEAST_EVIDENCE`` go. With a model
+of half the learnable rows, those of the other half have 0.76, 0.63 and 0.77 at least on sf0.001, sf0.01 and sf0.1 (none of 4,337
+would go), lines of Italian 0.33, of Polish 0.08 and of other scripts 0 at most. Related languages that are spelled alike may pass.
+
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is every text if nothing could be
 learned; null ids count as the empty id and stay; rows without a label are scored, not learned from; repeated rows give
 one row each; extra columns are ignored.
@@ -32,6 +38,7 @@ ENTRIES = 10_000
 LONGEST = 4
 UNKNOWN = "und"
 CACHE_ROWS = 100_000
+LEAST_EVIDENCE = 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -84,8 +91,8 @@ def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, entries: int =
 class Model:
     """Costs per language (negated log10 frequencies) of words and n-grams."""
 
-    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], costs: np.ndarray, longest: int) -> None:
-        self.langs, self.words, self.grams, self.costs, self.longest = langs, words, grams, costs, longest
+    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], costs: np.ndarray, longest: int, penalty: float) -> None:
+        self.langs, self.words, self.grams, self.costs, self.longest, self.penalty = langs, words, grams, costs, longest, penalty
 
     @classmethod
     def build(cls, rows: list[tuple[str, int, str, int]], longest: int) -> Model:
@@ -101,7 +108,7 @@ class Model:
         for lang, size, gram, n in rows:
             costs[keys[size > 0, gram], column[lang]] = -math.log10(n / totals[lang, size])
         split = [{g: i for (is_gram, g), i in keys.items() if is_gram == kind} for kind in (False, True)]
-        return cls(langs, split[0], split[1], costs, longest)
+        return cls(langs, split[0], split[1], costs, longest, penalty)
 
     def back_off(self, word: str) -> np.ndarray:
         """Mean cost of the known n-grams of the longest size that has any; a flat cost if none has."""
@@ -111,6 +118,22 @@ class Model:
                 return self.costs[rows].mean(axis=0)
         return np.full(self.costs.shape[1], self.costs.max(initial=1.0))
 
+    def known_grams(self, word: str) -> np.ndarray:
+        """Share of the word's longest n-grams that each language knows; 0 for words too short for one of inner characters."""
+        out = np.zeros(self.costs.shape[1])
+        if len(word) + 1 < self.longest:
+            return out
+        found = _grams(word, self.longest)
+        rows = [self.grams[g] for g in found if g in self.grams]
+        return (self.costs[rows] < self.penalty).sum(axis=0) / len(found) if rows else out
+
+    def known_words(self) -> np.ndarray:
+        """Evidence of every row that is a word."""
+        known = np.zeros(self.costs.shape)
+        for word, i in self.words.items():
+            known[i] = np.where(self.costs[i] < self.penalty, 1.0, self.known_grams(word))
+        return known
+
 
 class Scorer:
     """Scores texts one after another; costs of unseen words are kept in a table of bounded size."""
@@ -131,11 +154,8 @@ class Scorer:
         self.next += 1
         return at
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = letter_words(text)
-        if not found or not self.model.langs:
-            return UNKNOWN, 0.0
-        total = np.zeros(self.costs.shape[1])
+    def _places(self, found: list[str]) -> Iterator[list[int]]:
+        """Rows of the words, part by part; a part's rows are good until the next is asked for."""
         room = len(self.costs) - self.first
         for start in range(0, len(found), room):
             part = found[start : start + room]
@@ -145,13 +165,48 @@ class Scorer:
                     self.reset()
                 get, row = self.rows.get, self.row
                 at = [i if (i := get(w)) is not None else row(w) for w in part]
+            yield at
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        found = letter_words(text)
+        if not found or not self.model.langs:
+            return UNKNOWN, 0.0
+        total = np.zeros(self.costs.shape[1])
+        for at in self._places(found):
             total += self.costs[at].sum(axis=0)
-        mean = total / len(found)
+        return self._winner(total / len(found), len(found))
+
+    def _winner(self, mean: np.ndarray, count: int) -> tuple[str, float]:
         best = int(np.argmin(mean))
-        weight = np.exp((mean[best] - mean) * math.log(10) * math.sqrt(len(found)))
+        weight = np.exp((mean[best] - mean) * math.log(10) * math.sqrt(count))
         return self.model.langs[best], float(1.0 / weight.sum())
 
 
+class Judge(Scorer):
+    """A scorer that also says how much of a text the winner knows; ``known`` is ``model.known_words()``."""
+
+    def __init__(self, model: Model, known: np.ndarray, cache_rows: int = CACHE_ROWS) -> None:
+        super().__init__(model, cache_rows)
+        self.known = np.vstack([known, np.zeros((cache_rows + 1, known.shape[1]))])
+
+    def row(self, word: str) -> int:
+        at = super().row(word)
+        self.known[at] = self.model.known_grams(word)
+        return at
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score and evidence."""
+        found = letter_words(text)
+        if not found or not self.model.langs:
+            return UNKNOWN, 0.0, 0.0
+        total, known = np.zeros(self.costs.shape[1]), np.zeros(self.costs.shape[1])
+        for at in self._places(found):
+            total += self.costs[at].sum(axis=0)
+            known += self.known[at].sum(axis=0)
+        lang, score = self._winner(total / len(found), len(found))
+        return lang, score, float(known[self.model.langs.index(lang)] / len(found))
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row; the score is the winner's share when scores are read as likelihoods."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -174,16 +229,20 @@ def identify(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFram
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.0, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
-    """The documents in a known language, with all their columns; ``und`` and scores under ``least_score`` go."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, per_language))
+def keep_identified(
+    docs: DataFrame, least_score: float = 0.0, per_language: int = DOCS_PER_LANGUAGE, least_evidence: float = LEAST_EVIDENCE
+) -> DataFrame:
+    """The documents in a known language, with all their columns; ``und``, scores and evidence under the least go."""
+    model = learn(docs, per_language)
+    shared = docs.sparkSession.sparkContext.broadcast((model, model.known_words()))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        judge = Judge(*shared.value)
         for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column(at)]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+            found = [judge.judge(t.as_py()) for t in batch.column(at)]
+            kept = [lang != UNKNOWN and score >= least_score and evidence >= least_evidence for lang, score, evidence in found]
+            yield batch.filter(pa.array(kept, pa.bool_()))
             release_buffers()
 
     return docs.mapInArrow(run, docs.schema)
