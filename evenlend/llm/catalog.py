@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, licenses, linededup, packing, sharding, simhash, topk, toxicity, warc
+from . import decontaminate, filteraudit, graphann, language, lexical, licenses, linededup, packing, sharding, simhash, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -312,3 +312,83 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve(page_records(table(spark, sf_dir, "pages")))
     line = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return found.withColumn("headers", F.array_join(line, ";"))
+
+
+# Cells of every subset of filters, then all orders as paths through the subsets.
+AUDIT_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+least AS (SELECT t, min(doc_id) AS least_id FROM d GROUP BY t),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > least_id THEN 16 ELSE 0 END AS mask
+  FROM w JOIN least USING (t) LEFT JOIN lab ON lab.doc_id = w.doc_id
+),
+states AS (
+  SELECT part, subset, sum(CASE WHEN mask & subset = 0 THEN 1 ELSE 0 END) AS n, sum(CASE WHEN mask & subset = 0 THEN good ELSE 0 END) AS good,
+    sum(CASE WHEN mask & subset = 0 THEN toxic ELSE 0 END) AS toxic
+  FROM m, (SELECT CAST(range AS INTEGER) AS subset FROM range(32)) GROUP BY part, subset
+),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+whole AS (
+  SELECT part, letter, sum(CASE WHEN mask & bit <> 0 THEN 1 ELSE 0 END) AS fails, sum(CASE WHEN mask = bit THEN 1 ELSE 0 END) AS alone
+  FROM m, f GROUP BY part, letter
+),
+orders AS (
+  SELECT '' AS o, 0 AS used, 0 AS depth UNION ALL
+  SELECT concat(o, letter), used + bit, depth + 1 FROM orders, f WHERE used & bit = 0
+),
+st AS (
+  SELECT o AS filter_order, step, substr(o, step, 1) AS letter,
+    (SELECT used FROM orders p WHERE p.depth = step - 1 AND p.o = substr(orders.o, 1, step - 1)) AS before
+  FROM orders, (SELECT CAST(range AS INTEGER) AS step FROM range(1, 6)) WHERE depth = 5
+),
+r AS (
+  SELECT a.part, filter_order, step, st.letter, b.n AS kept, a.n - b.n AS removed, fails - (a.n - b.n) AS redundant, alone AS unique_fails,
+    a.good - b.good AS good_lost, a.toxic - b.toxic AS toxic_lost
+  FROM st JOIN f USING (letter) JOIN states a ON a.subset = before JOIN states b ON b.part = a.part AND b.subset = before + bit
+  JOIN whole ON whole.part = a.part AND whole.letter = st.letter
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+TERMS_SQL = (
+    r"list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), "
+    r"lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
+)
+LEXICAL_SQL = f"""
+WITH d AS (SELECT doc_id, {TERMS_SQL} AS w FROM documents WHERE text IS NOT NULL),
+size AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+it AS (SELECT item_id, unnest({TERMS_SQL}) AS t FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT item_id, t, count(*) AS times FROM it GROUP BY item_id, t),
+tf AS (SELECT doc_id, len(w) AS n, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, w, t),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * size.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, size GROUP BY t, size.n),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * tf.n * size.n) // l)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (t) JOIN df USING (t), size GROUP BY item_id, doc_id
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op12_lexical_search", LEXICAL_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_graph_search")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
