@@ -1,4 +1,4 @@
-"""Logit models, boosted trees, attributions and counterfactuals.
+"""Logit models and counterfactuals.
 
 Logit oracles solve the likelihood equations in SQL: closed forms for saturated models, unrolled Newton
 steps for continuous covariates.
@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.formulas import Z95
-from ..operators import counterfactual as cf, explain as ex, glm, trees as tr
-from ..operators.ordering import top_k
+from ..operators import counterfactual as cf, glm
 from .registry import load, query, tidy
 from .testing import erfc_sql
 
@@ -268,100 +267,6 @@ def blind_compare(spark, sf_dir):
     return out.select("model", "metric", rounded.otherwise(F.round("value", 8)).alias("value"))
 
 
-SMALL_BOOST = tr.BoostParams(rounds=5, depth=3, step=0.3, min_rows=30, column_share=0.8)
-FEATURES = ["o_totalprice", "n_lines", "quantity", "discount", "tax", "urgent"]
-
-
-def _boost_rows(spark, sf_dir):
-    """One row per order with summaries of its lines; orders without lines have missing features."""
-    lines, orders = load(spark, sf_dir, "lineitem", "orders")
-    summed = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum("l_quantity").alias("quantity"),
-        F.avg("l_discount").alias("discount"),
-        F.max("l_tax").alias("tax"),
-    )
-    return orders.join(summed, "o_orderkey", "left").select(
-        "o_orderkey",
-        (F.col("o_orderstatus") == "F").cast("int").alias("y"),
-        (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"),
-        *FEATURES[:-1],
-    )
-
-
-def _boost(spark, sf_dir):
-    rows = _boost_rows(spark, sf_dir)
-    return rows, tr.gbt_fit(rows, FEATURES, "y", SMALL_BOOST)
-
-
-@query("gbt_scores")
-def gbt_scores(spark, sf_dir):
-    rows, model = _boost(spark, sf_dir)
-    return tr.score_to_table(model, rows, "o_orderkey")
-
-
-@query("gbt_importance")
-def gbt_importance(spark, sf_dir):
-    _, model = _boost(spark, sf_dir)
-    return top_k(tr.importance(spark, model), "importance", 9, ["feature"])
-
-
-@query("shap_long")
-def shap_long(spark, sf_dir):
-    rows, model = _boost(spark, sf_dir)
-    return ex.shap_long(ex.shap_values(model, rows, "o_orderkey"), "o_orderkey")
-
-
-@query("shap_mean_abs")
-def shap_mean_abs(spark, sf_dir):
-    rows, model = _boost(spark, sf_dir)
-    return ex.mean_abs_shap(ex.shap_values(model, rows, "o_orderkey"))
-
-
-@query("shap_by_group")
-def shap_by_group(spark, sf_dir):
-    rows, model = _boost(spark, sf_dir)
-    return ex.shap_by_group(ex.shap_values(model, rows, "o_orderkey", ["urgent", "y"]), ["urgent", "y"])
-
-
-@query("shap_interactions")
-def shap_interactions(spark, sf_dir):
-    rows, model = _boost(spark, sf_dir)
-    return ex.shap_interactions(model, rows, "o_orderkey")
-
-
-@query("shap_interaction_means")
-def shap_interaction_means(spark, sf_dir):
-    rows, model = _boost(spark, sf_dir)
-    return ex.mean_abs_interactions(model, rows)
-
-
-@query("shap_additivity", "SELECT count(*) AS n, 0::BIGINT AS off_values, 0::BIGINT AS off_pairs FROM orders")
-def shap_additivity(spark, sf_dir):
-    """Rows whose contributions, or whose interactions, do not add up to the model's margin."""
-    rows, model = _boost(spark, sf_dir)
-    shap = ex.shap_values(model, rows, "o_orderkey")
-    total = sum((F.col(c) for c in ex.shap_columns(shap)), F.lit(0.0))
-    sums = shap.select("o_orderkey", "base", (F.col("base") + total).alias("by_value"))
-    pairs = ex.shap_interactions(model, rows, "o_orderkey").groupBy("o_orderkey").agg(F.sum("phi").alias("by_pair"))
-    scored = tr.score_to_table(model, rows, "o_orderkey").select("o_orderkey", (F.log(F.col("score") / (1 - F.col("score"))) / 2).alias("margin"))
-    joined = scored.join(sums, "o_orderkey").join(pairs, "o_orderkey")
-    return joined.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.abs(F.col("by_value") - F.col("margin")) > 1e-9).alias("off_values"),
-        F.count_if(F.abs(F.col("base") + F.col("by_pair") - F.col("margin")) > 1e-9).alias("off_pairs"),
-    )
-
-
-@query("tune_then_blind")
-def tune_then_blind(spark, sf_dir):
-    """Depth chosen with the attribute visible; scores of the blind final model."""
-    rows = _boost_rows(spark, sf_dir)
-    grid = [tr.BoostParams(rounds=3, depth=d, step=0.3, min_rows=30, column_share=0.8) for d in (2, 3)]
-    model, _ = tr.tune_then_blind(rows, FEATURES, "y", "urgent", "o_orderkey", grid)
-    return tr.score_to_table(model, rows, "o_orderkey")
-
-
 @query(
     "logit_large_offset",
     """

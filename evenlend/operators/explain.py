@@ -1,189 +1,191 @@
-"""Additive feature attributions of boosted trees (path-dependent tree SHAP) as Arrow batches.
+"""Additive feature attributions of boosted trees (path-dependent), computed for whole batches from flat node arrays.
 
-The fitted trees are turned into one record per leaf: the interval each feature must lie in to reach the
-leaf and the share of training rows that pass the feature's splits. A leaf's contribution depends only on
-which of its features a row satisfies, so it is computed once per pattern and looked up per row.
+All rows of a batch walk a tree level by level; each node keeps, as bits, which edges of its path a row satisfies. What a leaf
+contributes to a feature is the Shapley value of a product game over the path's distinct features: each factor is 1 or 0 for a
+row that satisfies the feature's splits or not, and the share of training weight that does where the feature is unknown.
+
+Shapley weights are integrals of ``t^s (1-t)^(m-1-s)``, so the sum over all subsets is the integral of a product of
+``t * known + (1-t) * unknown`` over the other features. It is a polynomial of degree below the path's length, which a few
+Gauss-Legendre points integrate exactly. It depends on the row only through the bits, so it is tabled per tree and bit
+pattern, and a batch looks all leaves up at once.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..session import checkpoint_root
-from .columns import unpivot_columns
-from .trees import BoostModel, impute_with_flags
+from .trees import BoostModel, Trees
 
-CACHE_CELLS = 8_000_000
-TABLE_FEATURES = 8
+TABLE_DEPTH = 8  # deeper trees table only the patterns that a batch shows
+CELLS = 4_000_000  # looked up at a time
 
 
 @dataclass(frozen=True)
-class Leaf:
-    features: np.ndarray  # distinct feature positions on the path
-    low: np.ndarray  # satisfied when low < x <= high
-    high: np.ndarray
-    share: np.ndarray  # product of cover ratios of the feature's splits
-    value: float  # tree weight times leaf prediction
-
-
-def ensemble_leaves(spark: SparkSession, model: BoostModel) -> list[Leaf]:
-    """Leaves of all trees, read back from the model's own saved node table (size of the model, not the data)."""
-    path = f"{checkpoint_root(spark)}/evenlend-models/{uuid.uuid4().hex}"
-    model.model.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
-    weights = model.model.treeWeights
-    trees: dict[int, dict[int, object]] = {}
-    for node in nodes:
-        trees.setdefault(node["treeID"], {})[node["id"]] = node
-    return [leaf for tree, members in sorted(trees.items()) for leaf in _tree_leaves(members, weights[tree])]
-
-
-def _tree_leaves(nodes: dict[int, object], weight: float) -> list[Leaf]:
-    out = []
-    stack = [(nodes[min(nodes)], {})]
-    while stack:
-        node, path = stack.pop()
-        if node["leftChild"] < 0:
-            items = sorted(path.items())
-            low, high, share = (np.array([v[i] for _, v in items], dtype=float) for i in range(3))
-            features = np.array([f for f, _ in items], dtype=np.int64)
-            out.append(Leaf(features, low, high, share, weight * node["prediction"]))
-            continue
-        f, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
-        lo, hi, z = path.get(f, (-math.inf, math.inf, 1.0))
-        for child, bounds in (("leftChild", (lo, min(hi, cut))), ("rightChild", (max(lo, cut), hi))):
-            below = nodes[node[child]]
-            ratio = below["rawCount"] / node["rawCount"]
-            stack.append((below, {**path, f: (*bounds, z * ratio)}))
-    return out
-
-
-def _subset_weights(m: int, skip: int) -> np.ndarray:
-    """Weight per subset size when ``skip`` (1 or 2) of ``m`` players are singled out."""
-    f = math.factorial
-    if skip == 1:
-        return np.array([f(s) * f(m - 1 - s) / f(m) for s in range(m)])
-    return np.array([f(s) * f(m - 2 - s) / (2.0 * f(m - 1)) for s in range(m - 1)])
-
-
-def _subset_sums(on: np.ndarray, share: np.ndarray, skip: tuple[int, ...]) -> np.ndarray:
-    """Per pattern, the weighted sum over subsets of the players not in ``skip``."""
-    m = on.shape[1]
-    poly = np.zeros((on.shape[0], m - len(skip) + 1))
-    poly[:, 0] = 1.0
-    size = 0
-    for j in range(m):
-        if j in skip:
-            continue
-        size += 1
-        poly[:, 1 : size + 1] = poly[:, 1 : size + 1] * share[j] + poly[:, :size] * on[:, j : j + 1]
-        poly[:, 0] *= share[j]
-    return poly @ _subset_weights(m, len(skip))
-
-
-def leaf_values(leaf: Leaf, on: np.ndarray) -> np.ndarray:
-    """Contributions (patterns x features on the path)."""
-    gap = on - leaf.share
-    cols = [gap[:, i] * _subset_sums(on, leaf.share, (i,)) for i in range(on.shape[1])]
-    return leaf.value * np.stack(cols, axis=1)
-
-
-def leaf_interactions(leaf: Leaf, on: np.ndarray) -> np.ndarray:
-    """Symmetric interaction contributions (patterns x features x features), zero diagonal."""
-    m = on.shape[1]
-    out = np.zeros((on.shape[0], m, m))
-    gap = on - leaf.share
-    for i in range(m):
-        for j in range(i + 1, m):
-            both = leaf.value * gap[:, i] * gap[:, j] * _subset_sums(on, leaf.share, (i, j))
-            out[:, i, j] = out[:, j, i] = both
-    return out
-
-
-def base_value(leaves: Sequence[Leaf]) -> float:
-    return float(sum(leaf.value * leaf.share.prod() for leaf in leaves))
-
-
-class _Tables:
-    """Per-leaf pattern tables, kept while they fit a fixed budget and rebuilt per batch beyond it."""
-
-    def __init__(self, leaves: Sequence[Leaf], build) -> None:
-        self.leaves, self.build, self.kept, self.room = leaves, build, {}, CACHE_CELLS
-
-    def lookup(self, i: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        leaf = self.leaves[i]
-        m = len(leaf.features)
-        seen = x[:, leaf.features]
-        bits = (seen > leaf.low) & (seen <= leaf.high)
-        codes = bits @ (1 << np.arange(m, dtype=np.int64))
-        if m > TABLE_FEATURES:
-            patterns, where = np.unique(codes, return_inverse=True)
-            on = ((patterns[:, None] >> np.arange(m)) & 1).astype(float)
-            return self.build(leaf, on), where
-        table = self.kept.get(i)
-        if table is None:
-            on = ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).astype(float)
-            table = self.build(leaf, on)
-            if self.room >= table.size:
-                self.kept[i] = table
-                self.room -= table.size
-        return table, codes
-
-
-def contributions(tables: _Tables, x: np.ndarray) -> np.ndarray:
-    phi = np.zeros_like(x)
-    for i, leaf in enumerate(tables.leaves):
-        if len(leaf.features):
-            table, codes = tables.lookup(i, x)
-            phi[:, leaf.features] += table[codes]
-    return phi
-
-
-def interaction_values(values: _Tables, pairs: _Tables, x: np.ndarray) -> np.ndarray:
-    """Rows x features x features; a row of the matrix sums to the feature's contribution."""
-    p = x.shape[1]
-    out = np.zeros((len(x), p, p))
-    for i, leaf in enumerate(pairs.leaves):
-        if len(leaf.features) > 1:
-            table, codes = pairs.lookup(i, x)
-            out[:, leaf.features[:, None], leaf.features[None, :]] += table[codes]
-    diagonal = contributions(values, x) - out.sum(axis=2)
-    out[:, np.arange(p), np.arange(p)] += diagonal
-    return out
+class Paths:
+    """One tree's nodes by level, and the paths to its leaves."""
+
+    levels: list[tuple[np.ndarray, ...]]  # inner nodes of a level: places in the trees, own places, those of the children
+    size: int
+    leaves: np.ndarray
+    value: np.ndarray  # of the leaves
+    slot: np.ndarray  # leaves x depth: which distinct feature of its path an edge belongs to, -1 beyond the leaf
+    feature: np.ndarray  # leaves x slots, -1 where a path has fewer distinct features
+    share: np.ndarray  # leaves x slots: training weight that passes the feature's splits
+
+    @classmethod
+    def of(cls, trees: Trees, root: int) -> Paths:
+        levels, here, paths = [], [int(root)], {int(root): []}
+        places = {int(root): 0}
+        while here:
+            inner = [n for n in here if trees.feature[n] >= 0]
+            here = []
+            for n in inner:
+                for child in (int(trees.left[n]), int(trees.right[n])):
+                    places[child] = len(places)
+                    ratio = trees.cover[child] / trees.cover[n]
+                    paths[child] = [*paths[n], (int(trees.feature[n]), ratio)]
+                    here.append(child)
+            if inner:
+                own, left, right = ([places[int(n)] for n in side] for side in (inner, trees.left[inner], trees.right[inner]))
+                levels.append(tuple(np.array(x) for x in (inner, own, left, right)))
+        leaves = [n for n in places if trees.feature[n] < 0]
+        named = [list(dict.fromkeys(f for f, _ in paths[n])) for n in leaves]
+        depth, slots = max(1, len(levels)), max([1, *map(len, named)])
+        slot = np.full((len(leaves), depth), -1)
+        feature = np.full((len(leaves), slots), -1)
+        share = np.ones((len(leaves), slots))
+        for i, (n, names) in enumerate(zip(leaves, named)):
+            feature[i, : len(names)] = names
+            for d, (f, ratio) in enumerate(paths[n]):
+                slot[i, d] = names.index(f)
+                share[i, slot[i, d]] *= ratio
+        return cls(levels, len(places), np.array([places[n] for n in leaves]), trees.value[leaves], slot, feature, share)
+
+    def codes(self, trees: Trees, x: np.ndarray) -> np.ndarray:
+        """Rows x leaves: bit d says that the row leaves the path's d-th node as the path does."""
+        code = np.zeros((len(x), self.size), np.int64)
+        for d, (nodes, own, left, right) in enumerate(self.levels):
+            goes = trees.goes_left(x, np.broadcast_to(nodes, (len(x), len(nodes))), False).astype(np.int64)
+            code[:, left], code[:, right] = code[:, own] | (goes << d), code[:, own] | ((1 - goes) << d)
+        return code[:, self.leaves]
+
+    def known(self, patterns: np.ndarray) -> np.ndarray:
+        """Patterns x leaves x slots: whether the path's splits on a feature are all satisfied."""
+        out = np.ones((len(patterns), *self.feature.shape), bool)
+        for d in range(self.slot.shape[1]):
+            has = np.flatnonzero(self.slot[:, d] >= 0)
+            out[:, has, self.slot[has, d]] &= ((patterns >> d) & 1 == 1)[:, None]
+        return out
+
+    def _factors(self, patterns: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Gap of each factor, the factors at the integration points, their product and the points' weights."""
+        known = self.known(patterns).astype(float)
+        points, weights = np.polynomial.legendre.leggauss(max(1, -(-(known.shape[2] - skip + 1) // 2)))
+        t = ((points + 1) / 2)[:, None, None, None]
+        each = t * known + (1 - t) * self.share
+        return known - self.share, each, each.prod(axis=3), weights / 2
+
+    def values(self, patterns: np.ndarray) -> np.ndarray:
+        """Contributions, patterns x leaves x slots."""
+        gap, each, whole, weights = self._factors(patterns, 1)
+        return self.value[:, None] * gap * np.einsum("q,qpls->pls", weights, whole[..., None] / each)
+
+    def pairs(self, patterns: np.ndarray) -> np.ndarray:
+        """Contributions of pairs of slots (upper triangle), patterns x leaves x pairs; half of what the pair adds together."""
+        gap, each, whole, weights = self._factors(patterns, 2)
+        i, j = np.triu_indices(gap.shape[2], 1)
+        rest = np.einsum("q,qplk->plk", weights / 2, whole[..., None] / (each[..., i] * each[..., j]))
+        return self.value[:, None] * gap[..., i] * gap[..., j] * rest
+
+
+class Explainer:
+    """Contributions of a model's trees for batches of rows."""
+
+    def __init__(self, trees: Trees, width: int) -> None:
+        self.trees, self.width = trees, width
+        self.paths = [Paths.of(trees, r) for r in trees.roots]
+
+    @property
+    def base(self) -> float:
+        return float(sum((p.value * p.share.prod(axis=1)).sum() for p in self.paths))
+
+    def _add(self, out: np.ndarray, x: np.ndarray, path: Paths, table, place: np.ndarray) -> None:
+        """Adds to ``out`` (rows x places) what all leaves of a tree contribute; ``place`` is -1 for padding."""
+        leaf, slot = np.nonzero(place >= 0)
+        if not len(leaf):
+            return
+        by = np.argsort(place[leaf, slot], kind="stable")
+        leaf, slot = leaf[by], slot[by]
+        where, starts = np.unique(place[leaf, slot], return_index=True)
+        step = max(1, CELLS // len(leaf))
+        full = np.arange(1 << path.slot.shape[1]) if path.slot.shape[1] <= TABLE_DEPTH else None
+        cells = None if full is None else table(full)[:, leaf, slot]
+        for at in range(0, len(x), step):
+            codes = path.codes(self.trees, x[at : at + step])
+            if full is None:
+                patterns, codes = np.unique(codes, return_inverse=True)
+                cells = table(patterns)[:, leaf, slot]
+                codes = codes.reshape(-1, len(path.leaves))
+            found = cells.ravel()[codes[:, leaf] * len(leaf) + np.arange(len(leaf))]
+            out[at : at + step, where] += np.add.reduceat(found, starts, axis=1)
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """Rows x features."""
+        phi = np.zeros((len(x), self.width))
+        for path in self.paths:
+            self._add(phi, x, path, path.values, path.feature)
+        return phi
+
+    def pairs(self, x: np.ndarray) -> np.ndarray:
+        """Rows x pairs of features, upper triangle with the diagonal: a feature's own effect is what pairs leave of it."""
+        p = self.width
+        one, two = np.triu_indices(p)
+        place = np.full((p, p), -1)
+        place[one, two] = np.arange(len(one))
+        out = np.zeros((len(x), len(one)))
+        for path in self.paths:
+            i, j = np.triu_indices(path.feature.shape[1], 1)
+            a, b = path.feature[:, i], path.feature[:, j]
+            both = np.where((a >= 0) & (b >= 0), place[np.minimum(a, b), np.maximum(a, b)], -1)
+            self._add(out, x, path, path.pairs, both)
+        own = self.values(x)
+        mixed = one != two
+        for ends in (one, two):
+            np.subtract.at(own.T, ends[mixed], out[:, mixed].T)
+        out[:, place[np.arange(p), np.arange(p)]] = own
+        return out
 
 
 def _inputs(model: BoostModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    fills = model.imputation
     carried = [F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(keep)]
-    return impute_with_flags(df.select(*carried, *[F.col(f"`{c}`") for c in fills.fills]), fills)
+    return df.select(*carried, *[F.col(f"`{c}`").cast("double").alias(f"__x_{i}") for i, c in enumerate(model.features)])
+
+
+def _matrix(batch: pd.DataFrame, width: int) -> np.ndarray:
+    return batch[[f"__x_{i}" for i in range(width)]].to_numpy(dtype=float)
 
 
 def shap_values(model: BoostModel, df: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
     """``key, <keep>, base, shap_<feature>...``: contributions to the margin; base plus their sum is the margin."""
-    spark = df.sparkSession
-    leaves = ensemble_leaves(spark, model)
-    shared = spark.sparkContext.broadcast(leaves)
     features, carried = model.features, [key, *keep]
     rows = _inputs(model, df, carried)
-    kinds = {f.name: f for f in rows.schema.fields}
-    base = base_value(leaves)
+    shared = df.sparkSession.sparkContext.broadcast(Explainer(model.trees(), len(features)))
     schema = T.StructType(
-        [T.StructField(c, kinds[f"__keep_{i}"].dataType) for i, c in enumerate(carried)]
+        [T.StructField(c, rows.schema[f"__keep_{i}"].dataType) for i, c in enumerate(carried)]
         + [T.StructField("base", T.DoubleType())]
         + [T.StructField(f"shap_{c}", T.DoubleType()) for c in features]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = _Tables(shared.value, leaf_values)
+        explainer = shared.value
+        base = explainer.base
         for batch in batches:
-            phi = contributions(tables, batch[features].to_numpy(dtype=float))
+            phi = explainer.values(_matrix(batch, len(features)))
             out = {c: batch[f"__keep_{i}"] for i, c in enumerate(carried)}
             out["base"] = np.full(len(batch), base)
             out.update({f"shap_{c}": phi[:, j] for j, c in enumerate(features)})
@@ -197,10 +199,16 @@ def shap_columns(shap: DataFrame) -> list[str]:
 
 
 def shap_long(shap: DataFrame, key: str) -> DataFrame:
-    """``key, feature, phi``, one row per applicant and feature."""
-    names = shap_columns(shap)
-    bare = shap.select(key, *[F.col(f"`{c}`").alias(c[5:]) for c in names])
-    return unpivot_columns(bare, key, [c[5:] for c in names], "feature", "phi")
+    """``key, feature, value, phi``, one row per applicant and feature; the value is there if its column was carried along."""
+    cells = [
+        F.struct(
+            F.lit(c[5:]).alias("feature"),
+            (F.col(f"`{c[5:]}`").cast("double") if c[5:] in shap.columns else F.lit(None).cast("double")).alias("value"),
+            F.col(f"`{c}`").alias("phi"),
+        )
+        for c in shap_columns(shap)
+    ]
+    return shap.select(key, F.inline(F.array(*cells)))
 
 
 def _per_feature(row: DataFrame, names: Sequence[str], fields: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
@@ -235,53 +243,47 @@ def attach_groups(shap: DataFrame, df: DataFrame, key: str, groups: Sequence[str
 
 
 def shap_interactions(model: BoostModel, df: DataFrame, key: str) -> DataFrame:
-    """``key, feature_1, feature_2, phi`` for every ordered pair; per row they add up to margin minus base."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(ensemble_leaves(spark, model))
+    """``key, feature_1, feature_2, phi`` for every pair once, features in the model's order.
+
+    A mixed pair's value counts for each of its two features: per row the own effects and twice the mixed values add up to
+    margin minus base.
+    """
     features = model.features
     rows = _inputs(model, df, [key])
+    shared = df.sparkSession.sparkContext.broadcast(Explainer(model.trees(), len(features)))
     schema = T.StructType(
         [T.StructField(key, rows.schema["__keep_0"].dataType), T.StructField("phi", T.ArrayType(T.DoubleType()))]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        values, pairs = _Tables(shared.value, leaf_values), _Tables(shared.value, leaf_interactions)
         for batch in batches:
-            x = batch[features].to_numpy(dtype=float)
-            for start in range(0, len(x), 1000):
-                phi = interaction_values(values, pairs, x[start : start + 1000])
-                keys = batch["__keep_0"].iloc[start : start + 1000]
-                yield pd.DataFrame({key: keys.to_numpy(), "phi": list(phi.reshape(len(keys), -1))})
+            for start in range(0, len(batch), 1000):
+                part = batch.iloc[start : start + 1000]
+                yield pd.DataFrame({key: part["__keep_0"].to_numpy(), "phi": list(shared.value.pairs(_matrix(part, len(features))))})
 
+    one, two = np.triu_indices(len(features))
+    names = [F.array(*[F.lit(features[i]) for i in side]) for side in (one, two)]
     wide = rows.mapInPandas(run, schema)
-    names = F.array(*[F.lit(c) for c in features])
-    size = F.lit(len(features))
     return wide.select(key, F.posexplode("phi").alias("cell", "phi")).select(
-        key,
-        F.get(names, F.floor(F.col("cell") / size).cast("int")).alias("feature_1"),
-        F.get(names, F.pmod(F.col("cell"), size)).alias("feature_2"),
-        "phi",
+        key, F.get(names[0], F.col("cell")).alias("feature_1"), F.get(names[1], F.col("cell")).alias("feature_2"), "phi"
     )
 
 
 def mean_abs_interactions(model: BoostModel, df: DataFrame) -> DataFrame:
-    """``feature_1, feature_2, mean_abs``: each batch sends one row of partial sums per pair, not one per applicant."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(ensemble_leaves(spark, model))
+    """``feature_1, feature_2, mean_abs`` of every pair once: tasks send one row of partial sums per pair, not one per applicant."""
     features = model.features
     rows = _inputs(model, df, [])
-    p = len(features)
+    shared = df.sparkSession.sparkContext.broadcast(Explainer(model.trees(), len(features)))
+    one, two = np.triu_indices(len(features))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        values, pairs = _Tables(shared.value, leaf_values), _Tables(shared.value, leaf_interactions)
-        total, n = np.zeros((p, p)), 0
+        total, n = np.zeros(len(one)), 0
         for batch in batches:
-            x = batch[features].to_numpy(dtype=float)
+            x = _matrix(batch, len(features))
             for start in range(0, len(x), 1000):
-                total += np.abs(interaction_values(values, pairs, x[start : start + 1000])).sum(axis=0)
+                total += np.abs(shared.value.pairs(x[start : start + 1000])).sum(axis=0)
             n += len(x)
-        one, two = np.repeat(features, p), np.tile(features, p)
-        yield pd.DataFrame({"feature_1": one, "feature_2": two, "total": total.ravel(), "n": n})
+        yield pd.DataFrame({"feature_1": np.array(features, object)[one], "feature_2": np.array(features, object)[two], "total": total, "n": n})
 
     parts = rows.mapInPandas(run, "feature_1 string, feature_2 string, total double, n bigint")
     return parts.groupBy("feature_1", "feature_2").agg((F.sum("total") / F.sum("n")).alias("mean_abs"))

@@ -1,4 +1,3 @@
-import itertools
 import math
 import random
 
@@ -6,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evenlend.operators import counterfactual as cf, explain as ex, glm, trees as tr
+from evenlend.operators import counterfactual as cf, glm
 
 
 @pytest.fixture(scope="module")
@@ -149,133 +148,6 @@ def test_compare_blind_rows(loans):
     assert got["aware", "auc"] > 0.5 and got["aware", "n_pos"] + got["aware", "n_neg"] == 1500
 
 
-PARAMS = tr.BoostParams(rounds=4, depth=3, step=0.3, min_rows=5, row_share=1.0, column_share=1.0)
-
-
-@pytest.fixture(scope="module")
-def boosted(loans):
-    rows = loans.withColumn("g", (F.col("g") == "m").cast("int")).withColumn(
-        "pay", F.when(F.col("id") % 9 == 0, None).otherwise(F.col("pay"))
-    )
-    return rows, tr.gbt_fit(rows, ["g", "age", "pay"], "y", PARAMS)
-
-
-def test_imputation_flags(boosted):
-    rows, model = boosted
-    assert model.features == ["g", "age", "pay", "age_isna", "pay_isna"]
-    filled = tr.impute_with_flags(rows, model.imputation).filter("id = 1500").first()
-    assert filled["age_isna"] == 1.0 and filled["age"] == model.imputation.fills["age"]
-
-
-def test_boosted_scores_and_importance(spark, boosted):
-    rows, model = boosted
-    scored = tr.gbt_score(model, rows)
-    assert scored.columns == [*rows.columns, "score"] and scored.filter("score is null").count() == 0
-    assert scored.filter("id = 1500").first()["age"] is None
-    gain = {r["feature"]: r["importance"] for r in tr.importance(spark, model).collect()}
-    assert sum(gain.values()) == pytest.approx(1.0) and gain["age"] > gain["age_isna"]
-
-
-def expectation(nodes, weight, x, known):
-    """Path-dependent expectation of one tree given the known features (independent of the operator)."""
-
-    def walk(node):
-        if node["leftChild"] < 0:
-            return node["prediction"]
-        left, right = nodes[node["leftChild"]], nodes[node["rightChild"]]
-        f, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
-        if f in known:
-            return walk(left if x[f] <= cut else right)
-        return (walk(left) * left["rawCount"] + walk(right) * right["rawCount"]) / node["rawCount"]
-
-    return weight * walk(nodes[0])
-
-
-def brute_force(spark, model, x, tmp):
-    model.model.write().overwrite().save(tmp)
-    trees = {}
-    for r in spark.read.parquet(f"{tmp}/data").select("treeID", "nodeData.*").collect():
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
-    p = len(x)
-
-    def value(known):
-        return sum(expectation(n, model.model.treeWeights[t], x, known) for t, n in trees.items())
-
-    phi, pairs = np.zeros(p), np.zeros((p, p))
-    f = math.factorial
-    for i in range(p):
-        others = [j for j in range(p) if j != i]
-        for k in range(p):
-            for s in itertools.combinations(others, k):
-                phi[i] += f(k) * f(p - k - 1) / f(p) * (value({*s, i}) - value(set(s)))
-        for j in others:
-            rest = [q for q in others if q != j]
-            for k in range(p - 1):
-                for s in itertools.combinations(rest, k):
-                    change = value({*s, i, j}) - value({*s, i}) - value({*s, j}) + value(set(s))
-                    pairs[i, j] += f(k) * f(p - k - 2) / (2 * f(p - 1)) * change
-    for i in range(p):
-        pairs[i, i] = phi[i] - pairs[i].sum()
-    return value(set()), phi, pairs
-
-
-def test_attributions_match_brute_force_and_add_up(spark, boosted, tmp_path):
-    rows, model = boosted
-    few = rows.filter("id < 6 or id = 1500")
-    names = model.features
-    inputs = {r["id"]: [r[c] for c in names] for r in tr.impute_with_flags(few, model.imputation).collect()}
-    shap = {r["id"]: r for r in ex.shap_values(model, few, "id", ["g"]).collect()}
-    pairs = {(r["id"], r["feature_1"], r["feature_2"]): r["phi"] for r in ex.shap_interactions(model, few, "id").collect()}
-    scores = {r["id"]: r["score"] for r in tr.gbt_score(model, few).collect()}
-    for i, x in inputs.items():
-        base, phi, want = brute_force(spark, model, x, str(tmp_path / "model"))
-        got = [shap[i][f"shap_{c}"] for c in names]
-        assert shap[i]["base"] == pytest.approx(base) and got == pytest.approx(list(phi), abs=1e-12)
-        margin = base + sum(got)
-        assert scores[i] == pytest.approx(1 / (1 + math.exp(-2 * margin)))
-        for a, u in enumerate(names):
-            for b, v in enumerate(names):
-                assert pairs[i, u, v] == pytest.approx(want[a, b], abs=1e-12)
-
-
-def test_attribution_summaries(boosted):
-    rows, model = boosted
-    shap = ex.shap_values(model, rows, "id", ["g", "y"]).cache()
-    long = ex.shap_long(shap, "id")
-    assert long.count() == 1501 * len(model.features)
-    means = {r["feature"]: r["v"] for r in long.groupBy("feature").agg(F.avg(F.abs("phi")).alias("v")).collect()}
-    ranked = ex.mean_abs_shap(shap).collect()
-    assert {r["feature"]: r["mean_abs"] for r in ranked} == pytest.approx(means)
-    assert [r["mean_abs"] for r in ranked] == sorted(means.values(), reverse=True)
-    groups = ex.shap_by_group(shap, ["g", "y"])
-    assert groups.count() == 4 * len(model.features)
-    joined = ex.shap_by_group(ex.attach_groups(shap.drop("g", "y"), rows, "id", ["g"]), ["g"])
-    assert joined.count() == 2 * len(model.features)
-    total = ex.mean_abs_interactions(model, rows)
-    by_rows = ex.shap_interactions(model, rows, "id").groupBy("feature_1", "feature_2").agg(F.avg(F.abs("phi")).alias("v"))
-    want = {(r["feature_1"], r["feature_2"]): r["v"] for r in by_rows.collect()}
-    assert {(r["feature_1"], r["feature_2"]): r["mean_abs"] for r in total.collect()} == pytest.approx(want)
-
-
-def test_deep_paths_use_patterns_seen_in_the_batch():
-    rng = np.random.default_rng(1)
-    m = 10
-    leaf = ex.Leaf(np.arange(m), np.full(m, -np.inf), rng.normal(size=m), rng.uniform(0.2, 0.9, m), 1.7)
-    x = rng.normal(size=(40, m))
-    phi = ex.contributions(ex._Tables([leaf], ex.leaf_values), x)
-    on = (x <= leaf.high).astype(float)
-    whole = leaf.value * on.prod(axis=1)
-    assert phi.sum(axis=1) + ex.base_value([leaf]) == pytest.approx(whole)
-    assert phi == pytest.approx(ex.leaf_values(leaf, on))
-
-
-def test_tuning_sees_the_attribute_and_the_final_model_does_not(boosted):
-    rows, _ = boosted
-    grid = [tr.BoostParams(rounds=2, depth=d, step=0.3, min_rows=5, column_share=1.0) for d in (1, 2)]
-    model, report = tr.tune_then_blind(rows, ["g", "age", "pay"], "y", "g", "id", grid)
-    assert "g" not in model.features and {r["group"] for r in report.collect()} == {"0", "1"} and report.count() == 4
-
-
 def test_large_offsets_stay_in_the_model(spark):
     rng = random.Random(12)
     rows = []

@@ -180,7 +180,7 @@ def test_scorecard_and_boost_protocols(spark):
     assert values["aware", "auc"] > values["blind", "auc"] > 0.5 and report.test.first()["p_value"] < 0.05
     assert report.scores["blind"].count() == 900 and report.inflation.count() == 5
     numeric = df.withColumn("g", F.col("g").cast("int"))
-    boost = mo.boost_protocol(numeric, numeric, ["g", "x", "z"], "g", "y", "id", tr.BoostParams(rounds=2, depth=2, step=0.3, min_rows=5, column_share=1.0))
+    boost = mo.boost_protocol(numeric, numeric, ["g", "x", "z"], "g", "y", "id", tr.BoostParams(rounds=2, depth=2, step=0.3, min_weight=1, column_share=1.0, level_share=1.0))
     assert {r["model"] for r in boost.mean_shap.collect()} == {"aware", "blind"}
     assert boost.mean_shap.filter("model = 'blind' AND feature = 'g'").count() == 0
     assert boost.group_shap.select("group").distinct().count() == 2 and boost.scores["aware"].count() == 900
