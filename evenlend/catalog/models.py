@@ -148,7 +148,8 @@ def logit_interaction(spark, sf_dir):
     SELECT round(-dev / 2, 3) AS llh, round(-nulldev / 2, 3) AS llh_null, round(nulldev - dev, 4) AS g2,
            round(1 - dev / nulldev, 8) AS mcfadden, round(1 - exp(-(nulldev - dev) / n), 8) AS r2ml,
            round((1 - exp(-(nulldev - dev) / n)) / (1 - exp(-nulldev / n)), 8) AS r2cu, round(chi2, 4) AS chi2,
-           round({erfc_sql('sqrt(chi2 / 2)')}, 5) AS p_value, round(1 / (1 - r2), 6) AS vif_a FROM d
+           round({erfc_sql('sqrt(chi2 / 2)')}, 5) AS p_value, round(1 / (1 - r2), 6) AS vif_a, round(1 / (1 - r2), 6) AS vif_b, round(1 - r2, 8) AS tolerance_a,
+           round(1 - r2, 8) AS tolerance_b FROM d
     """,
 )
 def logit_diagnostics(spark, sf_dir):
@@ -157,15 +158,16 @@ def logit_diagnostics(spark, sf_dir):
     small = glm.logit_fit(rows, glm.make_design(rows, "y", ["a"]))
     fit = glm.pseudo_r2(spark, {"big": big}).first()
     test = glm.lr_test(spark, small, big).first()
-    inflation = glm.vif(big, rows).filter("term = 'a'").first()
+    inflation = {r["term"]: r for r in glm.vif(big, rows).collect()}
     values = [
         (
             round(fit["llh"], 3), round(fit["llh_null"], 3), round(fit["g2"], 4), round(fit["mcfadden"], 8),
             round(fit["r2ml"], 8), round(fit["r2cu"], 8), round(test["chi2"], 4), round(test["p_value"], 5),
-            round(inflation["gvif"], 6),
+            *[round(inflation[t]["gvif"], 6) for t in "ab"],
+            *[round(inflation[t]["tolerance"], 8) for t in "ab"],
         )
     ]
-    names = "llh llh_null g2 mcfadden r2ml r2cu chi2 p_value vif_a".split()
+    names = "llh llh_null g2 mcfadden r2ml r2cu chi2 p_value vif_a vif_b tolerance_a tolerance_b".split()
     return spark.createDataFrame(values, ", ".join(f"{n} double" for n in names))
 
 
@@ -293,3 +295,93 @@ def logit_large_offset(spark, sf_dir):
         len(model.aliased),
     )
     return spark.createDataFrame([values], "slope double, slope_se double, intercept_thousands double, n_aliased int")
+
+
+PART_DATA = DATA + " WHERE l_linestatus = '{}' AND l_tax <> 0.03"
+
+
+@query(
+    "logit_factor_numeric",
+    f"""
+    WITH {newton_sql(PART_DATA.format('F'), 1, name='f')}, {newton_sql(PART_DATA.format('O'), 1, name='o')},
+    t AS (SELECT f_v.b0 AS f0, f_v.b1 AS f1, f_v.v0 AS fv0, f_v.v1 AS fv1, o_v.b0 AS o0, o_v.b1 AS o1, o_v.v0 AS ov0, o_v.v1 AS ov1 FROM f_v, o_v),
+    r AS (SELECT unnest(['(Intercept)', 'l_linestatus_O', 'a', 'l_linestatus_O:a']) AS term, unnest([f0, o0 - f0, f1, o1 - f1]) AS e,
+                 unnest([sqrt(fv0), sqrt(fv0 + ov0), sqrt(fv1), sqrt(fv1 + ov1)]) AS se FROM t)
+    SELECT term, round(e, 6) AS estimate, round(se, 6) AS se FROM r
+    """,
+)
+def logit_factor_numeric(spark, sf_dir):
+    """A factor with its own slope per level, on the complete rows only."""
+    (lines,) = load(spark, sf_dir, "lineitem")
+    rows = lines.select(
+        (F.col("l_returnflag") == "R").cast("double").alias("y"), F.when(F.col("l_tax") != 0.03, F.col("l_quantity") / 50).alias("a"), "l_linestatus"
+    )
+    model = glm.logit_fit(rows, glm.make_design(rows, "y", ["l_linestatus", "a"], interactions=[("l_linestatus", "a")]))
+    table = glm.coefficients(spark, {"slopes": model})
+    return table.select("term", F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"))
+
+
+@query(
+    "logit_wide_factor",
+    """
+    WITH c AS (SELECT cast(l_partkey AS VARCHAR) AS k, count_if(l_linestatus = 'O')::DOUBLE AS p, count_if(l_linestatus <> 'O')::DOUBLE AS q FROM lineitem GROUP BY ALL),
+    r AS (SELECT ln(p / q) AS e, 1 / p + 1 / q AS v FROM c ORDER BY k LIMIT 1)
+    SELECT '(Intercept)' AS term, round(e, 5) AS estimate, round(sqrt(v), 5) AS se FROM r
+    UNION ALL SELECT concat('l_partkey_', k), round(ln(p / q) - e, 5), round(sqrt(1 / p + 1 / q + v), 5) FROM c, r WHERE k > (SELECT min(k) FROM c)
+    """,
+)
+def logit_wide_factor(spark, sf_dir):
+    """A factor with a level per part: more columns than dense rows can carry."""
+    (lines,) = load(spark, sf_dir, "lineitem")
+    rows = lines.select((F.col("l_linestatus") == "O").cast("int").alias("y"), F.col("l_partkey").cast("string").alias("l_partkey"))
+    model = glm.logit_fit(rows, glm.make_design(rows, "y", ["l_partkey"]))
+    table = glm.coefficients(spark, {"parts": model})
+    return table.select("term", F.round("estimate", 5).alias("estimate"), F.round("se", 5).alias("se"))
+
+
+@query(
+    "screen_fifty",
+    f"""
+    WITH pairs AS (SELECT concat('mod_', k) AS family, cast(l_returnflag = 'R' AS INT) AS y, round(avg(cast(l_returnflag = 'R' AS INT)) OVER (PARTITION BY k, l_partkey % k), 9) AS s
+                   FROM lineitem, (SELECT unnest(range(2, 52)) AS k)),
+    v AS (SELECT family, s, sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS q FROM pairs GROUP BY family, s),
+    c AS (SELECT family, p, q, coalesce(sum(q) OVER (PARTITION BY family ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+                 coalesce(sum(p) OVER (PARTITION BY family ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+                 sum(p) OVER (PARTITION BY family) AS np, sum(q) OVER (PARTITION BY family) AS nq FROM v),
+    w AS (SELECT family, p, q, np, nq, (below + q / 2) / nq AS v10, (above + p / 2) / np AS v01 FROM c),
+    m AS (SELECT family, max(np) AS np, max(nq) AS nq, sum(p * v10) / max(np) AS auc FROM w GROUP BY family),
+    e AS (SELECT m.family, auc, sqrt(sum(p * (v10 - auc) ** 2) / (m.np - 1) / m.np + sum(q * (v01 - auc) ** 2) / (m.nq - 1) / m.nq) AS se
+          FROM w JOIN m ON m.family = w.family GROUP BY m.family, auc, m.np, m.nq)
+    SELECT family, round(auc, 7) AS auc, round(auc - {Z95} * se, 7) AS lower, round(auc + {Z95} * se, 7) AS upper,
+           auc - {Z95} * se <= 0.5 AND auc + {Z95} * se >= 0.5 AS crosses_half, auc - {Z95} * se > 0.5 AS keep FROM e
+    """,
+)
+def screen_fifty(spark, sf_dir):
+    """Fifty factors of 2 to 51 levels screened together: jobs grow with the iterations, not with the families."""
+    (lines,) = load(spark, sf_dir, "lineitem")
+    wide = lines.select(
+        (F.col("l_returnflag") == "R").cast("int").alias("y"), *[(F.col("l_partkey") % k).cast("string").alias(f"mod_{k}") for k in range(2, 52)]
+    )
+    return tidy(glm.screen_features(wide, {f"mod_{k}": [f"mod_{k}"] for k in range(2, 52)}, "y"), 7)
+
+
+@query(
+    "logit_influence",
+    f"""
+    WITH {newton_sql(DATA, 2)},
+    v AS (SELECT *, (h11 * h22 - h12 * h12) / det AS v0, (h00 * h22 - h02 * h02) / det AS v1, (h00 * h11 - h01 * h01) / det AS v2,
+                 (h02 * h12 - h01 * h22) / det AS v01, (h01 * h12 - h02 * h11) / det AS v02, (h01 * h02 - h00 * h12) / det AS v12
+          FROM (SELECT *, {_det(2)} AS det FROM fit_s)),
+    s AS (SELECT l_orderkey, cast(l_linenumber AS BIGINT) AS l_linenumber, y, a, b, 1 / (1 + exp(-(b0 + b1 * a + b2 * b))) AS p, v0, v1, v2, v01, v02, v12 FROM ({DATA}), v),
+    h AS (SELECT *, p * (1 - p) * (v0 + a * a * v1 + b * b * v2 + 2 * a * v01 + 2 * b * v02 + 2 * a * b * v12) AS h, (y - p) / sqrt(p * (1 - p)) AS r,
+                 CASE WHEN y = 1 THEN sqrt(-2 * ln(p)) ELSE -sqrt(-2 * ln(1 - p)) END AS d FROM s)
+    SELECT l_orderkey, l_linenumber, round(r, 6) AS pearson_residual, round(h, 9) AS leverage, round(d / sqrt(1 - h), 6) AS std_deviance,
+           round(r / sqrt(1 - h), 6) AS std_pearson, round(r * r * h / (3 * (1 - h) ** 2), 9) AS cook FROM h
+    """,
+)
+def logit_influence(spark, sf_dir):
+    """Leverage, standardised residuals and Cook's distance of every row."""
+    rows, model = _fit_two(spark, sf_dir)
+    shown = glm.influence(model, rows, ["l_orderkey", "l_linenumber"])
+    digits = {"pearson_residual": 6, "leverage": 9, "std_deviance": 6, "std_pearson": 6, "cook": 9}
+    return shown.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), *[F.round(c, d).alias(c) for c, d in digits.items()])

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, functions as F, types as T
 
 Z95 = 1.959963984540054
 
@@ -87,3 +88,29 @@ def pretty_breaks(lo: float, hi: float, n: int) -> list[float]:
     if last == first:
         last += 1
     return [unit * k for k in range(first, last + 1)]
+
+
+def _normal_quantile(p: np.ndarray) -> np.ndarray:
+    """Inverse of the normal distribution function: a start from the tail's asymptote, then Newton steps on its logarithm."""
+    low = np.minimum(p, 1.0 - p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.sqrt(-2.0 * np.log(low))
+        x = np.where(low > 0.02, (0.5 - low) * math.sqrt(2.0 * math.pi), t - np.log(t * math.sqrt(2.0 * math.pi)) / t)
+        for _ in range(30):
+            tail = np.array([0.5 * math.erfc(v / math.sqrt(2.0)) for v in x])
+            density = np.exp(-x * x / 2.0) / math.sqrt(2.0 * math.pi)
+            step = (np.log(tail) - np.log(low)) * tail / density
+            x = x + step
+            if not np.nanmax(np.abs(step), initial=0.0) > 1e-14:
+                break
+    return np.where(p < 0.5, -x, x)
+
+
+def normal_quantiles(p: Column) -> Column:
+    """Quantiles of the standard normal for a column of distinct probabilities."""
+
+    @F.arrow_udf("double")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array(_normal_quantile(values.to_numpy(zero_copy_only=False).astype(float)))
+
+    return run(p)

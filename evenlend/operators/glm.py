@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -14,60 +15,15 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.formulas import chi2_tail, normal_two_sided
+from ..functions.formulas import chi2_tail, normal_quantiles, normal_two_sided
 from ..session import work_partitions
 from .categorical import closed_levels
+from .designs import ALIAS_TOLERANCE, INTERCEPT, Design, LogitModel
 from .metrics import auc_ci
+from .ordering import value_positions
+from .sparse_glm import DENSE, fit_many, predictor, score_many
 
-INTERCEPT = "(Intercept)"
-ALIAS_TOLERANCE = 1e-10
-
-
-@dataclass(frozen=True)
-class Design:
-    """Which columns a model uses, in order. The first level of a factor is its reference."""
-
-    label: str
-    features: tuple[str, ...]
-    levels: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
-    interactions: tuple[tuple[str, str], ...] = ()
-
-    def blocks(self) -> dict[str, dict[str, Column]]:
-        """Model columns by formula term."""
-        single: dict[str, dict[str, Column]] = {}
-        for name in self.features:
-            c = F.col(f"`{name}`")
-            if name not in self.levels:
-                single[name] = {name: c.cast("double")}
-                continue
-            text, levels = c.cast("string"), self.levels[name]
-            known = text.isin(*levels)
-            single[name] = {f"{name}_{v}": F.when(text == v, 1.0).when(known, 0.0) for v in levels[1:]}
-        out = dict(single)
-        for a, b in self.interactions:
-            out[f"{a}:{b}"] = {
-                f"{x}:{y}": cx * cy for x, cx in single[a].items() for y, cy in single[b].items()
-            }
-        return out
-
-    def columns(self) -> dict[str, Column]:
-        return {name: c for block in self.blocks().values() for name, c in block.items()}
-
-
-@dataclass(frozen=True)
-class LogitModel:
-    design: Design
-    estimates: Mapping[str, float]
-    errors: Mapping[str, float]
-    deviance: float
-    null_deviance: float
-    aic: float
-    n: int
-    aliased: tuple[str, ...] = field(default=())
-
-    @property
-    def parameters(self) -> int:
-        return len(self.estimates)
+SCORE_DIGITS = 9  # of screened scores; less than rounding apart, they count as tied
 
 
 def make_design(
@@ -131,7 +87,12 @@ def aliased_columns(gram: np.ndarray, names: Sequence[str], tolerance: float = A
 
 
 def logit_fit(df: DataFrame, design: Design, max_iter: int = 50, tol: float = 1e-10) -> LogitModel:
-    """Maximum-likelihood fit on the complete rows. Aliased columns are left out and reported."""
+    """Maximum-likelihood fit on the complete rows. Aliased columns are left out and reported.
+
+    Designs of more than ``DENSE`` columns are fitted from sparse rows.
+    """
+    if len(design.names()) > DENSE:
+        return fit_many(df, {"wide": design}, max_iter, tol)["wide"]
     columns = design.columns()
     names = [f"x{i}" for i in range(len(columns))]
     rows = df.select(
@@ -203,6 +164,8 @@ def _balanced_sum(terms: list[Column]) -> Column:
 
 
 def linear_predictor(model: LogitModel) -> Column:
+    if len(model.design.names()) > DENSE:
+        return predictor(model)
     columns = model.design.columns()
     terms = [F.lit(float(model.estimates[INTERCEPT]))]
     terms += [columns[n] * F.lit(float(b)) for n, b in model.estimates.items() if n != INTERCEPT]
@@ -287,6 +250,50 @@ def residuals(model: LogitModel, df: DataFrame, keep: Sequence[str]) -> DataFram
     )
 
 
+def influence(model: LogitModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """What the fit plots show, for every complete row.
+
+    Adds to ``residuals``: Pearson residual, leverage (the row's quadratic form in the fitted covariance, times its weight),
+    both residuals standardised by it, Cook's distance, and the plotting position of the standardised deviance residual
+    with its normal quantile. Equal residuals share the middle of their positions.
+    """
+    label = model.design.label
+    columns = {n: c for n, c in model.design.columns().items() if n in model.estimates}
+    p = predicted(model)
+    rows = df.filter(F.col(f"`{label}`").isNotNull())
+    root = np.linalg.cholesky(np.linalg.inv(gramian(rows, columns, p * (1.0 - p))))
+
+    @F.arrow_udf("double")
+    def form(values: pa.Array) -> pa.Array:
+        x = pc.list_flatten(values).to_numpy(zero_copy_only=False).reshape(len(values), -1)
+        return pa.array(((x @ root) ** 2).sum(axis=1))
+
+    ready = rows.withColumn("__form", F.array(F.lit(1.0), *columns.values())).withColumn("link", linear_predictor(model)).filter("link IS NOT NULL")
+    y, fitted = F.col(f"`{label}`").cast("double"), F.col("fitted")
+    weight = fitted * (1.0 - fitted)
+    scored = ready.select(*keep, label, "link", (1.0 / (1.0 + F.exp(-F.col("link")))).alias("fitted"), form("__form").alias("__form"))
+    scored = scored.withColumns(
+        {
+            "deviance_residual": F.signum(y - fitted) * F.sqrt(2.0 * _log_loss(y, F.col("link"))),
+            "pearson_residual": (y - fitted) / F.sqrt(weight),
+            "leverage": F.col("__form") * weight,
+        }
+    ).drop("__form")
+    left = 1.0 - F.col("leverage")
+    scored = scored.withColumns(
+        {
+            "std_deviance": F.col("deviance_residual") / F.sqrt(left),
+            "std_pearson": F.col("pearson_residual") / F.sqrt(left),
+            "cook": F.pow(F.col("pearson_residual") / left, 2) * F.col("leverage") / float(model.parameters),
+        }
+    )
+    steps = value_positions(scored, "std_deviance")
+    edge = F.when(F.col("n") <= 10, 0.375).otherwise(0.5)
+    steps = steps.withColumn("position", (F.col("middle") - edge) / (F.col("n") + 1.0 - 2.0 * edge))
+    steps = steps.select("std_deviance", "position", normal_quantiles(F.col("position")).alias("normal_quantile"))
+    return scored.join(steps, "std_deviance").select(*scored.columns, "position", "normal_quantile")
+
+
 def score_equations(model: LogitModel, df: DataFrame) -> DataFrame:
     """``sum(x * (y - p))`` per estimated column: zero at the maximum of the likelihood."""
     columns = {INTERCEPT: F.lit(1.0), **{n: c for n, c in model.design.columns().items() if n in model.estimates}}
@@ -301,19 +308,29 @@ def screen_features(
 ) -> DataFrame:
     """One model per feature family: ``family, auc, lower, upper, crosses_half, keep``.
 
-    A family is kept when the whole 95% interval of its AUC lies above one half.
+    A family is kept when the whole 95% interval of its AUC lies above one half. All families are fitted in the same passes
+    and scored in one; a family whose rows all have one label has no interval.
     """
-    out = None
-    for name, features in families.items():
-        model = logit_fit(train, make_design(train, label, features))
-        row = auc_ci(score_logit(model, test if test is not None else train), label, "score")
-        named = row.select(
-            F.lit(name).alias("family"),
-            "auc",
-            "lower",
-            "upper",
-            ((F.col("lower") <= 0.5) & (F.col("upper") >= 0.5)).alias("crosses_half"),
-            (F.col("lower") > 0.5).alias("keep"),
-        )
-        out = named if out is None else out.unionByName(named)
-    return out
+    union = make_design(train, label, list(dict.fromkeys(f for own in families.values() for f in own)))
+    designs = {n: Design(label, tuple(own), {f: union.levels[f] for f in own if f in union.levels}) for n, own in families.items()}
+    models = fit_many(train, designs)
+    scored = score_many(train if test is None else test, models, SCORE_DIGITS)
+    areas = auc_ci(scored, "y", "score", groups=["model"])
+    return areas.select(
+        F.col("model").alias("family"),
+        "auc",
+        "lower",
+        "upper",
+        ((F.col("lower") <= 0.5) & (F.col("upper") >= 0.5)).alias("crosses_half"),
+        (F.col("lower") > 0.5).alias("keep"),
+    )
+
+
+def families_by_prefix(columns: Sequence[str], prefixes: Sequence[str], exclude: Sequence[str] = ()) -> dict[str, list[str]]:
+    """Columns of each prefix (the longest one counts), for dummies of binned features; prefixes without columns are left out."""
+    out: dict[str, list[str]] = {p: [] for p in prefixes}
+    for c in columns:
+        own = max((p for p in prefixes if c.startswith(p)), key=len, default=None)
+        if own is not None and c not in exclude:
+            out[own].append(c)
+    return {p: found for p, found in out.items() if found}

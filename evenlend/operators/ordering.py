@@ -141,6 +141,15 @@ def values_long(
     return present.withColumn("value", F.col("value") + F.lit(0.0))  # -0.0 and 0.0 are one value
 
 
+def value_positions(df: DataFrame, col: str) -> DataFrame:
+    """``col, middle, n`` per distinct value: the mean of its ranks, and the number of rows. NULL and NaN have no rank."""
+    long = values_long(df, [col], [], bucket_edges(df, [col]))
+    points = long.groupBy("value", BUCKET).agg(F.count(F.lit(1)).alias("rows"))
+    run = running_totals(points, "value", {"last": F.col("rows")}, bucket=BUCKET, with_group_total=True)
+    middle = F.col("last") - (F.col("rows") - 1) / 2.0
+    return run.select(F.col("value").alias(col), middle.alias("middle"), F.col("last_all").alias("n"))
+
+
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], groups: Sequence[str] = ()
 ) -> DataFrame:

@@ -168,3 +168,22 @@ def test_deviance_residual_of_an_extreme_link(spark):
     model = glm.LogitModel(design, {glm.INTERCEPT: 0.0, "x": 1.0}, {}, 0.0, 0.0, 0.0, 3)
     got = [r["deviance_residual"] for r in glm.residuals(model, df, []).collect()]
     assert got == pytest.approx([-math.sqrt(80), 0.0, -math.sqrt(2 * math.log(2))], abs=1e-6)
+
+
+def test_influence_measures(loans, fitted):
+    x, y = matrix(loans)
+    _, p, cov = newton(x, y)
+    h = p * (1 - p) * np.einsum("ij,jk,ik->i", x, cov, x)
+    r = (y - p) / np.sqrt(p * (1 - p))
+    d = np.sign(y - p) * np.sqrt(-2 * np.where(y == 1, np.log(p), np.log(1 - p)))
+    got = glm.influence(fitted, loans, ["id"]).toPandas().sort_values("id")
+    assert len(got) == 1500
+    assert got["leverage"].to_numpy() == pytest.approx(h, rel=1e-6) and h.sum() == pytest.approx(7)
+    assert got["std_deviance"].to_numpy() == pytest.approx(d / np.sqrt(1 - h), rel=1e-6)
+    assert got["std_pearson"].to_numpy() == pytest.approx(r / np.sqrt(1 - h), rel=1e-6)
+    assert got["cook"].to_numpy() == pytest.approx((r / (1 - h)) ** 2 * h / 7, rel=1e-6)
+    ranks = got["std_deviance"].rank().to_numpy()
+    assert got["position"].to_numpy() == pytest.approx((ranks - 0.5) / 1500)
+    from statistics import NormalDist
+
+    assert got["normal_quantile"].to_numpy() == pytest.approx([NormalDist().inv_cdf(v) for v in got["position"]], abs=1e-9)
