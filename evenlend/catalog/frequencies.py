@@ -154,6 +154,24 @@ def profile_columns(spark, sf_dir):
     return tidy(ag.profile(picked, ["p_size", "p_partkey"]), 6)
 
 
+@query(
+    "label_profile",
+    """
+    WITH l AS (SELECT 'p_brand' AS "column", coalesce(p_brand, '(Missing)') AS level FROM part UNION ALL SELECT 'p_type', coalesce(p_type, '(Missing)') FROM part
+               UNION ALL SELECT 'size', coalesce(nullif(p_size, 7)::VARCHAR, '(Missing)') FROM part),
+    c AS (SELECT "column", level, count(*) AS n FROM l GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, level) AS place FROM c)
+    SELECT "column", place::INTEGER AS place, level, n FROM r WHERE place <= 6
+    UNION ALL SELECT "column", 7, '(Other)', sum(n)::BIGINT FROM r WHERE place > 6 GROUP BY "column"
+    """,
+)
+def label_profile(spark, sf_dir):
+    """The six most frequent labels of each column, and the others together."""
+    (part,) = load(spark, sf_dir, "part")
+    picked = part.select("p_brand", "p_type", F.nullif("p_size", F.lit(7)).alias("size"))
+    return ag.label_profile(picked, ["p_brand", "p_type", "size"])
+
+
 @query(
     "distinct_counts",
     """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.formulas import Z95
 from ..operators import counterfactual as cf, glm
 from .registry import load, query, tidy
-from .testing import erfc_sql
+from .testing import erfc_sql, measures_sql
 
 DATA = "SELECT l_orderkey, l_linenumber, cast(l_returnflag = 'R' AS DOUBLE) AS y, l_quantity / 50 AS a, l_extendedprice / 100000 AS b FROM lineitem"
 
@@ -230,43 +230,39 @@ def counterfactual_pairs(spark, sf_dir):
     )
 
 
+ROUNDED_SQL = (
+    "CASE WHEN metric IN ('llh', 'llh_null') THEN round(value, 3) "
+    "WHEN metric IN ('g2', 'lr_chi2', 'lr_p_value', 'mcnemar', 'mcnemar_p', 'auc_z', 'auc_p_value') THEN round(value, 4) ELSE round(value, 7) END"
+)
+
+
+def _rounded_measures(out):
+    return out.select("model", "metric", F.expr(ROUNDED_SQL).alias("value"))
+
+
 STATUS_DATA = DATA.replace("l_extendedprice / 100000", "cast(l_linestatus = 'O' AS DOUBLE)")
-SHOWN = ("llh", "g2", "mcfadden", "n_pos", "n_neg", "auc", "tp", "fp", "fn", "tn", "kappa", "lr_df", "lr_chi2", "lr_p_value")
 
 
 @query(
     "blind_compare",
     f"""
-    WITH {newton_sql(STATUS_DATA, 2, name='aware')}, {newton_sql(DATA, 1, name='blind')},
+    WITH RECURSIVE {newton_sql(STATUS_DATA, 2, name='aware')}, {newton_sql(DATA, 1, name='blind')},
     s AS (SELECT y, 1 / (1 + exp(-(aware7.b0 + aware7.b1 * a + aware7.b2 * b))) AS p, 1 / (1 + exp(-(blind7.b0 + blind7.b1 * a))) AS q FROM ({STATUS_DATA}), aware7, blind7),
-    m AS (SELECT 'aware' AS model, y, p FROM s UNION ALL SELECT 'blind', y, q FROM s),
-    v AS (SELECT model, round(p, 13) AS p, sum(y) AS pos, count(*) - sum(y) AS neg FROM m GROUP BY ALL),
-    c AS (SELECT model, pos, neg, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v),
-    k AS (SELECT model, sum(pos) AS n_pos, sum(neg) AS n_neg, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY model),
-    t AS (SELECT model, avg(p) AS cut FROM m GROUP BY model),
-    h AS (SELECT m.model, count(*) FILTER (WHERE p > cut AND y = 1)::DOUBLE AS tp, count(*) FILTER (WHERE p > cut AND y = 0)::DOUBLE AS fp,
-                 count(*) FILTER (WHERE p <= cut AND y = 1)::DOUBLE AS fn, count(*) FILTER (WHERE p <= cut AND y = 0)::DOUBLE AS tn
-          FROM m JOIN t ON t.model = m.model GROUP BY m.model),
-    e AS (SELECT *, (tp + tn) / (tp + fp + fn + tn) AS po, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / ((tp + fp + fn + tn) ** 2) AS pe FROM h),
-    f AS (SELECT 'aware' AS model, dev, nulldev FROM aware_v UNION ALL SELECT 'blind', dev, nulldev FROM blind_v),
+    {measures_sql("SELECT 'aware' AS model, y::INT AS y, round(p, 12) AS s FROM s UNION ALL SELECT 'blind', y::INT, round(q, 12) FROM s")},
+    f AS (SELECT 'aware' AS model, n, dev, nulldev FROM aware_v UNION ALL SELECT 'blind', n, dev, nulldev FROM blind_v),
     x AS (SELECT blind_v.dev - aware_v.dev AS chi2 FROM aware_v, blind_v),
     out AS (
-      SELECT model, unnest(['llh', 'g2', 'mcfadden']) AS metric, unnest([-dev / 2, nulldev - dev, 1 - dev / nulldev]) AS value FROM f
-      UNION ALL SELECT model, unnest(['n_pos', 'n_neg', 'auc']), unnest([n_pos, n_neg, auc]) FROM k
-      UNION ALL SELECT model, unnest(['tp', 'fp', 'fn', 'tn', 'kappa']), unnest([tp, fp, fn, tn, (po - pe) / (1 - pe)]) FROM e
+      SELECT model, unnest(['llh', 'llh_null', 'g2', 'mcfadden', 'r2ml', 'r2cu']) AS metric,
+             unnest([-dev / 2, -nulldev / 2, nulldev - dev, 1 - dev / nulldev, 1 - exp(-(nulldev - dev) / n), (1 - exp(-(nulldev - dev) / n)) / (1 - exp(-nulldev / n))]) AS value FROM f
+      UNION ALL SELECT * FROM measures
       UNION ALL SELECT 'aware_vs_blind', unnest(['lr_df', 'lr_chi2', 'lr_p_value']), unnest([1, chi2, {erfc_sql('sqrt(chi2 / 2)')}]) FROM x)
-    SELECT model, metric, round(value, CASE WHEN metric = 'llh' THEN 3 WHEN metric IN ('g2', 'lr_chi2', 'lr_p_value') THEN 5 ELSE 8 END) AS value FROM out
+    SELECT model, metric, {ROUNDED_SQL} AS value FROM out
     """,
 )
 def blind_compare(spark, sf_dir):
-    """Fit, ranking and threshold measures of the model with and without the attribute, and the test between them."""
+    """All fit, ranking and threshold measures of the model with and without the attribute, and the test between them."""
     rows = _lines(spark, sf_dir)
-    out = cf.compare_blind(rows, rows, "l_linestatus", "y", ["a", "l_linestatus"]).filter(F.col("metric").isin(*SHOWN))
-    metric = F.col("metric")
-    rounded = F.when(metric == "llh", F.round("value", 3)).when(
-        metric.isin("g2", "lr_chi2", "lr_p_value"), F.round("value", 5)
-    )
-    return out.select("model", "metric", rounded.otherwise(F.round("value", 8)).alias("value"))
+    return _rounded_measures(cf.compare_blind(rows, rows, "l_linestatus", "y", ["a", "l_linestatus"]))
 
 
 @query(

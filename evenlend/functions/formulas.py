@@ -114,3 +114,80 @@ def normal_quantiles(p: Column) -> Column:
         return pa.array(_normal_quantile(values.to_numpy(zero_copy_only=False).astype(float)))
 
     return run(p)
+
+
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function by its continued fraction; the binomial tail P(X >= k) is ``beta_cdf(p, k, n - k + 1)``."""
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x > (a + 1.0) / (a + b + 2.0):
+        return 1.0 - beta_cdf(1.0 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    total = d
+    for m in range(1, 1_000_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 + step * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + step / c
+            c = c if abs(c) > tiny else tiny
+            total *= c * d
+        if abs(c * d - 1.0) < 1e-16:
+            break
+    return front * total
+
+
+def beta_quantile(p: float, a: float, b: float) -> float:
+    """Inverse of ``beta_cdf`` in ``x`` by halving."""
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        middle = (low + high) / 2.0
+        if middle in (low, high):
+            break
+        low, high = (middle, high) if beta_cdf(middle, a, b) < p else (low, middle)
+    return (low + high) / 2.0
+
+
+def exact_proportion(hits: Column, n: Column, null_share: Column) -> Column:
+    """For aggregated counts: ``[lower, upper, p]``, the exact 95% interval of a share and the chance of as many hits under ``null_share``."""
+
+    @F.arrow_udf("array<double>")
+    def run(hits: pa.Array, n: pa.Array, null_share: pa.Array) -> pa.Array:
+        out = []
+        for k, size, share in zip(hits.to_pylist(), n.to_pylist(), null_share.to_pylist()):
+            if not size or share is None:
+                out.append([None, None, None])
+                continue
+            lower = beta_quantile(0.025, k, size - k + 1) if k > 0 else 0.0
+            upper = beta_quantile(0.975, k + 1, size - k) if k < size else 1.0
+            out.append([lower, upper, beta_cdf(share, k, size - k + 1) if k > 0 else 1.0])
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return run(hits.cast("double"), n.cast("double"), null_share.cast("double"))
+
+
+def kolmogorov_exact(steps: list[tuple[int, int]]) -> float:
+    """Exact P(D >= d) of two samples given the counts of both at every distinct value, in order.
+
+    All orders of the pooled sample are equally likely; a walk over them is looked at only where the value changes, and the walks
+    that stay nearer than the observed distance are followed by their probability.
+    """
+    n1, n2 = (sum(s[i] for s in steps) for i in (0, 1))
+    if n1 > n2:
+        return kolmogorov_exact([(b, a) for a, b in steps])
+    seen = np.cumsum([a + b for a, b in steps])
+    first = np.cumsum([a for a, _ in steps])
+    worst = max((abs(int(i) * n2 - int(k - i) * n1) for i, k in zip(first, seen)), default=0)
+    places, total = set(seen.tolist()), n1 + n2
+    i = np.arange(n1 + 1)
+    chance = np.zeros(n1 + 1)
+    chance[0] = 1.0
+    for k in range(total):
+        grown = chance * np.maximum(n2 - (k - i), 0) / (total - k)
+        grown[1:] += (chance * (n1 - i) / (total - k))[:-1]
+        if k + 1 in places:
+            grown[np.abs(i * n2 - (k + 1 - i) * n1) >= worst] = 0.0
+        chance = grown
+    return min(1.0, max(0.0, 1.0 - float(chance.sum())))

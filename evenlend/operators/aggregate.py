@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.missing import FLOATING, quoted
 from .categorical import encode_sorted
@@ -208,6 +208,29 @@ def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+def label_profile(df: DataFrame, cols: Sequence[str], top: int = 6) -> DataFrame:
+    """``column, place, level, n`` of label columns: the ``top`` most frequent labels in order, then the others together.
+
+    The last row of a column is ``(Other)``, with the number of rows of the remaining labels if there are any; missing values are
+    the label ``(Missing)``. All columns are counted in one pass; a column keeps its best labels by an aggregate with
+    map-side combining, so a column of any number of labels needs no window and no single task.
+    """
+    cells = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("(Missing)")).alias("level")) for c in cols]
+    counts = df.select(F.inline(F.array(*cells))).groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
+    # The smallest (-n, level) pairs of slices of labels, then of the slices together.
+    pair = F.struct((-F.col("n")).alias("less"), "level")
+    sliced = counts.select("column", F.pmod(F.xxhash64("level"), F.lit(64)).alias("slice"), pair.alias("pair"), "n")
+    few = sliced.withColumn("r", F.row_number().over(Window.partitionBy("column", "slice").orderBy("pair"))).filter(F.col("r") <= top)
+    best = few.groupBy("column").agg(F.slice(F.array_sort(F.collect_list("pair")), 1, top).alias("best"))
+    total = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    joined = best.join(total, "column")
+    held = -F.aggregate("best", F.lit(0).cast("bigint"), lambda a, x: a + x["less"])
+    shown = F.transform("best", lambda x, i: F.struct((i + 1).alias("place"), x["level"].alias("level"), (-x["less"]).alias("n")))
+    rest = F.struct((F.size("best") + 1).alias("place"), F.lit("(Other)").alias("level"), (F.col("total") - held).alias("n"))
+    rows = F.when(F.col("total") > held, F.concat(shown, F.array(rest))).otherwise(shown)
+    return joined.select("column", F.inline(rows))
+
+
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
 

@@ -6,9 +6,10 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .glm import LogitModel, logit_fit, lr_test, make_design, pseudo_r2, score_logit
-from .metrics import auc_ci, confusion
-from .trees import BoostModel, gbt_score
+from .metrics import auc_ci, auc_paired, confusion
+from .trees import BoostModel, BoostParams, gbt_fit, gbt_score
 
 # Adds a score column of the given name to a table.
 Scorer = Callable[[DataFrame, str], DataFrame]
@@ -59,7 +60,7 @@ def boost_scorer(model: BoostModel) -> Scorer:
 
 def metric_rows(scored: DataFrame, label: str, model: str, score: str = "score") -> DataFrame:
     """``model, metric, value`` of the ranking and threshold measures of a scored table."""
-    area = auc_ci(scored, label, score)
+    area = auc_ci(scored, label, score, "auto")
     table = confusion(scored, label, score)
     parts = []
     for row in (area, table):
@@ -68,6 +69,10 @@ def metric_rows(scored: DataFrame, label: str, model: str, score: str = "score")
     return parts[0].unionByName(parts[1])
 
 
+def _tied(model: LogitModel, df: DataFrame, digits: int = 12) -> DataFrame:
+    return score_logit(model, df).withColumn("score", F.round("score", digits))
+
+
 def compare_blind(
     train: DataFrame,
     holdout: DataFrame,
@@ -92,8 +97,29 @@ def compare_blind(
     )
     out = fit_rows
     for name, model in models.items():
-        out = out.unionByName(metric_rows(score_logit(model, holdout), label, name))
+        out = out.unionByName(metric_rows(_tied(model, holdout), label, name))
     test = lr_test(spark, blind, aware).select(
         F.lit("aware_vs_blind").alias("model"), F.col("df").cast("double").alias("lr_df"), F.col("chi2").alias("lr_chi2"), F.col("p_value").alias("lr_p_value")
     )
     return out.unionByName(test.unpivot(["model"], ["lr_df", "lr_chi2", "lr_p_value"], "metric", "value"))
+
+
+def compare_blind_trees(
+    train: DataFrame, holdout: DataFrame, attr: str, label: str, features: Sequence[str], key: str, params: BoostParams = BoostParams(), digits: int = 12
+) -> DataFrame:
+    """Boosted trees with and without the attribute on the same rows: all measures of both, and the paired test of their AUCs.
+
+    Rows: ``model, metric, value`` with models ``aware``, ``blind`` and ``aware_vs_blind``. Scores are rounded to ``digits``, so that
+    equal fits tie.
+    """
+    scored, out = holdout, None
+    for name, inputs in (("aware", list(features)), ("blind", [f for f in features if f != attr])):
+        scored = gbt_score(gbt_fit(train, inputs, label, params, key), scored, name)
+    scored = cut_lineage(scored.select(label, *[F.round(c, digits).alias(c) for c in ("aware", "blind")]))
+    for name in ("aware", "blind"):
+        rows = metric_rows(scored, label, name, name)
+        out = rows if out is None else out.unionByName(rows)
+    test = auc_paired(scored, label, "aware", "blind").select(
+        F.lit("aware_vs_blind").alias("model"), F.col("difference").alias("auc_difference"), F.col("se").alias("auc_se"), F.col("z").alias("auc_z"), F.col("p_value").alias("auc_p_value")
+    )
+    return out.unionByName(test.unpivot(["model"], ["auc_difference", "auc_se", "auc_z", "auc_p_value"], "metric", "value"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.formulas import Z95
+from ..functions.formulas import Z95, chi2_1df_p, exact_proportion, normal_two_sided
 from ..functions.scalars import above
+from .joins import lookup_join
 from .ordering import BUCKET, bucket_edges, exact_quantiles, running_totals, values_long
 
 
@@ -68,12 +71,83 @@ def auc_ci(
     )
 
 
+def auc_paired(df: DataFrame, label: str, score_a: str, score_b: str) -> DataFrame:
+    """Compares the AUC of two scores of the same rows: ``n_pos, n_neg, auc_a, auc_b, difference, se, z, p_value``.
+
+    Each row's two placement values come from tables with one row per distinct score; their covariance gives the variance of the
+    difference. Rows without a label or without one of the scores are left out; equal rows are combined first.
+    """
+    rows = df.select(F.col(f"`{label}`").cast("int").alias("y"), *[F.col(f"`{s}`").cast("double").alias(n) for s, n in ((score_a, "a"), (score_b, "b"))])
+    rows = rows.dropna().withColumns({c: F.col(c) + F.lit(0.0) for c in "ab"})
+    placed = rows.groupBy("y", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    for s in "ab":
+        steps = score_steps(rows, "y", s)
+        pos, neg = F.col("cum_p_all").cast("double"), F.col("cum_q_all").cast("double")
+        below = F.try_divide(F.col("cum_q") - F.col("q") + F.col("q") / 2.0, neg)
+        above_ = F.try_divide(F.col("cum_p_all") - F.col("cum_p") + F.col("p") / 2.0, pos)
+        placed = lookup_join(placed, steps.select(F.col("value").alias(s), below.alias(f"below_{s}"), above_.alias(f"above_{s}")), s)
+    own = [F.when(F.col("y") == 1, F.col(f"below_{s}")).otherwise(F.col(f"above_{s}")).alias(f"v{s}") for s in "ab"]
+    c, va, vb = F.col("c"), F.col("va"), F.col("vb")
+    sums = placed.select("y", "c", *own).groupBy("y").agg(
+        F.sum("c").alias("n"), F.sum(c * va).alias("sa"), F.sum(c * vb).alias("sb"), F.sum(c * (va - vb)).alias("sd"), F.sum(c * (va - vb) * (va - vb)).alias("sdd")
+    )
+    side = {r["y"]: r for r in sums.collect()}
+    schema = "n_pos bigint, n_neg bigint, auc_a double, auc_b double, difference double, se double, z double, p_value double"
+    if not {0, 1} <= set(side):
+        return df.sparkSession.createDataFrame([(int(side[1]["n"]) if 1 in side else 0, int(side[0]["n"]) if 0 in side else 0, *[None] * 6)], schema)
+    pos, neg = side[1], side[0]
+    auc_a, auc_b = pos["sa"] / pos["n"], pos["sb"] / pos["n"]
+    parts = [max(0.0, r["sdd"] - r["sd"] ** 2 / r["n"]) / (r["n"] - 1.0) / r["n"] if r["n"] > 1 else float("nan") for r in (pos, neg)]
+    se = sum(parts) ** 0.5
+    z = (auc_a - auc_b) / se if se > 0 else None
+    p = normal_two_sided(z) if z is not None else None
+    return df.sparkSession.createDataFrame([(int(pos["n"]), int(neg["n"]), auc_a, auc_b, auc_a - auc_b, se, z, p)], schema)
+
+
+def auc_bootstrap(df: DataFrame, label: str, score: str, draws: int = 2000, seed: int = 0, direction: str = "higher") -> DataFrame:
+    """``n_pos, n_neg, auc, draws, lower, upper``: the AUC and the 2.5% and 97.5% points of its bootstrap distribution.
+
+    Each class is drawn anew by giving every row a Poisson(1) number of copies; the copies of a class at one score are then
+    Poisson with their number as mean, so draws need the table of score steps only. A step's copies follow from its value,
+    class and the seed. Range buckets of steps send three sums per draw; earlier buckets' negatives are added by a window.
+    """
+    sign = _orientation(df, label, score, direction)
+    steps = score_steps(df, label, score).select("value", BUCKET, F.col("p").alias("pos"), F.col("q").alias("neg"))
+    steps = steps.withColumn("h", F.xxhash64(F.lit(seed), "value"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("value")
+        pos_sum, neg_sum, pairs = np.zeros(draws), np.zeros(draws), np.zeros(draws)
+        for h, p, q in zip(part["h"], part["pos"], part["neg"]):
+            copies = [np.random.Generator(np.random.PCG64([int(h) & (2**64 - 1), side])).poisson(k, draws) if k else 0 for side, k in enumerate((p, q))]
+            pairs += copies[0] * (neg_sum + copies[1] / 2.0)
+            pos_sum += copies[0]
+            neg_sum += copies[1]
+        return pd.DataFrame({"bucket": part[BUCKET].iloc[:1].astype("float64"), "draw": [np.arange(draws)], "p": [pos_sum], "q": [neg_sum], "pairs": [pairs]})
+
+    sums = steps.groupBy(BUCKET).applyInPandas(run, "bucket double, draw array<int>, p array<double>, q array<double>, pairs array<double>")
+    long = sums.select("bucket", F.inline(F.arrays_zip("draw", "p", "q", "pairs")))
+    before = Window.partitionBy("draw").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = long.withColumn("pairs", F.col("pairs") + F.col("p") * F.coalesce(F.sum("q").over(before), F.lit(0.0)))
+    drawn = whole.groupBy("draw").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum("pairs").alias("pairs"))
+    area = F.try_divide(F.col("pairs"), F.col("p") * F.col("q"))
+    # One row per draw.
+    ends = drawn.select((area if sign > 0 else 1.0 - area).alias("area")).agg(F.percentile("area", F.array(F.lit(0.025), F.lit(0.975))).alias("ends"))
+    found = auc_ci(df, label, score, "higher" if sign > 0 else "lower").select("n_pos", "n_neg", "auc")
+    both = found.withColumn("ends", ends.scalar())
+    return both.select("n_pos", "n_neg", "auc", F.lit(draws).alias("draws"), F.get("ends", F.lit(0)).alias("lower"), F.get("ends", F.lit(1)).alias("upper"))
+
+
 def auc(df: DataFrame, label: str, score: str, direction: str = "higher") -> DataFrame:
     return auc_ci(df, label, score, direction).select("n_pos", "n_neg", "auc")
 
 
 def confusion(df: DataFrame, label: str, score: str, cut: str | float = "mean") -> DataFrame:
-    """One row of threshold measures; the positive class is 1 and a prediction is 1 when score > cut."""
+    """One row of threshold measures; the positive class is 1 and a prediction is 1 when score > cut.
+
+    ``accuracy_lower, accuracy_upper`` are the exact binomial 95% interval, ``no_information`` the share of the larger class and
+    ``no_information_p`` the chance of as many hits at that share.
+    """
     rows = df.select(F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("s"))
     threshold = rows.agg(F.avg("s")).scalar() if cut == "mean" else F.lit(float(cut))
     called = rows.dropna().select("y", above(F.col("s"), threshold).alias("hat"))
@@ -90,6 +164,8 @@ def confusion(df: DataFrame, label: str, score: str, cut: str | float = "mean")
     chance = ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n)
     sens, spec = F.try_divide(tp, tp + fn), F.try_divide(tn, tn + fp)
     gap = F.greatest(F.abs(fp - fn) - 1.0, F.lit(0.0))
+    most = F.greatest(tp + fn, fp + tn) / n
+    counts = counts.withColumn("exact", exact_proportion(tp + tn, n, most))
     return counts.select(
         *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn", "tn")],
         agree.alias("accuracy"),
@@ -103,4 +179,8 @@ def confusion(df: DataFrame, label: str, score: str, cut: str | float = "mean")
         ((tp + fp) / n).alias("detection_prevalence"),
         ((sens + spec) / 2.0).alias("balanced_accuracy"),
         F.try_divide(gap * gap, fp + fn).alias("mcnemar"),
+        *[F.get("exact", F.lit(i)).alias(c) for i, c in enumerate(("accuracy_lower", "accuracy_upper"))],
+        most.alias("no_information"),
+        F.get("exact", F.lit(2)).alias("no_information_p"),
+        chi2_1df_p(F.try_divide(gap * gap, fp + fn)).alias("mcnemar_p"),
     )

@@ -6,10 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.formulas import chi2_1df_p, kolmogorov_tail
+from ..functions.formulas import chi2_1df_p, kolmogorov_exact, kolmogorov_tail
 from .ordering import BUCKET, bucket_edges, running_totals, values_long
 
 
+# Samples whose sizes multiply to less get the exact p-value of the two-sample test.
+EXACT_PRODUCT = 10_000
+
+
 def yates_statistic(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
     """Chi-square statistic of a two-sample proportion test with continuity correction."""
     x1, n1, x2, n2 = (c.cast("double") for c in (x1, n1, x2, n2))
@@ -52,9 +56,10 @@ def prop_test_by(df_a: DataFrame, df_b: DataFrame, cols: Sequence[str]) -> DataF
 
 
 def ks_2samp(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov: one row ``n1, n2, d, p_value`` (asymptotic).
+    """Two-sample Kolmogorov-Smirnov: one row ``n1, n2, d, p_value``.
 
-    Equal values collapse to one row with two counts before anything is ordered.
+    Equal values collapse to one row with two counts before anything is ordered. The p-value is exact, ties included, when
+    ``n1 * n2`` is below ``EXACT_PRODUCT`` (the steps of such samples are few), asymptotic otherwise.
     """
     both = a.select(F.col(col).cast("double").alias("v"), F.lit(1).alias("s")).unionAll(
         b.select(F.col(col).cast("double").alias("v"), F.lit(2).alias("s"))
@@ -70,7 +75,12 @@ def ks_2samp(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
     row = steps.agg(
         F.max("cum_a_all").alias("n1"), F.max("cum_b_all").alias("n2"), F.max(distance).alias("d")
     ).first()
-    p = None if row["d"] is None else kolmogorov_tail(row["d"], row["n1"], row["n2"])
+    if row["d"] is None:
+        p = None
+    elif row["n1"] * row["n2"] < EXACT_PRODUCT:
+        p = kolmogorov_exact([(r["n_a"], r["n_b"]) for r in steps.orderBy("value").select("n_a", "n_b").collect()])
+    else:
+        p = kolmogorov_tail(row["d"], row["n1"], row["n2"])
     return a.sparkSession.createDataFrame(
         [(row["n1"], row["n2"], row["d"], p)], "n1 bigint, n2 bigint, d double, p_value double"
     )

@@ -135,3 +135,14 @@ def test_counted_digits_only_touch_the_count(spark):
     got = ag.summarise_all(df, "g", ["min", "max", "n_distinct"], counted_digits=12).first()
     assert (got["x_mean_n_distinct"], got["x_mean_min"], got["x_mean_max"]) == (4, 0.0, float("inf"))
     assert ag.summarise_all(df, "g", ["n_distinct"]).first()["x_mean_n_distinct"] == 5
+
+
+def test_label_profile(spark):
+    rows = [("a", None)] * 5 + [("b", "x")] * 5 + [("c", "x")] * 2 + [(None, "y")] * 3 + [("d", "z")]
+    got = ag.label_profile(spark.createDataFrame(rows, "p string, q string"), ["p", "q"], top=3)
+    found = {(r["column"], r["place"]): (r["level"], r["n"]) for r in got.collect()}
+    assert found == {
+        ("p", 1): ("a", 5), ("p", 2): ("b", 5), ("p", 3): ("(Missing)", 3), ("p", 4): ("(Other)", 3),
+        ("q", 1): ("x", 7), ("q", 2): ("(Missing)", 5), ("q", 3): ("y", 3), ("q", 4): ("(Other)", 1),
+    }
+    assert ag.label_profile(spark.createDataFrame([], "p string"), ["p"]).count() == 0

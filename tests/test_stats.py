@@ -131,3 +131,77 @@ def test_confusion_with_one_class_predicted(spark):
     df = spark.createDataFrame([(1, 0.2), (0, 0.2)], "y int, s double")
     row = me.confusion(df, "y", "s").first()
     assert (row["tp"], row["tn"]) == (0, 1) and row["ppv"] is None
+
+
+def test_exact_interval_and_tests_of_the_confusion(scored):
+    df, y, s, _ = scored
+    row = me.confusion(df, "y", "s").first()
+    n, k = 600, row["tp"] + row["tn"]
+    tail = lambda p, k: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+    assert tail(row["accuracy_lower"], k) == pytest.approx(0.025, rel=1e-6)
+    assert 1 - tail(row["accuracy_upper"], k + 1) == pytest.approx(0.025, rel=1e-6)
+    assert row["no_information"] == pytest.approx(max(y.mean(), 1 - y.mean()))
+    assert row["no_information_p"] == pytest.approx(tail(row["no_information"], k), rel=1e-6)
+    assert row["mcnemar_p"] == pytest.approx(math.erfc(math.sqrt(row["mcnemar"] / 2)))
+
+
+def test_incomplete_beta_ends():
+    from evenlend.functions import formulas as fo
+
+    assert fo.beta_cdf(0.0, 2, 3) == 0.0 and fo.beta_cdf(1.0, 2, 3) == 1.0
+    assert fo.beta_cdf(0.3, 1, 1) == pytest.approx(0.3) and fo.beta_cdf(0.2, 2, 1) == pytest.approx(0.04)
+    assert fo.beta_quantile(0.25, 2, 1) == pytest.approx(0.5)
+    assert fo.beta_cdf(0.5, 500_000, 500_000) == pytest.approx(0.5, abs=1e-9)
+
+
+@pytest.mark.parametrize("a, b", [([1, 2, 3], [4, 5, 6, 7]), ([1, 1, 2], [1, 2, 2, 3]), ([0.5, 3], [1, 2, 3, 3, 4]), ([1], [1]), ([5, 1, 4, 2], [3, 3, 3])])
+def test_exact_distance_p_equals_enumeration(spark, a, b):
+    import itertools
+
+    pool = sorted(a + b)
+
+    def distance(first):
+        rest = list(range(len(pool)))
+        for i in first:
+            rest.remove(i)
+        x, y = [pool[i] for i in first], [pool[i] for i in rest]
+        return max(abs(sum(v <= t for v in x) * len(y) - sum(v <= t for v in y) * len(x)) for t in pool)
+
+    seen = max(abs(sum(v <= t for v in a) * len(b) - sum(v <= t for v in b) * len(a)) for t in pool)
+    all_ = [distance(c) >= seen for c in itertools.combinations(range(len(pool)), len(a))]
+    frames = [spark.createDataFrame([(float(v),) for v in x], "v double") for x in (a, b)]
+    assert st.ks_2samp(*frames, "v").first()["p_value"] == pytest.approx(sum(all_) / len(all_))
+
+
+def test_paired_areas(spark):
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 300)
+    a, b = np.round(y + rng.normal(size=300), 1), np.round(0.5 * y + rng.normal(size=300), 1)
+    rows = [(int(i), float(u), float(v)) for i, u, v in zip(y, a, b)] + [(None, 1.0, 1.0), (1, None, 0.0), (0, 1.0, float("nan"))]
+    got = me.auc_paired(spark.createDataFrame(rows, "y int, a double, b double"), "y", "a", "b").first()
+
+    def parts(s):
+        p, q = s[y == 1], s[y == 0]
+        k = (p[:, None] > q) + (p[:, None] == q) / 2
+        return k.mean(axis=1), k.mean(axis=0)
+
+    (ap, aq), (bp, bq) = parts(a), parts(b)
+    var = np.var(ap - bp, ddof=1) / len(ap) + np.var(aq - bq, ddof=1) / len(aq)
+    assert (got["n_pos"], got["n_neg"]) == (len(ap), len(aq))
+    assert got["auc_a"] == pytest.approx(ap.mean()) and got["difference"] == pytest.approx(ap.mean() - bp.mean())
+    assert got["se"] == pytest.approx(math.sqrt(var)) and got["p_value"] == pytest.approx(math.erfc(abs(got["z"]) / math.sqrt(2)))
+    alone = me.auc_paired(spark.createDataFrame([(1, 1.0, 2.0)], "y int, a double, b double"), "y", "a", "b").first()
+    assert alone["n_neg"] == 0 and alone["se"] is None
+
+
+def test_bootstrap_interval(scored):
+    df, *_ = scored
+    drawn = me.auc_bootstrap(df, "y", "s", 1000).first()
+    again = me.auc_bootstrap(df.repartition(3), "y", "s", 1000).first()
+    closed = me.auc_ci(df, "y", "s").first()
+    assert drawn == again and drawn["auc"] == pytest.approx(closed["auc"])
+    for end in ("lower", "upper"):
+        assert abs(drawn[end] - closed[end]) < closed["se"] / 3
+    assert me.auc_bootstrap(df, "y", "s", 1000, seed=5).first()["lower"] != drawn["lower"]
+    flipped = me.auc_bootstrap(df.withColumn("s", -F.col("s")), "y", "s", 1000, direction="auto").first()
+    assert flipped["auc"] == pytest.approx(closed["auc"])
