@@ -8,8 +8,8 @@ pieces by decreasing length, each into the first bin with room, found by descend
 space. What a group's last bins leave free is at most about a sequence per group.
 
 Tokens: identifiers of a public word-end byte-pair vocabulary, then the end identifier. White space never joins two
-tokens, so a text's identifiers are those of its space- and newline-separated parts in order; parts are looked up in a
-bounded cache and only unseen ones are encoded.
+tokens, so a text's identifiers are those of its space- and newline-separated parts in order; the distinct parts of a batch are
+looked up in a bounded cache, only unseen ones are encoded, and the batch's identifiers are gathered by offsets.
 
 Defined cases: null and empty texts are one piece with the end identifier only; null and repeated ids stay, each row
 with its own pieces; an empty table gives no pieces; extra columns are ignored.
@@ -17,7 +17,6 @@ with its own pieces; an empty table gives no pieces; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut_lineage, release_buffers
@@ -32,9 +32,10 @@ from .common import cut_lineage, release_buffers
 CAPACITY = 4096
 GROUP_ROWS = 4096
 END_ID = 2
-CACHE_PARTS = 250_000
+CACHE_PARTS = 600_000
+BATCH_BYTES = 8 << 20  # of texts whose parts are looked up together
 SEED = 5
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+SIMPLE = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 
 
 def vocabulary_path() -> str:
@@ -62,7 +63,7 @@ class PartEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
-        self.marks = {mark: self._whole(mark) for mark in ".,"}
+        self.marks = [b"", self._whole("."), self._whole(",")]
         self.limit = cache_parts // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -72,10 +73,12 @@ class PartEncoder:
 
     def _word(self, letters: str) -> bytes:
         """A run of lower-case Latin letters goes straight to the merge table: it is already normalised and one pre-token."""
-        found = self.young.get(letters) or self.old.get(letters)
+        found = self.young.get(letters)
         if found is None:
-            symbols = letters.encode().decode("latin-1").translate(self.letters)
-            found = _packed([t.id for t in self.tokenizer.model.tokenize(symbols)])
+            found = self.old.get(letters)
+            if found is None:
+                symbols = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
+                found = _packed([t.id for t in self.tokenizer.model.tokenize(symbols)])
             self._keep(letters, found)
         return found
 
@@ -85,26 +88,74 @@ class PartEncoder:
                 self.old, self.young = self.young, {}
             self.young[part] = found
 
-    def part(self, part: str) -> bytes:
-        """Spellings of a word with a capital or a closing mark share the word's identifiers."""
-        found = self.old.get(part)
+    def _other(self, part: str) -> bytes:
+        found = self.young.get(part)
         if found is None:
-            simple = _SIMPLE.fullmatch(part)
-            if simple is None:
+            found = self.old.get(part)
+            if found is None:
                 found = self._whole(part)
-            else:
-                found = self._word(simple[1].lower()) + (self.marks[simple[2]] if simple[2] else b"")
-        self._keep(part, found)
+            self._keep(part, found)
         return found
 
+    def _parts(self, parts: pa.Array) -> list[bytes]:
+        """Identifiers of distinct parts. Spellings of a word with a capital or a closing mark share the word's."""
+        simple = pc.match_substring_regex(parts, SIMPLE)
+        plain = parts.filter(simple)
+        words = pc.utf8_lower(pc.utf8_rtrim(plain, ".,")).dictionary_encode()
+        found = [self._word(w) for w in words.dictionary.to_pylist()]
+        marks = pc.add(pc.cast(pc.ends_with(plain, "."), pa.int8()), pc.multiply(pc.cast(pc.ends_with(plain, ","), pa.int8()), 2)).to_pylist()
+        spelt = iter([found[w] + self.marks[m] if m else found[w] for w, m in zip(words.indices.to_pylist(), marks)])
+        others = iter([self._other(p) for p in parts.filter(pc.invert(simple)).to_pylist()])
+        return [next(spelt if s else others) for s in simple.to_pylist()]
+
     def encode(self, text: str) -> bytes:
-        if "<|" in text:  # may hold the name of a special token, which is matched before anything is split
-            return self._whole(text)
-        parts = text.replace("\n", " ").split(" ")
-        found = list(map(self.young.get, parts))
-        if None in found:
-            found = [p if p is not None else self.part(w) for w, p in zip(parts, found)]
-        return b"".join(found)
+        return self.encode_batch(pa.array([text], pa.string()))[0].tobytes()
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of all texts, one after another, and how many each text has. Null texts have none.
+
+        Only the distinct parts of the batch are looked up; their identifiers are then gathered by offsets.
+        """
+        texts = pc.fill_null(texts, "")
+        # May hold the name of a special token, which is matched before anything is split.
+        special = pc.match_substring(texts, "<|")
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(special, "", texts), "\n", " "), " ")
+        coded = pc.list_flatten(split).dictionary_encode()
+        known = self._parts(coded.dictionary)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool = np.frombuffer(b"".join(known), "<u4")
+        part = coded.indices.to_numpy(zero_copy_only=False)
+        each = size[part]
+        ends = np.cumsum(each)
+        starts = (np.cumsum(size) - size)[part]
+        ids = pool[np.repeat(starts - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        counts = np.diff(bounds)
+        if special.true_count:
+            rows = np.split(ids, bounds[1:-1])
+            for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
+                rows[i] = np.frombuffer(self._whole(texts[i].as_py()), "<u4")
+            ids, counts = np.concatenate(rows), np.array([len(r) for r in rows])
+        return ids, counts
+
+
+_ENCODERS: dict[str, PartEncoder] = {}  # a worker keeps its encoder, and with it the bounded cache, from task to task
+
+
+def _encoder(path: str) -> PartEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PartEncoder(path)
+    return _ENCODERS[path]
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of about ``BATCH_BYTES`` together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, "right")))
+        yield texts.slice(at, to - at)
+        at = to
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -113,23 +164,25 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PartEncoder(place)
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        encoder = _encoder(place)
         for batch in batches:
-            row, start, length, crc, total, kept = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
-                for at in range(0, len(ids), 4 * capacity):
-                    piece = ids[at : at + 4 * capacity]
-                    row.append(i)
-                    start.append(at // 4)
-                    length.append(len(piece) // 4)
-                    crc.append(zlib.crc32(piece))
-                    total.append(len(ids) // 4)
-                    if keep_ids:
-                        kept.append(piece)
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.binary())] if keep_ids else []), names)
+            first = 0
+            for texts in _slices(batch.column(1)):
+                ids, counts = encoder.encode_batch(texts)
+                total = counts + 1
+                whole = np.full(total.sum(), END_ID, "<u4")
+                whole[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+                pieces = -(-total // capacity)
+                row = np.repeat(np.arange(len(counts)), pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                length = np.minimum(capacity, total[row] - start)
+                at = (np.cumsum(total) - total)[row] + start
+                view = memoryview(whole).cast("B")
+                crc = [zlib.crc32(view[4 * i : 4 * (i + n)]) for i, n in zip(at.tolist(), length.tolist())]
+                columns = [batch.column(0).take(pa.array(row + first)), *[pa.array(x, pa.int64()) for x in (start, length, crc, total[row])]]
+                kept = [pa.array([view[4 * i : 4 * (i + n)].tobytes() for i, n in zip(at.tolist(), length.tolist())], pa.binary())] if keep_ids else []
+                first += len(texts)
+                yield pa.RecordBatch.from_arrays([*columns, *kept], names)
             release_buffers()
 
     kind = dict(docs.dtypes)["doc_id"]
