@@ -6,8 +6,8 @@ pays a penalty). An unseen word is cut into n-grams of the longest size of which
 mean. A text's score per language is the mean over its words; the smallest wins, ties go to the first label in order.
 
 The frequencies are learned from a bounded sample of labelled rows: about ``DOCS_PER_LANGUAGE`` texts of every label,
-taken by a hash, and the ``ENTRIES`` most frequent words and n-grams of each size and label. The model grows with the
-number of labels only. Every text is scored whole, in one pass without a shuffle.
+taken by a hash, with all their words and n-grams. The model grows with the number of labels only. Every text is scored
+whole, in one pass without a shuffle.
 
 A winner alone proves nothing: every text has one. ``keep_identified`` also asks for evidence, the mean over the words of
 1 for a word that the winner knows, else the share of the word's ``LONGEST``-grams that the winner knows (0 for words too short
@@ -29,12 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import held_out, release_buffers, small_side, text_key
 
 DOCS_PER_LANGUAGE = 2000
-ENTRIES = 10_000
 LONGEST = 4
 UNKNOWN = "und"
 CACHE_ROWS = 100_000
@@ -62,8 +61,8 @@ def training_rows(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Dat
     return picked.select("lang", "text")
 
 
-def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, entries: int = ENTRIES, longest: int = LONGEST) -> Model:
-    """Counts over the sample, added up by Spark; only the kept entries come to the driver."""
+def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, longest: int = LONGEST) -> Model:
+    """Counts over the sample, added up by Spark; one row per entry and language comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,9 +82,7 @@ def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, entries: int =
 
     counted = training_rows(docs, per_language).mapInArrow(count, "lang string, size bigint, gram string, n bigint")
     summed = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
-    kept = summed.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= entries).drop("r")
-    return Model.build([tuple(r) for r in kept.toPandas().itertuples(index=False, name=None)], longest)
+    return Model.build(list(summed.toPandas().itertuples(index=False, name=None)), longest)
 
 
 class Model:

@@ -1,7 +1,10 @@
 """Operator 1: license scans as an exact set-similarity join of text blocks with license templates.
 
 A text is cut into overlapping blocks of ``BLOCK`` words, ``BLOCK / 2`` apart, so every span of up to ``BLOCK / 2`` words
-lies in a block. A template matches a block if at least ``threshold`` of its distinct words are in the block.
+lies in a block; templates of more words, such as whole license texts, are looked for in longer blocks, of a power of two of at least
+twice their words. A template matches a block if at least ``threshold`` of its distinct words are in the block. Of two
+templates that match a block and of which one has all words of the other, the longer one counts if the words that tell them apart are
+all there, else the shorter one.
 
 Join method, with the words of all templates as the universe (other words cannot add to an overlap):
 
@@ -54,7 +57,7 @@ BASE = (
     Template("cc-by-nc", "cc by nc", True),
 )
 
-# Well-known sentences of public licenses.
+# Well-known sentences of public licenses, and one whole text.
 NOTICES = (
     Template(
         "mit",
@@ -87,6 +90,18 @@ NOTICES = (
     Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
     Template("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+        "and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS "
+        "PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+        "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     Template("all-rights-reserved", "Copyright. All rights reserved. No part of this may be reproduced without written permission"),
 )
 
@@ -109,8 +124,6 @@ class Index:
     def __init__(self, templates: Sequence[Template], frequency: Mapping[str, int], threshold: float, base: int, block: int = BLOCK) -> None:
         self.templates, self.base, self.block = list(templates), base, block  # the first ``base`` report places
         self.words = [split_words(t.text) for t in self.templates]
-        if any(len(w) > block // 2 for w in self.words):
-            raise ValueError(f"templates of more than {block // 2} words need larger blocks")
         universe = sorted({w for ws in self.words for w in ws}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(universe)}
         self.sets = [sorted({self.rank[w] for w in ws}) for ws in self.words]
@@ -120,6 +133,8 @@ class Index:
             for i, r in enumerate(ranks[: len(ranks) - alpha + 1]):
                 self.prefix.setdefault(r, []).append((k, i))
         self.triggers = {w for w, r in self.rank.items() if r in self.prefix}
+        held = [set() if t.phrase else set(s) for t, s in zip(self.templates, self.sets)]
+        self.nested = [(a, b, held[b] - held[a]) for a in range(len(held)) for b in range(len(held)) if held[a] and held[a] < held[b]]
 
     def candidates(self, ranks: list[int]) -> set[int]:
         """Templates that pass the prefix, length and positional filters against a block's sorted distinct ranks."""
@@ -133,8 +148,12 @@ class Index:
                     found.add(k)
         return found
 
-    def scan(self, text: str | None) -> Found:
-        words = split_words(text)
+    def _nearest(self, shares: dict[int, float], held: set[int]) -> dict[int, float]:
+        """Without the worse of matching templates that contain each other."""
+        worse = {a if apart <= held else b for a, b, apart in self.nested if a in shares and b in shares}
+        return {k: share for k, share in shares.items() if k not in worse}
+
+    def scan(self, words: list[str]) -> Found:
         out = Found(len(words))
         hot = [i for i, w in enumerate(words) if w in self.triggers] if not self.triggers.isdisjoint(words) else []
         if not hot:
@@ -146,6 +165,7 @@ class Index:
         for b in blocks:
             part = words[b * half : b * half + self.block]
             held = {self.rank[w] for w in part if w in self.rank}
+            shares = {}
             for k in self.candidates(sorted(held)):
                 overlap = sum(r in held for r in self.sets[k])
                 if overlap < self.alpha[k]:
@@ -157,12 +177,35 @@ class Index:
                         continue
                     if k < self.base:
                         places.update((b * half + i, self.templates[k].label) for i in at)
+                shares[k] = overlap / len(self.sets[k])
+            for k, share in self._nearest(shares, held).items():
                 out.labels.add(self.templates[k].label)
-                out.score = max(out.score, overlap / len(self.sets[k]))
+                out.score = max(out.score, share)
         out.places = sorted(places)
         return out
 
 
+class Scanner:
+    """One index per block length; the first ``base`` templates report places."""
+
+    def __init__(self, templates: Sequence[Template], frequency: Mapping[str, int], threshold: float, base: int, block: int = BLOCK) -> None:
+        groups: dict[int, list[tuple[int, Template]]] = {}
+        for i, t in enumerate(templates):
+            long = max(block, 1 << (2 * len(split_words(t.text)) - 1).bit_length())
+            groups.setdefault(long, []).append((i, t))
+        self.indexes = [Index([t for _, t in own], frequency, threshold, sum(i < base for i, _ in own), size) for size, own in sorted(groups.items())]
+
+    def scan(self, text: str | None) -> Found:
+        words = split_words(text)
+        out = Found(len(words))
+        for index in self.indexes:
+            found = index.scan(words)
+            out.places = sorted({*out.places, *found.places})
+            out.labels |= found.labels
+            out.score = max(out.score, found.score)
+        return out
+
+
 def word_frequency(docs: DataFrame, templates: Sequence[Template]) -> dict[str, int]:
     """In how many texts each template word occurs; one row per template word reaches the driver."""
     wanted = {w for t in templates for w in split_words(t.text)}
@@ -184,7 +227,7 @@ def scan(docs: DataFrame, base: Sequence[Template] = BASE, notices: Sequence[Tem
     The score is the largest share of a matched template's distinct words that one block holds, 0 without a match.
     """
     templates = [*base, *notices]
-    index = Index(templates, word_frequency(docs, templates), threshold, len(base))
+    index = Scanner(templates, word_frequency(docs, templates), threshold, len(base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))

@@ -3,7 +3,6 @@
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from evenlend.llm import decontaminate, licenses
@@ -76,26 +75,37 @@ def test_windows_of_empty_tables(spark):
     assert decontaminate.drop_contaminated(docs, items.limit(0)).count() == 1
 
 
-def plain_scan(text, templates, base, threshold, block=licenses.BLOCK):
+def plain_scan(text, templates, base, threshold):
     """Every block against every template, without an index."""
     w = plain_words(text)
-    half, labels, places, score = block // 2, set(), set(), 0.0
-    starts = range(0, max(1, len(w) - half), half) if len(w) > block else [0]
-    for s in starts:
-        part = w[s : s + block]
-        for k, t in enumerate(templates):
-            v = plain_words(t.text)
-            share = len(set(v) & set(part)) / len(set(v))
-            if t.phrase:
-                at = [i for i in range(len(part) - len(v) + 1) if part[i : i + len(v)] == v]
-                if not at:
+    labels, places, score = set(), set(), 0.0
+    sets = [set(plain_words(t.text)) for t in templates]
+    sizes = [next(b for b in (128, 256, 512, 1024, 2048) if b >= 2 * len(plain_words(t.text))) for t in templates]
+    for block in set(sizes):
+        half = block // 2
+        for s in range(0, max(1, len(w) - half), half) if len(w) > block else [0]:
+            part = w[s : s + block]
+            found = {}
+            for k, t in enumerate(templates):
+                if sizes[k] != block:
                     continue
-                if k < base:
-                    places |= {(s + i, t.label) for i in at}
-            elif share < threshold - 1e-9:
-                continue
-            labels.add(t.label)
-            score = max(score, share)
+                v = plain_words(t.text)
+                share = len(sets[k] & set(part)) / len(sets[k])
+                if t.phrase:
+                    at = [i for i in range(len(part) - len(v) + 1) if part[i : i + len(v)] == v]
+                    if not at:
+                        continue
+                    if k < base:
+                        places |= {(s + i, t.label) for i in at}
+                elif share < threshold - 1e-9:
+                    continue
+                found[k] = share
+            for k, share in found.items():
+                inner = any(sets[k] < sets[j] and sets[j] - sets[k] <= set(part) for j in found if not templates[j].phrase)
+                outer = any(sets[j] < sets[k] and not sets[k] - sets[j] <= set(part) for j in found if not templates[j].phrase)
+                if templates[k].phrase or not (inner or outer):
+                    labels.add(templates[k].label)
+                    score = max(score, share)
     return len(w), sorted(places), sorted(labels), score
 
 
@@ -126,6 +136,25 @@ def test_license_scan_matches_all_against_all(spark):
     assert licenses.scan(d.limit(0)).count() == 0
 
 
-def test_long_template_is_refused():
-    with pytest.raises(ValueError):
-        licenses.Index([licenses.Template("x", "w " * 65)], {}, 0.8, 0)
+def scan_all(spark, texts, notices=licenses.NOTICES):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r for r in licenses.scan(frame, notices=notices).collect()}
+
+
+def test_whole_license_texts_are_found(spark):
+    rng = random.Random(6)
+    long = [f"word{rng.randrange(10_000)}" for _ in range(300)]
+    most = [w for w in long if w not in set(rng.sample(sorted(set(long)), len(set(long)) // 6))]
+    few = [w for w in long if w not in set(rng.sample(sorted(set(long)), len(set(long)) // 3))]
+    notices = [licenses.Template("long", " ".join(long)), *licenses.NOTICES]
+    filler = ["filler"] * 333
+    texts = [" ".join(filler + long + filler), " ".join(filler + most), " ".join(filler + few)]
+    got = scan_all(spark, texts, notices)
+    assert [got[i]["labels"] for i in range(3)] == [["long"], ["long"], []]
+    assert got[0]["score"] == 1.0 and 0.8 <= got[1]["score"] < 1
+
+
+def test_notices_that_contain_each_other(spark):
+    notice = "This work is licensed under a Creative Commons Attribution {}4.0 International License"
+    got = scan_all(spark, [notice.format(x) for x in ("", "ShareAlike ", "NonCommercial ")])
+    assert [got[i]["labels"] for i in range(3)] == [["cc-by"], ["cc-by-sa"], ["cc-by-nc"]]
