@@ -16,7 +16,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # A side that was counted at or under this many fixed-width rows is broadcast (about 100 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
-__all__ = ["WORD", "UPPER", "cut_lineage", "lower_ascii", "words", "text_key", "small_side", "numbered", "held_out", "release_buffers"]
+__all__ = ["WORD", "UPPER", "cut_lineage", "lower_ascii", "words", "text_key", "small_side", "numbered", "held_out", "release_buffers", "free_names"]
 
 
 def release_buffers() -> None:
@@ -24,6 +24,18 @@ def release_buffers() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for added columns, lengthened until no column of ``df`` has them (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is. Texts of ASCII only take the byte-wise path."""
     ascii_only = F.length(text) == F.octet_length(text)

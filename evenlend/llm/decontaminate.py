@@ -24,7 +24,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut_lineage, small_side, text_key, words
+from .common import cut_lineage, free_names, small_side, text_key, words
 
 WINDOW = 10
 SHINGLE = 5
@@ -143,6 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark window, with all their columns."""
-    bad = contamination(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()
-    keep = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key(F.col("text")) == F.col("__text"))
+    own_id, own_text = free_names(docs, "__id", "__text")
+    bad = contamination(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_text)).distinct()
+    keep = F.col("doc_id").eqNullSafe(F.col(own_id)) & (text_key(F.col("text")) == F.col(own_text))
     return docs.join(bad, keep, "left_anti")

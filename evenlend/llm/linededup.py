@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut_lineage, small_side, text_key
+from .common import cut_lineage, free_names, small_side, text_key
 from .components import components
 
 MAX_EDITS = 2
@@ -138,12 +138,13 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     Documents of which no character is left, though they had some, go: all they held is kept elsewhere.
     """
     found = line_classes(docs, max_edits, min_chars)
-    drop = found.filter((~F.col("first")) & (F.col("chars") > 0)).groupBy(*KEY).agg(F.collect_set("line_no").alias("__gone"))
-    drop = drop.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), "__gone")
-    keyed = docs.withColumn("__key", text_key(F.col("text")))
-    joined = keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("__new", text).filter(F.col("__gone").isNull() | (F.length(F.replace("__new", F.lit("\n"), F.lit(""))) > 0))
-    out = out.select(*[F.col("__new").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    gone, own_id, own_text, key, new = free_names(docs, "__gone", "__id", "__text", "__key", "__new")
+    drop = found.filter((~F.col("first")) & (F.col("chars") > 0)).groupBy(*KEY).agg(F.collect_set("line_no").alias(gone))
+    drop = drop.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_text), gone)
+    keyed = docs.withColumn(key, text_key(F.col("text")))
+    joined = keyed.join(drop, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_text)), "left")
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = joined.withColumn(new, text).filter(F.col(gone).isNull() | (F.length(F.replace(new, F.lit("\n"), F.lit(""))) > 0))
+    out = out.select(*[F.col(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out

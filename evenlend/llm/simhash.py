@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut_lineage, release_buffers, small_side, text_key
+from .common import cut_lineage, free_names, release_buffers, small_side, text_key
 from .components import components
 
 BITS = 64
@@ -225,7 +225,8 @@ def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, size: int =
     pick = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("text_key"))
     # A group of null ids only has no component id; its fingerprint tells it apart.
     group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")]
-    stays = groups.groupBy(*group).agg(F.min(pick).alias("p")).select(F.col("p.doc_id").alias("__id"), F.col("p.text_key").alias("__text"))
-    keyed = docs.withColumn("__key", text_key(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
-    return keyed.join(stays, same, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+    own_id, own_text, key = free_names(docs, "__id", "__text", "__key")
+    stays = groups.groupBy(*group).agg(F.min(pick).alias("p")).select(F.col("p.doc_id").alias(own_id), F.col("p.text_key").alias(own_text))
+    keyed = docs.withColumn(key, text_key(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_text))
+    return keyed.join(stays, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
