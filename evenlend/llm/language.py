@@ -28,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -82,7 +83,7 @@ def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, longest: int =
 
     counted = training_rows(docs, per_language).mapInArrow(count, "lang string, size bigint, gram string, n bigint")
     summed = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    return Model.build(list(summed.toPandas().itertuples(index=False, name=None)), longest)
+    return Model.build(summed.toPandas(), longest)
 
 
 class Model:
@@ -92,20 +93,24 @@ class Model:
         self.langs, self.words, self.grams, self.costs, self.longest, self.penalty = langs, words, grams, costs, longest, penalty
 
     @classmethod
-    def build(cls, rows: list[tuple[str, int, str, int]], longest: int) -> Model:
-        langs = sorted({r[0] for r in rows})
-        column = {lang: i for i, lang in enumerate(langs)}
-        totals: Counter = Counter()
-        for lang, size, _, n in rows:
-            totals[lang, size] += n
-        keys = {key: i for i, key in enumerate(sorted({(r[1] > 0, r[2]) for r in rows}))}
-        costs = np.full((len(keys), max(1, len(langs))), np.nan)
-        penalty = 1.0 + max((math.log10(n) for n in totals.values()), default=0.0)
-        costs[:] = penalty
-        for lang, size, gram, n in rows:
-            costs[keys[size > 0, gram], column[lang]] = -math.log10(n / totals[lang, size])
-        split = [{g: i for (is_gram, g), i in keys.items() if is_gram == kind} for kind in (False, True)]
-        return cls(langs, split[0], split[1], costs, longest, penalty)
+    def build(cls, rows: pd.DataFrame | list[tuple[str, int, str, int]], longest: int) -> Model:
+        """From counts ``lang, size, gram, n``; size 0 stands for words."""
+        frame = rows if isinstance(rows, pd.DataFrame) else pd.DataFrame(rows, columns=["lang", "size", "gram", "n"])
+        langs, column = np.unique(frame["lang"].to_numpy(object), return_inverse=True) if len(frame) else (np.zeros(0, object), np.zeros(0, np.int64))
+        count = frame["n"].to_numpy(float)
+        totals = frame.groupby(["lang", "size"])["n"].transform("sum").to_numpy(float)
+        penalty = 1.0 + (math.log10(totals.max()) if len(frame) else 0.0)
+        is_gram = frame["size"].to_numpy() > 0
+        split, places, start = [], np.zeros(len(frame), np.int64), 0
+        for kind in (False, True):
+            own = np.flatnonzero(is_gram == kind)
+            keys, place = np.unique(frame["gram"].to_numpy(object)[own], return_inverse=True)
+            places[own] = start + place
+            split.append(dict(zip(keys.tolist(), range(start, start + len(keys)))))
+            start += len(keys)
+        costs = np.full((start, max(1, len(langs))), penalty)
+        costs[places, column] = -np.log10(count / totals)
+        return cls(langs.tolist(), split[0], split[1], costs, longest, penalty)
 
     def back_off(self, word: str) -> np.ndarray:
         """Mean cost of the known n-grams of the longest size that has any; a flat cost if none has."""
@@ -125,10 +130,12 @@ class Model:
         return (self.costs[rows] < self.penalty).sum(axis=0) / len(found) if rows else out
 
     def known_words(self) -> np.ndarray:
-        """Evidence of every row that is a word."""
-        known = np.zeros(self.costs.shape)
+        """Evidence of every row that is a word. Only words that some language lacks are cut into n-grams."""
+        known = (self.costs < self.penalty).astype(float)
+        part = ~known.all(axis=1)
         for word, i in self.words.items():
-            known[i] = np.where(self.costs[i] < self.penalty, 1.0, self.known_grams(word))
+            if part[i]:
+                known[i] = np.where(known[i] > 0, 1.0, self.known_grams(word))
         return known
 
 
