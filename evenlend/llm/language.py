@@ -23,6 +23,7 @@ one row each; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,9 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, release_buffers, small_side, text_key
+from .common import cut_lineage, held_out, release_buffers, small_side, text_key
 
 DOCS_PER_LANGUAGE = 2000
 LONGEST = 4
@@ -62,8 +64,8 @@ def training_rows(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Dat
     return picked.select("lang", "text")
 
 
-def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, longest: int = LONGEST) -> Model:
-    """Counts over the sample, added up by Spark; one row per entry and language comes to the driver."""
+def entry_counts(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, longest: int = LONGEST) -> DataFrame:
+    """``lang, size, gram, n`` over the sample, added up by Spark; size 0 stands for words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,8 +84,27 @@ def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, longest: int =
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["lang", "size", "gram", "n"])
 
     counted = training_rows(docs, per_language).mapInArrow(count, "lang string, size bigint, gram string, n bigint")
-    summed = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    return Model.build(summed.toPandas(), longest)
+    return counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+
+
+def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, longest: int = LONGEST) -> Model:
+    """The model of the sample, on the driver."""
+    return Model.build(entry_counts(docs, per_language, longest).toPandas(), longest)
+
+
+def learned(docs: DataFrame, per_language: int, judged: bool, longest: int = LONGEST) -> Broadcast[bytes]:
+    """The model, and with ``judged`` its words' evidence, pickled for all workers.
+
+    It is built in a worker, so the driver holds its bytes only. Its size is bounded by the sample, not by the documents.
+    """
+
+    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Model.build(pd.concat([pd.DataFrame([], columns=["lang", "size", "gram", "n"]).astype({"size": "int64", "n": "int64"}), *frames], ignore_index=True), longest)
+        yield pd.DataFrame({"model": [model.packed(judged)]})
+
+    counts = cut_lineage(entry_counts(docs, per_language, longest))
+    packed = counts.coalesce(1).mapInPandas(build, "model binary").first()
+    return docs.sparkSession.sparkContext.broadcast(bytes(packed["model"]) if packed else Model.build([], longest).packed(judged))
 
 
 class Model:
@@ -112,6 +133,15 @@ class Model:
         costs[places, column] = -np.log10(count / totals)
         return cls(langs.tolist(), split[0], split[1], costs, longest, penalty)
 
+    def packed(self, judged: bool) -> bytes:
+        """The parts of the model, and with ``judged`` the evidence of its words."""
+        return pickle.dumps((self.langs, self.words, self.grams, self.costs, self.longest, self.penalty, self.known_words() if judged else None))
+
+    @classmethod
+    def unpacked(cls, packed: bytes) -> tuple[Model, np.ndarray]:
+        *parts, known = pickle.loads(packed)
+        return cls(*parts), known
+
     def back_off(self, word: str) -> np.ndarray:
         """Mean cost of the known n-grams of the longest size that has any; a flat cost if none has."""
         for size in range(self.longest, 0, -1):
@@ -211,12 +241,11 @@ class Judge(Scorer):
         return lang, score, float(known[self.model.langs.index(lang)] / len(found))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, packed: Broadcast[bytes]) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row; the score is the winner's share when scores are read as likelihoods."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model.unpacked(packed.value)[0])
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column(1)]
             columns = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
@@ -229,7 +258,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identify(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every document; learns from the rows outside the held-out quarter."""
-    scored = predict(docs, learn(docs, per_language))
+    scored = predict(docs, learned(docs, per_language, False))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -237,12 +266,11 @@ def keep_identified(
     docs: DataFrame, least_score: float = 0.0, per_language: int = DOCS_PER_LANGUAGE, least_evidence: float = LEAST_EVIDENCE
 ) -> DataFrame:
     """The documents in a known language, with all their columns; ``und``, scores and evidence under the least go."""
-    model = learn(docs, per_language)
-    shared = docs.sparkSession.sparkContext.broadcast((model, model.known_words()))
+    packed = learned(docs, per_language, True)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(*shared.value)
+        judge = Judge(*Model.unpacked(packed.value))
         for batch in batches:
             found = [judge.judge(t.as_py()) for t in batch.column(at)]
             kept = [lang != UNKNOWN and score >= least_score and evidence >= least_evidence for lang, score, evidence in found]
