@@ -21,9 +21,10 @@ from .categorical import closed_levels
 from .designs import ALIAS_TOLERANCE, INTERCEPT, Design, LogitModel
 from .metrics import auc_ci
 from .ordering import value_positions
-from .sparse_glm import DENSE, fit_many, predictor, score_many
+from .sparse_glm import fit_many, predictor, score_many
 
 SCORE_DIGITS = 9  # of screened scores; less than rounding apart, they count as tied
+WIDE = 64  # more columns than this are fitted and scored from sparse rows, not from one expression per column
 
 
 def make_design(
@@ -89,9 +90,9 @@ def aliased_columns(gram: np.ndarray, names: Sequence[str], tolerance: float = A
 def logit_fit(df: DataFrame, design: Design, max_iter: int = 50, tol: float = 1e-10) -> LogitModel:
     """Maximum-likelihood fit on the complete rows. Aliased columns are left out and reported.
 
-    Designs of more than ``DENSE`` columns are fitted from sparse rows.
+    Designs of more than ``WIDE`` columns are fitted from sparse rows.
     """
-    if len(design.names()) > DENSE:
+    if len(design.names()) > WIDE:
         return fit_many(df, {"wide": design}, max_iter, tol)["wide"]
     columns = design.columns()
     names = [f"x{i}" for i in range(len(columns))]
@@ -164,7 +165,7 @@ def _balanced_sum(terms: list[Column]) -> Column:
 
 
 def linear_predictor(model: LogitModel) -> Column:
-    if len(model.design.names()) > DENSE:
+    if len(model.design.names()) > WIDE:
         return predictor(model)
     columns = model.design.columns()
     terms = [F.lit(float(model.estimates[INTERCEPT]))]
