@@ -135,21 +135,19 @@ def rebalance_by_rownum(spark, sf_dir):
 @query(
     "stratified_exact",
     f"""
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY {score_sql('k')}, k) AS rk,
-                 count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n
-               FROM (SELECT l_orderkey * 64 + l_linenumber AS k, l_returnflag, l_linestatus, min(l_quantity) AS q FROM lineitem GROUP BY ALL))
-    SELECT k, l_returnflag, l_linestatus, q FROM r WHERE rk <= n // 3
+    WITH t AS (SELECT l_orderkey * 64 + l_linenumber AS k, l_returnflag, l_linestatus, l_quantity, l_extendedprice FROM lineitem),
+    r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY {score_sql('k')}, k, l_quantity, l_extendedprice) AS rk,
+                 count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM t)
+    SELECT k, l_returnflag, l_linestatus, l_quantity, l_extendedprice FROM r WHERE rk <= n // 3
     """,
 )
 def stratified_exact(spark, sf_dir):
-    """A third of every stratum, to the row."""
+    """A third of every stratum, to the row; lines of equal number are ranked by their amounts."""
     (lines,) = load(spark, sf_dir, "lineitem")
-    keyed = lines.groupBy(
-        (F.col("l_orderkey") * 64 + F.col("l_linenumber")).alias("k"), "l_returnflag", "l_linestatus"
-    ).agg(F.min("l_quantity").alias("q"))
-    strata = ["l_returnflag", "l_linestatus"]
+    amounts, strata = ["l_quantity", "l_extendedprice"], ["l_returnflag", "l_linestatus"]
+    keyed = lines.select((F.col("l_orderkey") * 64 + F.col("l_linenumber")).alias("k"), *strata, *amounts)
     sizes = keyed.groupBy(*strata).agg(F.floor(F.count(F.lit(1)) / 3).alias("size"))
-    return sa.stratified_exact(keyed, strata, sizes, "k", score=_score("k"))
+    return sa.stratified_exact(keyed, strata, sizes, ["k", *amounts], score=_score("k"))
 
 
 APPROVED = "o_orderstatus <> 'P'"

@@ -41,20 +41,20 @@ def stratified_exact(
     df: DataFrame,
     strata: Sequence[str],
     sizes: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     size_col: str = "size",
     score: Column | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """Exactly ``size`` rows per stratum without replacement (all rows when the stratum is smaller).
 
-    The sample is the ``size`` lowest scores. Scores are cut into equal slices, 1,024 or more as the table grows; counts per
+    The sample is the ``size`` lowest scores, ties in the order of the ``key`` column or columns. Scores are cut into equal slices, 1,024 or more as the table grows; counts per
     (stratum, slice) tell which slices are taken whole, which one is taken in part and which not at all. Whole slices
     need only a lookup, and a ranking window runs on the one partial slice per stratum, so a stratum that
     holds a third of the table never meets in one task.
     """
-    names = list(strata)
-    score = uniform_score(F.col(key), seed) if score is None else score
+    names, keys = list(strata), [key] if isinstance(key, str) else list(key)
+    score = uniform_score(F.struct(*keys) if len(keys) > 1 else F.col(keys[0]), seed) if score is None else score
     bits = min(SCORE_BITS, max(BUCKET_BITS, (df.count() // SLICE_ROWS).bit_length()))
     shift = SCORE_BITS - bits
     scored = df.withColumn("__score", score).withColumn("__slice", F.shiftright(F.col("__score"), shift))
@@ -71,7 +71,7 @@ def stratified_exact(
     side = F.broadcast(plan) if fits_broadcast(plan) else plan
     picked = scored.join(side, [*names, "__slice"])
     whole = picked.filter(F.col("__n") <= F.col("__need"))
-    rank = F.row_number().over(Window.partitionBy(*names, "__slice").orderBy("__score", key))
+    rank = F.row_number().over(Window.partitionBy(*names, "__slice").orderBy("__score", *keys))
     part = picked.filter(F.col("__n") > F.col("__need")).withColumn("__rank", rank).filter("__rank <= __need")
     columns = [F.col(f"`{c}`") for c in df.columns]
     return whole.select(*columns).union(part.select(*columns))
