@@ -162,10 +162,17 @@ def _applicant_sql() -> str:
     """
 
 
-@query("applicant_job", _applicant_sql())
-def applicant_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole feature job: five summaries per applicant, joined, counted, engineered and cleaned."""
-    wide = ap.applicant_features(loan_tables(spark, sf_dir))
+def _plain(wide: DataFrame) -> DataFrame:
+    """Doubles of single precision and integers as bigint, so both engines print the same values."""
     kinds = dict(wide.dtypes)
-    cell = {"double": lambda c: c.cast("float").cast("double"), "boolean": lambda c: c}
+    cell = {"double": lambda c: c.cast("float").cast("double"), "boolean": lambda c: c, "string": lambda c: c}
     return wide.select(*[cell.get(k, lambda c: c.cast("bigint"))(F.col(f"`{n}`")).alias(n) for n, k in kinds.items()])
+
+
+APPLICANT_SQL = _applicant_sql()
+
+
+@query("applicant_job", APPLICANT_SQL)
+def applicant_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole feature job: five summaries per applicant, joined, counted, engineered and cleaned."""
+    return _plain(ap.applicant_features(loan_tables(spark, sf_dir)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ("features", "categories", "frequencies", "sampling", "testing", "models", "boosting", "storage", "jobs")
+FAMILIES = ("features", "categories", "frequencies", "sampling", "testing", "models", "boosting", "storage", "jobs", "protocols")
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import missing as m, rowwise as rw
 from ..operators import aggregate as ag, categorical as ca, columns as co, joins as jn, sampling as sa
@@ -123,20 +123,22 @@ def training_sets(
     extra_size: int | None = None,
     key: str = KEY,
     seed: int = 0,
+    score: Column | None = None,
 ) -> dict[str, DataFrame]:
     """Biased and rebalanced training sets, each with and without the protected attribute.
 
     ``minority``: all majority rows and an undersampled protected group (20% of the set by default).
-    ``rebalanced``: equal groups by undersampling. ``collected``: equal groups after adding protected rows.
+    ``rebalanced``: equal groups by undersampling. ``collected``: equal groups after adding protected rows. ``score``
+    orders the rows of a group in all draws (a hash of key and seed by default).
     """
     known = train.filter(F.col(attr).isin(protected, majority))
     counts = {r[attr]: r["n"] for r in known.groupBy(attr).agg(F.count(F.lit(1)).alias("n")).collect()}
     base = minority_size if minority_size is not None else counts[majority] // 4
     half = (base + counts[majority]) // 2
     extra = extra_size if extra_size is not None else max(0, min(half, counts[protected]) - base)
-    minority = sa.undersample(known, attr, {protected: base}, key, seed=seed)
-    even = sa.undersample(known, attr, {protected: base, majority: base}, key, seed=seed)
-    collected = sa.rebalance_collect(known, attr, protected, majority, base, extra, key, seed=seed)
+    minority = sa.undersample(known, attr, {protected: base}, key, score, seed)
+    even = sa.undersample(known, attr, {protected: base, majority: base}, key, score, seed)
+    collected = sa.rebalance_collect(known, attr, protected, majority, base, extra, key, score, seed)
     sets = {"minority": minority, "rebalanced": even, "collected": collected}
     return {**sets, **{f"{name}_blind": sa.blind(rows, attr) for name, rows in sets.items()}}
 

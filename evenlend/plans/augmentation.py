@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as sc
 from ..operators import binning as bi, categorical as ca, columns as co, frequency as fr, joins as jn, reweight as rw, stats as st
@@ -90,6 +90,6 @@ def compare_populations(everyone: DataFrame, approved: DataFrame, dims: Sequence
     return out.unionByName(crossed.drop("Target", "CODE_GENDER"))
 
 
-def augmented_test(test: DataFrame, everyone: DataFrame, approved: DataFrame, key: str, seed: int = 0) -> DataFrame:
+def augmented_test(test: DataFrame, everyone: DataFrame, approved: DataFrame, key: str, seed: int = 0, score: Column | None = None) -> DataFrame:
     """The first lender's test set resampled so that income by occupation follows all applicants."""
-    return rw.reject_inference_sample(everyone, approved, test.dropna(subset=["INCOME_BIN"]), STRATA, key, seed=seed)
+    return rw.reject_inference_sample(everyone, approved, test.dropna(subset=["INCOME_BIN"]), STRATA, key, score, seed)

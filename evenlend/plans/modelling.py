@@ -53,6 +53,19 @@ def scorecard_protocol(
     )
 
 
+def screened_scorecard(
+    train: DataFrame, holdout: DataFrame, prefixes: Sequence[str], attr: str, label: str, key: str, reference: str = "frequent"
+) -> tuple[DataFrame, ScorecardReport]:
+    """(screening of the families, protocol on the kept ones): columns of a scorecard table are grouped by prefix, families
+    whose area is not above one half on the training rows go, the attribute always stays."""
+    names = [c for c in train.columns if c not in (key, label)]
+    families = glm.families_by_prefix(names, prefixes, exclude=[attr])
+    screened = cut_lineage(glm.screen_features(train, families, label))
+    kept = {r["family"] for r in screened.filter("keep").select("family").collect()}  # one row per named prefix
+    features = [c for f, own in families.items() if f in kept for c in own]
+    return screened, scorecard_protocol(train, holdout, [attr, *features], attr, label, key, reference)
+
+
 @dataclass(frozen=True)
 class BoostReport:
     models: Mapping[str, tr.BoostModel]
@@ -79,7 +92,7 @@ def boost_protocol(
     inputs = {"aware": list(features), "blind": [f for f in features if f != attr]}
     models, parts, scores = {}, [], {}
     for name, names in inputs.items():
-        model = tr.gbt_fit(rows, names, label, params)
+        model = tr.gbt_fit(rows, names, label, params, key)
         shap = ex.shap_values(model, rows.withColumn("__group", F.col(attr)), key, ["__group", label])
         shap = cut_lineage(shap)
         scored = tr.gbt_score(model, held)
