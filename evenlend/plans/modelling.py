@@ -76,6 +76,14 @@ class BoostReport:
     scores: Mapping[str, DataFrame]
 
 
+def boost_models(
+    train: DataFrame, features: Sequence[str], attr: str, label: str, key: str, params: tr.BoostParams = tr.BoostParams()
+) -> dict[str, tr.BoostModel]:
+    """Trees with and without the attribute; the key draws the same rows for both."""
+    inputs = {"aware": list(features), "blind": [f for f in features if f != attr]}
+    return {name: tr.gbt_fit(train, names, label, params, key) for name, names in inputs.items()}
+
+
 def boost_protocol(
     train: DataFrame,
     holdout: DataFrame,
@@ -89,15 +97,14 @@ def boost_protocol(
     spark = train.sparkSession
     rows = cut_lineage(train.select(*dict.fromkeys([key, label, attr, *features])))
     held = cut_lineage(holdout.select(*dict.fromkeys([key, label, attr, *features])))
-    inputs = {"aware": list(features), "blind": [f for f in features if f != attr]}
-    models, parts, scores = {}, [], {}
-    for name, names in inputs.items():
-        model = tr.gbt_fit(rows, names, label, params, key)
+    models = boost_models(rows, features, attr, label, key, params)
+    parts, scores = [], {}
+    for name, model in models.items():
         shap = ex.shap_values(model, rows.withColumn("__group", F.col(attr)), key, ["__group", label])
         shap = cut_lineage(shap)
         scored = tr.gbt_score(model, held)
         tag = F.lit(name).alias("model")
-        models[name], scores[name] = model, scored.select(key, "score")
+        scores[name] = scored.select(key, "score")
         parts.append(
             (
                 cf.metric_rows(scored, label, name),
