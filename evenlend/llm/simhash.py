@@ -3,12 +3,14 @@
 A document's fingerprint has a bit set where more than half of its shingle hashes have it. Fingerprints link at
 ``max_bits`` or fewer differing bits.
 
-The index is a tree of masked bit patterns. Its upper nodes are ``max_bits + 1`` masks over disjoint bit fields: two
-linked fingerprints agree in at least one field, so below a node (field, pattern) all members have accumulated no
-difference there, and a pair is looked at under the first field it agrees in only. Members of a node are sorted by Gray
-rank, in which neighbours differ in few bits; runs of ``LEAF`` neighbours form the lower nodes, with the mask of the bits
-the run shares and their pattern. Two runs whose shared patterns differ in more than ``max_bits`` bits are pruned whole; only the rest is
-compared bit by bit.
+The index is a tree of masked bit patterns. Its upper nodes are masks over ``f`` disjoint bit fields, ``f - max_bits`` of them
+together: two linked fingerprints agree in that many fields at least, so below a node (mask, pattern) all members have accumulated
+no difference there, and a pair is looked at under the first mask it agrees in only. ``f`` grows with the number of fingerprints
+until a node is expected to hold no more than a task takes: 5 fields give 5 masks of 12 or 13 bits, 6 give 15 of 21, 7 give 35 of
+27, 8 give 70 of 32. Members of a node are sorted by Gray rank, in which neighbours differ in few bits. Runs of ``LEAF`` neighbours
+form the leaves, ``FAN`` nodes of a level one node of the level above; a node keeps the mask and the pattern of the bits that all below
+it share and that no node above it has. A run of fingerprints descends the tree, adding up its differences from the patterns on
+the way; a group whose sum exceeds ``max_bits`` is pruned whole, only the members of leaves that are reached are compared bit by bit.
 
 Only distinct fingerprints enter, so copies cost one row per task before the first shuffle. A node with more than
 ``NODE_ROWS`` members is dealt into blocks by a hash, and pairs of blocks are separate units of work. Inside a unit links
@@ -23,12 +25,13 @@ repeated rows give one row each; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import cut_lineage, free_names, release_buffers, small_side, text_key
 from .components import components
@@ -38,6 +41,7 @@ MAX_BITS = 4
 WORDS = 4
 NODE_ROWS = 2048
 LEAF = 32
+FAN = 8
 SEED = 42
 
 
@@ -78,14 +82,27 @@ def fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return narrow.mapInArrow(run, f"doc_id {kind}, text_key bigint, fp bigint")
 
 
-def fields(max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """``(shift, width)`` of ``max_bits + 1`` disjoint bit fields that cover all bits."""
-    cuts = [BITS * i // (max_bits + 1) for i in range(max_bits + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def fields(count: int) -> list[int]:
+    """Masks of ``count`` disjoint bit fields that cover all bits."""
+    cuts = [BITS * i // count for i in range(count + 1)]
+    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
 
 
-def _field(fp: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
+def masks(count: int, max_bits: int = MAX_BITS) -> list[int]:
+    """Unions of ``count - max_bits`` fields; two fingerprints within ``max_bits`` bits agree in one of them."""
+    return [sum(chosen) for chosen in combinations(fields(count), count - max_bits)]
+
+
+def field_count(rows: int, max_bits: int = MAX_BITS, node_rows: int = NODE_ROWS) -> int:
+    """The least number of fields whose nodes hold ``node_rows`` or fewer of ``rows`` evenly spread fingerprints."""
+    for count in range(max_bits + 1, 2 * max_bits + 1):
+        if rows <= node_rows << min(m.bit_count() for m in masks(count, max_bits)):
+            return count
+    return 2 * max_bits + 1
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -96,12 +113,41 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _nodes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the runs, the mask of the bits that every code of a run shares, and their pattern."""
+class _Level:
+    """Nodes of one level: the first child of each, and the mask and pattern of the bits that all below a node share."""
+
+    def __init__(self, starts: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> None:
+        self.starts, self.ones, self.zeros = starts, ones, zeros
+        self.own = ones | zeros  # less the bits of the nodes above, once those are known
+
+
+def _tree(codes: np.ndarray) -> list[_Level]:
+    """Levels from the leaves up to a single node, over codes in Gray order."""
     starts = np.arange(0, len(codes), LEAF)
-    ones = np.bitwise_and.reduceat(codes, starts)
-    zeros = np.bitwise_and.reduceat(~codes, starts)
-    return starts, ones | zeros, ones
+    levels = [_Level(starts, np.bitwise_and.reduceat(codes, starts), np.bitwise_and.reduceat(~codes, starts))]
+    while len(levels[-1].starts) > 1:
+        below = levels[-1]
+        starts = np.arange(0, len(below.starts), FAN)
+        levels.append(_Level(starts, np.bitwise_and.reduceat(below.ones, starts), np.bitwise_and.reduceat(below.zeros, starts)))
+        above = levels[-1].ones | levels[-1].zeros
+        below.own = below.own & ~np.repeat(above, FAN)[: len(below.starts)]
+    return levels
+
+
+def _reached(levels: list[_Level], leaf: int, limit: int) -> np.ndarray:
+    """Leaves from ``leaf`` on that no sum of differences from ``leaf``'s shared bits rules out."""
+    pattern, mask = levels[0].ones[leaf], levels[0].ones[leaf] | levels[0].zeros[leaf]
+    nodes, apart = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    for depth in range(len(levels) - 1, -1, -1):
+        level = levels[depth]
+        if depth < len(levels) - 1:
+            nodes, apart = (nodes[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(apart, FAN)
+            later = (nodes < len(level.starts)) & (nodes >= leaf // FAN**depth)  # a pair is looked at from its earlier run
+            nodes, apart = nodes[later], apart[later]
+        apart = apart + np.bitwise_count((pattern ^ level.ones[nodes]) & mask & level.own[nodes])
+        near = apart <= limit
+        nodes, apart = nodes[near], apart[near]
+    return nodes
 
 
 class _Forest:
@@ -120,19 +166,18 @@ class _Forest:
         self.up[max(x, y)] = min(x, y)
 
 
-def linked_pairs(codes: np.ndarray, side: np.ndarray, within: bool, field: int, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked_pairs(codes: np.ndarray, side: np.ndarray, within: bool, earlier: list[int], max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of linked pairs among codes in Gray order; ``side`` 0 or 1 is the block, ``within`` allows pairs of one block.
 
-    Pairs that agree in an earlier field are left to that field's node.
+    Pairs that agree in one of the ``earlier`` masks are left to that mask's node.
     """
     limit = np.uint8(max_bits)
-    starts, mask, pattern = _nodes(codes)
-    masks = [np.uint64(((1 << w) - 1) << s) for s, w in fields(max_bits)[:field]]
+    levels = _tree(codes)
+    starts = levels[0].starts
     lengths = np.diff([*starts, len(codes)])
     inside = np.arange(LEAF)
     for i in range(len(starts)):
-        apart = np.bitwise_count((pattern[i] ^ pattern[i:]) & mask[i] & mask[i:])
-        near = i + np.flatnonzero(apart <= limit)
+        near = _reached(levels, i, max_bits)
         left = np.arange(starts[i], starts[i] + lengths[i])
         right = (starts[near][:, None] + inside)[inside < lengths[near][:, None]]
         different = codes[left][:, None] ^ codes[right][None, :]
@@ -142,18 +187,18 @@ def linked_pairs(codes: np.ndarray, side: np.ndarray, within: bool, field: int,
         x, y = np.nonzero(hit)
         if len(x):
             ok = np.ones(len(x), dtype=bool)
-            for m in masks:
-                ok &= (different[x, y] & m) != 0
+            for m in earlier:
+                ok &= (different[x, y] & np.uint64(m)) != 0
             yield left[x[ok]], right[y[ok]]
 
 
-def _unit_links(codes: np.ndarray, side: np.ndarray, within: bool, field: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _unit_links(codes: np.ndarray, side: np.ndarray, within: bool, earlier: list[int], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links of one unit: members and their roots."""
     order = np.argsort(gray_rank(codes), kind="stable")
     codes, side = codes[order], side[order]
     forest = _Forest(len(codes))
     touched = False
-    for x, y in linked_pairs(codes, side, within, field, max_bits):
+    for x, y in linked_pairs(codes, side, within, earlier, max_bits):
         for a, b in zip(x.tolist(), y.tolist()):
             forest.join(a, b)
             touched = True
@@ -164,10 +209,13 @@ def _unit_links(codes: np.ndarray, side: np.ndarray, within: bool, field: int, m
     return codes[moved], codes[roots[moved]]
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE_ROWS) -> DataFrame:
-    """``a, b``: links that connect all fingerprints (column ``fp``, distinct) at ``max_bits`` or fewer differing bits."""
-    parts = fields(max_bits)
-    each = [F.struct(F.lit(j).alias("field"), _field(F.col("fp"), *p).alias("pattern")) for j, p in enumerate(parts)]
+def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE_ROWS, count: int | None = None) -> DataFrame:
+    """``a, b``: links that connect all fingerprints (column ``fp``, distinct) at ``max_bits`` or fewer differing bits.
+
+    ``count`` is the number of bit fields; by default it follows from the number of fingerprints.
+    """
+    parts = masks(count or field_count(fps.count(), max_bits, node_rows), max_bits)
+    each = [F.struct(F.lit(j).alias("field"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for j, m in enumerate(parts)]
     placed = fps.select("fp", F.explode(F.array(*each)).alias("k")).select("fp", "k.field", "k.pattern")
     counts = placed.groupBy("field", "pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > node_rows)
     large = cut_lineage(counts.select("field", "pattern", F.ceil(F.col("n") / node_rows).cast("int").alias("blocks")))
@@ -186,7 +234,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, node_rows: int =
         def solve(part: pd.DataFrame) -> pd.DataFrame:
             codes = part["fp"].to_numpy(np.int64).view(np.uint64)
             within = bool(part["lo"].iat[0] == part["hi"].iat[0])
-            a, b = _unit_links(codes, part["side"].to_numpy(), within, int(part["field"].iat[0]), max_bits)
+            a, b = _unit_links(codes, part["side"].to_numpy(), within, parts[: int(part["field"].iat[0])], max_bits)
             return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
         held = None  # the last unit of a batch may go on in the next

@@ -131,13 +131,41 @@ def test_links_of_many_close_fingerprints(spark):
     fps = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in codes], "fp long")
     pairs = [(a, b) for i, a in enumerate(codes) for b in codes[i + 1 :] if (a ^ b).bit_count() <= 4]
     want = roots(codes, pairs)
-    for node_rows in (simhash.NODE_ROWS, 7):
-        links = simhash.fingerprint_links(fps, node_rows=node_rows).collect()
+    for node_rows, count in ((simhash.NODE_ROWS, None), (7, None), (7, 5), (40, 6), (simhash.NODE_ROWS, 8)):
+        links = simhash.fingerprint_links(fps, node_rows=node_rows, count=count).collect()
         unsigned = lambda v: v % (1 << 64)
         got = roots(codes, [(unsigned(r["a"]), unsigned(r["b"])) for r in links])
         assert got == want
 
 
+def test_fields_grow_with_the_fingerprints():
+    assert [simhash.field_count(n) for n in (0, 10**6, 10**8, 10**11, 10**12, 10**14)] == [5, 5, 6, 7, 8, 9]
+    for count in (5, 6, 7, 8):
+        assert all(simhash.masks(count)[0] >> b & 1 for b in range(10))
+        rows = 2048 << min(m.bit_count() for m in simhash.masks(count))
+        assert simhash.field_count(rows) == count < simhash.field_count(rows + 1)
+    rng = random.Random(5)
+    for _ in range(300):
+        diff = sum(1 << b for b in rng.sample(range(64), 4))
+        assert all(any(diff & m == 0 for m in simhash.masks(count)) for count in (5, 6, 7, 8))
+
+
+def test_tree_prunes_no_link():
+    """Every leaf with a linked member is reached, and on spread codes most others are not."""
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) & np.uint64((1 << 18) - 1) | np.uint64(5 << 40)
+    codes = np.unique(codes)
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    levels, reached = simhash._tree(codes), 0
+    for i in range(len(levels[0].starts)):
+        got = simhash._reached(levels, i, 2)
+        reached += len(got)
+        mine = codes[i * simhash.LEAF : (i + 1) * simhash.LEAF]
+        linked = np.flatnonzero((np.bitwise_count(mine[:, None] ^ codes[None, :]) <= 2).any(axis=0)) // simhash.LEAF
+        assert set(linked[linked >= i]) <= set(got.tolist())
+    assert reached < len(levels[0].starts) ** 2 / 3
+
+
 def test_near_duplicates(spark):
     base = "The quick brown fox jumps over the lazy dog while nine other animals look at it from behind the old red barn " * 6
     docs = [(5, base), (3, base.upper()), (9, base + " end"), (7, "something else entirely with other words in it"), (1, None), (2, ""), (None, base), (None, "alone here now"), (9, base + " end")]
