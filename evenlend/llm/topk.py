@@ -3,23 +3,25 @@
 Inner products become distances: with ``M`` the largest norm, a vector gets one more component ``sqrt(M^2 - |x|^2)`` and a
 query a zero, so that ``|q' - x'|^2 = |q|^2 + M^2 - 2 q.x`` and the nearest vectors are those with the largest products.
 
-Index: pivots are a bounded sample of distinct vectors, taken by a hash (``PIVOTS``). Every vector is keyed by its nearest pivot and
-the distance to it, cut into annuli of equal width. An annulus of more than ``CELL_ROWS`` vectors is dealt into parts by a
-hash, so that one hot vector is no one task's load.
+Index: pivots are vectors taken by a hash, as many as the square root of the rows (``PIVOTS`` at least). Every vector is keyed by its
+nearest pivot and the distance to it, cut into annuli of equal width. An annulus of more than ``CELL_ROWS`` vectors is dealt into
+parts by a hash, so that one hot vector is no one task's load.
 
 Search: a first bound on each query's k-th distance comes from a bounded sample (``PROBE``). The triangle inequality says
 that a vector of annulus [lo, hi] of pivot p is at least ``max(lo - d(q,p), d(q,p) - hi, 0)`` away. Annuli are expanded in
 rings: first the ones within a third of the bound, which tightens it, then those that still can hold a better vector.
 Inside a cell vectors are sorted by pivot distance, and each query reads only the slice that its bound allows; products are compared
-exactly, as integers. Queries meet cells through an equi-join on the cell, in blocks of ``QUERY_ROWS``.
+exactly, as integers. Queries meet cells through an equi-join on the cell, in blocks of ``QUERY_ROWS``; a cell's vectors are copied to
+the blocks that hold a query which reaches it, to no others.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, neither do rows with a null id;
 shorter vectors count as padded by zeros; repeated rows of one id and vector count once; a query never meets rows with its
-own id; ties go to the smaller id; fewer than k candidates give fewer rows. Products are exact while they fit 64 bits.
+own id; vectors of one id that differ are queries and candidates each; ties go to the smaller id; fewer than k candidates give fewer rows. Products are exact while they fit 64 bits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +37,9 @@ PROBE = 2048
 CELL_ROWS = 2048
 RINGS = 16
 QUERY_ROWS = 4096
-CHUNK = 512  # queries whose annuli are looked at together
+CHUNK = 512  # queries whose products are computed together
+REACH_CELLS = 1 << 20  # pairs of a query and an annulus whose bounds are looked at together
+WIDTH_PIVOTS = 1024  # pivots whose distances give the width of the annuli
 SLACK = 1e-9  # relative; distances are floating-point, the bounds give them room
 
 
@@ -81,17 +85,22 @@ def _sample(rows: DataFrame, n: int, seed: int, dims: int) -> tuple[np.ndarray,
     return got["vec_id"].to_numpy(np.int64), _matrix(got["v"], dims)
 
 
-def build_space(rows: DataFrame, pivots: int = PIVOTS) -> Space | None:
+def pivot_count(rows: int) -> int:
+    """Pivots of an index of ``rows`` vectors: both they and the vectors of one grow with the square root."""
+    return max(PIVOTS, math.isqrt(rows))
+
+
+def build_space(rows: DataFrame, pivots: int | None = None) -> Space | None:
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    top = rows.agg(F.max(F.size("v")).alias("dims"), F.max(square).alias("norm2")).first()
+    top = rows.agg(F.max(F.size("v")).alias("dims"), F.max(square).alias("norm2"), F.count(F.lit(1)).alias("n")).first()
     if top["dims"] is None:
         return None
     padded = rows.select("vec_id", _packed(F.col("v"), top["dims"]).alias("v"))
-    _, picked = _sample(padded, pivots, 1, top["dims"])
+    _, picked = _sample(padded, pivots or pivot_count(top["n"]), 1, top["dims"])
     bare = Space(top["dims"], float(top["norm2"]), np.zeros((0, top["dims"] + 1)), 1.0)
     lifted = np.unique(bare.lift(picked), axis=0)
     space = Space(bare.dims, bare.norm2, lifted, 1.0)
-    between = space.to_pivots(lifted)
+    between = space.to_pivots(lifted[:WIDTH_PIVOTS])
     return Space(bare.dims, bare.norm2, lifted, max(float(between.max()), 1.0) / RINGS)
 
 
@@ -144,32 +153,43 @@ def _probe(queries: DataFrame, space: Space, ids: np.ndarray, sample: np.ndarray
 
 
 def _reach(queries: DataFrame, space: Space, share: float, beyond: float) -> DataFrame:
-    """``query_id, v, bound, pivot, ring`` of the annuli within ``share`` of the bound, but not those within ``beyond`` of ``old``."""
+    """``place, pivot, ring`` of the annuli within ``share`` of the bound, but not those within ``beyond`` of ``old``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in (part.iloc[i : i + CHUNK] for part in frames for i in range(0, len(part), CHUNK)):
+        # Vectors lie on the sphere of radius sqrt(norm2), so no pivot distance exceeds its diameter.
+        rings = int(2 * np.sqrt(space.norm2) // space.width) + 2
+        chunk = max(1, REACH_CELLS // (rings * len(space.pivots)))
+        lo = np.arange(rings) * space.width
+        for frame in (part.iloc[i : i + chunk] for part in frames for i in range(0, len(part), chunk)):
             d = space.to_pivots(np.hstack([_matrix(frame["v"], space.dims).astype(np.float64), np.zeros((len(frame), 1))]))
             radius = np.sqrt(frame["bound"].to_numpy()) * (1 + SLACK)
             done = np.sqrt(frame["old"].to_numpy()) * (1 + SLACK) * beyond
-            # Vectors lie on the sphere of radius sqrt(norm2), so no pivot distance exceeds its diameter.
-            rings = int(2 * np.sqrt(space.norm2) // space.width) + 2
-            lo = np.arange(rings) * space.width
             away = np.maximum(np.maximum(lo[None, None, :] - d[:, :, None], d[:, :, None] - lo[None, None, :] - space.width), 0)
             q, p, r = np.nonzero((away <= (radius * share)[:, None, None]) & ((away > done[:, None, None]) | (beyond == 0)))
-            yield pd.DataFrame(
-                {"query_id": frame["vec_id"].to_numpy()[q], "v": frame["v"].to_numpy()[q], "bound": frame["bound"].to_numpy()[q], "pivot": p.astype(np.int32), "ring": r.astype(np.int32)}
-            )
+            yield pd.DataFrame({"place": frame["place"].to_numpy()[q], "pivot": p.astype(np.int32), "ring": r.astype(np.int32)})
+
+    return queries.mapInPandas(run, "place bigint, pivot int, ring int")
+
+
+def asked_cells(reach: DataFrame, index: DataFrame, blocks: int) -> DataFrame:
+    """``place, pivot, ring, part, block``: the parts of cells that exist and are reached, with the block of the query."""
+    parts = cut_lineage(index.select("pivot", "ring", "parts").distinct())
+    asked = reach.join(small_side(parts), ["pivot", "ring"])
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return cut_lineage(asked.withColumn("block", F.pmod(F.xxhash64("place", F.lit(3)), F.lit(blocks)).cast("int")))
+
 
-    return queries.mapInPandas(run, "query_id bigint, v array<bigint>, bound double, pivot int, ring int")
+def held_cells(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """The index rows of the asked cells, once for every block that asks."""
+    wanted = cut_lineage(asked.select(*[F.col(c).alias(c) for c in ("pivot", "ring", "part", "block")]).distinct())
+    return index.join(small_side(wanted), ["pivot", "ring", "part"])
 
 
-def _expand(reach: DataFrame, index: DataFrame, space: Space, k: int, blocks: int) -> DataFrame:
+def _expand(queries: DataFrame, reach: DataFrame, index: DataFrame, space: Space, k: int, blocks: int) -> DataFrame:
     """The k best of every query in each reached cell."""
-    parts = index.select("pivot", "ring", "parts").distinct()
-    asked = reach.join(small_side(cut_lineage(parts)), ["pivot", "ring"])
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(blocks)).cast("int"))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else index.withColumn("block", F.lit(0))
+    asked = asked_cells(reach, index, blocks)
+    held = held_cells(index, asked)
+    asked = asked.join(queries.select("place", F.col("vec_id").alias("query_id"), "v", "bound"), "place")
     cell = ["pivot", "ring", "part", "block"]
 
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -220,14 +240,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     asked = padded.filter(is_query)
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
     ids, sample = _sample(padded, PROBE, 2, space.dims)
-    queries = cut_lineage(_probe(asked, space, ids, sample, k)).withColumn("old", F.lit(0.0))
+    probed = _probe(asked, space, ids, sample, k).withColumn("place", F.monotonically_increasing_id())
+    queries = cut_lineage(probed).withColumn("old", F.lit(0.0))
 
-    near = cut_lineage(_ranked(_expand(_reach(queries, space, 1 / 3, 0.0), index, space, k, blocks), k))
+    near = cut_lineage(_ranked(_expand(queries, _reach(queries, space, 1 / 3, 0.0), index, space, k, blocks), k))
     full = near.filter(F.col("rank") == k).select(F.col("query_id").alias("__q"), F.col("score").alias("__s"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     better = F.when(F.col("__s").isNotNull(), F.greatest(square + space.norm2 - 2.0 * F.col("__s"), F.lit(0.0)))
     tight = queries.join(full, F.col("vec_id") == F.col("__q"), "left")
-    tight = tight.select("vec_id", "v", F.least("bound", F.coalesce(better, F.col("bound"))).alias("bound"), F.col("bound").alias("old"))
-    far = _expand(_reach(tight, space, 1.0, 1 / 3), index, space, k, blocks)
+    tight = tight.select("place", "vec_id", "v", F.least("bound", F.coalesce(better, F.col("bound"))).alias("bound"), F.col("bound").alias("old"))
+    tight = cut_lineage(tight)
+    far = _expand(tight, _reach(tight, space, 1.0, 1 / 3), index, space, k, blocks)
     both = near.select("query_id", "vec_id", "score").unionByName(far)
     return _ranked(both, k).select("query_id", "rank", "vec_id", "score")

@@ -133,6 +133,26 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got)) == plain_top(exact, 10)
 
 
+def test_top_k_copies_cells_to_the_blocks_that_ask(spark, monkeypatch):
+    """Twice the blocks do not copy the index once more: rows are held per (cell, block) that some query reaches."""
+    monkeypatch.setattr(topk, "CELL_ROWS", 16)
+    index = spark.createDataFrame([(i, i % 5, i % 3, (i // 15) % 2, 2) for i in range(600)], "vec_id long, pivot int, ring int, part int, parts int")
+    reach = spark.createDataFrame([(q, q % 5, 0) for q in range(40)] + [(40, 9, 9)], "place long, pivot int, ring int")
+    for blocks in (1, 4, 16):
+        asked = topk.asked_cells(reach, index, blocks)
+        assert asked.count() == 40 * 2  # both parts of every cell that exists
+        pairs = {(r["pivot"], r["block"]) for r in asked.collect()}
+        assert topk.held_cells(index, asked).count() == len(pairs) * 40
+    assert [topk.pivot_count(n) for n in (0, 900, 10**4, 10**8)] == [32, 32, 100, 10**4]
+
+
+def test_top_k_of_one_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0, 3).collect()
+    unit = 1024 * 1024
+    assert sorted(map(tuple, got)) == [(0, 1, 2, 3 * unit), (0, 2, 1, 2 * unit), (0, 3, 1, unit)]
+
+
 def test_top_k_of_few_or_no_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = topk.top_k(frame, F.col("vec_id") % 10 == 0, 10).collect()
