@@ -19,12 +19,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, small_side
 
 # Parts of a URL, query arguments that do not name content, and headers that a 304 response may update.
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
 TRACKING = r"^(utm_[^=]*|gclid|fbclid)(=|$)"
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
+# URLs and headers handed from one partition to the next are broadcast up to this count, and joined by a shuffle beyond it.
+HANDED_ROWS = 10_000
 FIELDS = ["record_id", "url", "captured_at", "status", "digest", "headers"]
 
 
@@ -56,14 +58,16 @@ def latest_responses(records: DataFrame) -> DataFrame:
     response = F.when(F.col("full"), F.struct("record_id", "digest", "headers"))
 
     spans = rows.groupBy("canonical_url").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).filter("lo < hi")
-    parts = rows.join(F.broadcast(spans), "canonical_url").groupBy("canonical_url", "pid")  # at most one URL per boundary
+    # At most one URL per boundary of partitions; counted before it is broadcast.
+    spans = small_side(cut_lineage(spans.select("canonical_url")), HANDED_ROWS)
+    parts = rows.join(spans, "canonical_url").groupBy("canonical_url", "pid")
     ends = parts.agg(F.max_by(response, F.when(F.col("full"), F.col("place"))).alias("end"))
     earlier = Window.partitionBy("canonical_url").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     handed = cut_lineage(ends.select("canonical_url", "pid", F.last("end", ignorenulls=True).over(earlier).alias("handed")))
 
     before = Window.partitionBy("pid", "canonical_url").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("local", F.last(response, ignorenulls=True).over(before)).filter(~F.col("full"))
-    joined = local.join(F.broadcast(handed), ["canonical_url", "pid"], "left")
+    joined = local.join(small_side(handed, HANDED_ROWS), ["canonical_url", "pid"], "left")
     seen = F.when(F.col("canonical_url").isNotNull() & F.col("captured_at").isNotNull(), F.coalesce("local", "handed"))
     return joined.select(*FIELDS, "canonical_url", seen.alias("seen"))
 
