@@ -11,9 +11,12 @@ has at least ``min_chars`` characters; shorter lines only match exactly.
    equal lines and common segments cost one row per probe. Few lines are left, and only their texts are gathered.
 4. The left lines meet per entry. A pair must also agree in its letter counts: an edit changes at most two of them by
    one, so a distance over ``2 * max_edits`` rules the pair out before a row is made.
-5. Pairs are verified with Spark's banded edit distance.
+5. Pairs are verified bit-parallel in a band (``within_edits``): bit ``d`` of the vector for ``e`` edits says that, at a place of
+   one line, the other is at the place ``d - max_edits`` further and ``e`` edits explain what lies before. A step shifts and joins
+   ``max_edits + 1`` vectors of ``2 * max_edits + 1`` bits, however long the lines are.
 
-Only DataFrame functions run. A line is known by a 64-bit hash of its text.
+Lines that occur more than ``HOT_ROWS`` times are few; what is known of them is broadcast to their rows after a count, so no task
+gets all rows of a line. Only DataFrame functions run. A line is known by a 64-bit hash of its text.
 
 Defined cases: null texts have no line, empty texts one empty line; ids may be null or repeated, rows with equal id and
 text are one document here; extra columns are ignored. Empty lines are a class like any other but ``dedup_lines`` never
@@ -22,6 +25,8 @@ removes them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut_lineage, free_names, small_side, text_key
@@ -30,6 +35,7 @@ from .components import components
 MAX_EDITS = 2
 MIN_CHARS = 20
 SIGNATURE = "abcdefghijklmnopqrstuvwxyz ,.-éü"
+HOT_ROWS = 1000  # a line with more rows than this is not shuffled by its key
 KEY = ["doc_id", "text_key"]
 
 
@@ -51,6 +57,35 @@ def _near(max_edits: int) -> Column:
     return parities & (apart <= 2 * max_edits)
 
 
+def within_edits(x: Column, y: Column, max_edits: int = MAX_EDITS) -> Column:
+    """Whether two texts are within ``max_edits`` edits, by bit vectors over the band of diagonals. Null if one is null."""
+    width, middle = 2 * max_edits + 1, max_edits
+    ones = F.lit((1 << width) - 1).cast("bigint")
+    xs, ys = F.split(x, ""), F.split(y, "")
+    bit = lambda d: F.lit(1 << d).cast("bigint")
+    none = F.lit(0).cast("bigint")
+
+    def match(c: Column, j: Column) -> Column:
+        """Bit ``d``: the character of ``x`` on diagonal ``d`` is the ``j``-th of ``y``."""
+        same = [F.when(F.get(xs, j + F.lit(d - middle)) == c, bit(d)).otherwise(none) for d in range(width)]
+        return reduce(Column.bitwiseOR, same)
+
+    def step(acc: Column, m: Column) -> Column:
+        found = [acc["e0"].bitwiseAND(m)]
+        for e in range(1, max_edits + 1):
+            old, fewer = acc[f"e{e}"], acc[f"e{e - 1}"]
+            put_in, left_out = F.shiftright(fewer, 1), F.shiftleft(found[-1], 1)
+            found.append(old.bitwiseAND(m).bitwiseOR(fewer).bitwiseOR(put_in).bitwiseOR(left_out).bitwiseAND(ones))
+        return F.struct(*[v.alias(f"e{e}") for e, v in enumerate(found)])
+
+    start = F.struct(*[F.lit(((1 << e + 1) - 1) << middle).cast("bigint").alias(f"e{e}") for e in range(max_edits + 1)])
+    end = F.length(x) - F.length(y) + middle
+    # The empty text splits into one empty character, which is no character of a line.
+    steps = F.when(F.length(y) > 0, F.transform(ys, match)).otherwise(F.array().cast("array<bigint>"))
+    last = F.aggregate(steps, start, step, lambda acc: acc[f"e{max_edits}"])
+    return (F.abs(end - middle) <= max_edits) & F.call_function("shiftright", last, end).bitwiseAND(F.lit(1).cast("bigint")).cast("boolean")
+
+
 def probe_shifts(max_edits: int, i: int, less: int) -> range:
     """Shifts from a segment's start where a line ``less`` characters longer than the indexed one may hold segment ``i``."""
     right = max_edits - i
@@ -105,7 +140,7 @@ def links(found: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     left = texts.select(F.col("line_key").alias("a"), F.col("line").alias("x"))
     right = texts.select(F.col("line_key").alias("b"), F.col("line").alias("y"))
     both = cut_lineage(pairs).join(left, "a").join(right, "b")
-    return both.filter(F.levenshtein("x", "y", max_edits) >= 0).select("a", "b")
+    return both.filter(within_edits(F.col("x"), F.col("y"), max_edits)).select("a", "b")
 
 
 def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -126,7 +161,12 @@ def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = M
     members = linked.join(classes, "line_key").groupBy("component").agg(F.min("class_at").alias("group_at"))
     grouped = linked.join(members, "component").select("line_key", "links", "group_at")
     classes = classes.join(grouped, "line_key", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    rows = narrow.join(classes.withColumn("group_at", F.coalesce("group_at", "class_at")), "line_key")
+    classes = cut_lineage(classes.withColumn("group_at", F.coalesce("group_at", "class_at")))
+    hot = cut_lineage(classes.filter(F.col("copies") > HOT_ROWS))
+    hot_key = cut_lineage(hot.select(F.col("line_key").alias("hot_key")))
+    often = narrow.join(small_side(hot), "line_key")
+    seldom = narrow.join(small_side(hot_key), F.col("line_key") == F.col("hot_key"), "left_anti")
+    rows = often.unionByName(seldom.join(classes.filter(F.col("copies") <= HOT_ROWS), "line_key"))
     same = F.col("doc_id").eqNullSafe(F.col("group_at.doc_id"))
     same = same & (F.col("text_key") == F.col("group_at.text_key")) & (F.col("line_no") == F.col("group_at.line_no"))
     return rows.select(*KEY, "line_no", "chars", "line_key", "copies", "links", "class_at", "group_at", same.alias("first"))

@@ -59,6 +59,26 @@ def mutate(rng, line, n):
     return "".join(w)
 
 
+def test_bit_vectors_match_edit_distance(spark):
+    rng = random.Random(21)
+    pairs = [("", ""), ("", "ab"), ("abc", ""), ("a", "a"), ("😀b", "b😀"), ("é" * 300, "é" * 299 + "x"), ("ab\U0001F600c", "abc"), ("e\u0301x", "éx"), (None, "a")]
+    for _ in range(600):
+        x = "".join(rng.choices("abé", k=rng.randrange(1, 14)))
+        pairs.append((x, mutate(rng, x, rng.randrange(min(5, len(x))))))
+        pairs.append((x, "".join(rng.choices("abé", k=rng.randrange(0, 14)))))
+    frame = spark.createDataFrame(pairs, "x string, y string")
+    for k in (1, 2, 4):
+        got = frame.select("x", "y", linededup.within_edits(F.col("x"), F.col("y"), k).alias("near")).collect()
+        assert len(got) == len(pairs)
+        for r in got:
+            assert r["near"] == (None if r["x"] is None else edits(r["x"], r["y"]) <= k), r
+
+
+def test_hot_lines(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT_ROWS", 3)
+    test_line_join_matches_all_pairs(spark)
+
+
 def line_docs():
     rng = random.Random(11)
     seeds = ["".join(rng.choices("abcdé ", k=rng.randrange(18, 60))) for _ in range(12)]
