@@ -21,7 +21,7 @@ from .categorical import closed_levels
 from .designs import ALIAS_TOLERANCE, INTERCEPT, Design, LogitModel
 from .metrics import auc_ci
 from .ordering import value_positions
-from .sparse_glm import fit_many, predictor, score_many
+from .sparse_glm import countable_keys, fit_many, pattern_counts, predictor, score_many
 
 SCORE_DIGITS = 9  # of screened scores; less than rounding apart, they count as tied
 WIDE = 64  # more columns than this are fitted and scored from sparse rows, not from one expression per column
@@ -304,19 +304,38 @@ def score_equations(model: LogitModel, df: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*cells)))
 
 
+def counted_levels(single: DataFrame) -> dict[str, tuple[str, ...]]:
+    """Levels of each feature in the order of ``closed_levels``, from pattern counts with one feature a model."""
+    rows = single.select("model", F.get("key", F.lit(0)).alias("level")).dropna().distinct().withColumn("folded", F.lower("level")).collect()
+    out: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r["folded"], r["level"])):
+        out.setdefault(r["model"], []).append(r["level"])
+    return {f: tuple(found) for f, found in out.items()}
+
+
 def screen_features(
     train: DataFrame, families: Mapping[str, Sequence[str]], label: str, test: DataFrame | None = None
 ) -> DataFrame:
     """One model per feature family: ``family, auc, lower, upper, crosses_half, keep``.
 
     A family is kept when the whole 95% interval of its AUC lies above one half. All families are fitted in the same passes
-    and scored in one; a family whose rows all have one label has no interval.
+    and scored in one, those of few combinations of levels from their counts; a family whose rows all have one label has no interval.
     """
-    union = make_design(train, label, list(dict.fromkeys(f for own in families.values() for f in own)))
-    designs = {n: Design(label, tuple(own), {f: union.levels[f] for f in own if f in union.levels}) for n, own in families.items()}
-    models = fit_many(train, designs)
-    scored = score_many(train if test is None else test, models, SCORE_DIGITS)
-    areas = auc_ci(scored, "y", "score", groups=["model"])
+    features = list(dict.fromkeys(f for own in families.values() for f in own))
+    text = [f for f in features if isinstance(train.schema[f].dataType, (T.StringType, T.BooleanType))]
+    single = pattern_counts(train, label, {f: [f] for f in text})
+    levels = counted_levels(single)
+    designs = {n: Design(label, tuple(own), {f: levels.get(f, ()) for f in own if f in text}) for n, own in families.items()}
+    keys = countable_keys(designs)
+    alone = {n: own[0] for n, own in keys.items() if len(own) == 1}
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f).alias("feature")) for n, f in alone.items()])) if alone else None
+    counted = pattern_counts(train, label, {n: own for n, own in keys.items() if n not in alone})
+    if alone:
+        pairs = train.sparkSession.range(1).select(named.alias("p")).select("p.name", "p.feature")  # one row per family
+        counted = counted.unionByName(single.join(F.broadcast(pairs), F.col("model") == F.col("feature")).select(F.col("name").alias("model"), "key", "y", "n"))
+    models = fit_many(train, designs, counted=counted)
+    scored = score_many(train, models, SCORE_DIGITS, counted) if test is None else score_many(test, models, SCORE_DIGITS)
+    areas = auc_ci(scored, "y", "score", groups=["model"], weight="n")
     return areas.select(
         F.col("model").alias("family"),
         "auc",

@@ -4,6 +4,9 @@ A row is one (column, value) pair per formula term, however many levels a factor
 equations of all models that have not converged yet, so the number of jobs grows with iterations, not with models. Sums arrive as
 (row, column) cells that occur; no row is ever a dense vector.
 
+Designs of a single factor, or of factors with at most ``PATTERNS`` combinations of levels, are counted first: equal rows are one row with
+a weight, and the passes of a fit, and its scores, read these counts only.
+
 Designs of more than ``DENSE`` columns are solved by blocks. The levels of the widest factor never occur together, so their block of the
 normal equations is diagonal and is eliminated; what is left has the size of the other columns. There the widest factor
 counts as the first term when redundant columns are looked for.
@@ -21,10 +24,13 @@ import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from .designs import ALIAS_TOLERANCE, INTERCEPT, Design, LogitModel
 
 DENSE = 1024
 CHUNK_ROWS = 2048
+PATTERNS = 1 << 20
+LEAST_STEP = math.inf  # squared, in units of a column's information; no bound yet
 
 
 @dataclass(frozen=True)
@@ -124,24 +130,92 @@ def _predict(beta: np.ndarray, index: np.ndarray, value: np.ndarray) -> np.ndarr
     return (beta[index] * value).sum(axis=1)
 
 
-def _pass(rows: DataFrame, models: Mapping[int, tuple[Encoder, np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def countable(design: Design) -> bool:
+    """Whether equal rows of the design are combined before it is fitted."""
+    factors = all(f in design.levels for f in design.features)
+    return factors and (len(design.features) == 1 or math.prod(len(design.levels[f]) for f in design.features) <= PATTERNS)
+
+
+def _label(name: str) -> Column:
+    return F.col(f"`{name}`").cast("double").alias("y")
+
+
+def pattern_counts(df: DataFrame, label: str, keys: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``model, key, y, n``: how often each combination of the values of a model's features (as text) occurs with each label."""
+    if not keys:
+        return df.sparkSession.createDataFrame([], "model string, key array<string>, y double, n bigint")
+    cells = [F.struct(F.lit(n).alias("model"), F.array(*[F.col(f"`{f}`").cast("string") for f in own]).alias("key")) for n, own in keys.items()]
+    rows = df.select(_label(label), F.inline(F.array(*cells)))
+    return cut_lineage(rows.groupBy("model", "key", "y").agg(F.count(F.lit(1)).alias("n")))
+
+
+def countable_keys(designs: Mapping[str, Design]) -> dict[str, tuple[str, ...]]:
+    return {n: d.features for n, d in designs.items() if countable(d)}
+
+
+def _keyed(design: Design) -> dict[str, int]:
+    """Places of the features in a key."""
+    return {f: i for i, f in enumerate(design.features)}
+
+
+def _by_model(batch: pa.RecordBatch, widths: Mapping[str, int]) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Counted rows of each model: its features as columns, the labels and the counts."""
+    for name in pc.unique(batch.column(0)).to_pylist():
+        if name not in widths:
+            continue
+        own, width = batch.filter(pc.equal(batch.column(0), name)), widths[name]
+        flat = pc.list_flatten(own.column(1))
+        parts = [flat.take(pa.array(np.arange(i, len(flat), width))) for i in range(width)]
+        yield name, pa.RecordBatch.from_arrays(parts, [f"f{i}" for i in range(width)]), own.column(2).to_numpy(), own.column(3).to_numpy()
+
+
+@dataclass(frozen=True)
+class Sources:
+    """Rows for the models that need them, ``pattern_counts`` for the numbers in ``grouped``; names of all models."""
+
+    rows: DataFrame
+    counted: DataFrame | None
+    names: tuple[str, ...]
+    grouped: frozenset[int]
+
+
+def _pass(sources: Sources, models: Mapping[int, tuple[Encoder, np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per model: rows, positives and loss; score; cells of the normal equations as (row, column) pairs and sums."""
+    few, many = ({m: s for m, s in models.items() if (m in sources.grouped) == wanted} for wanted in (True, False))
+    out = _sums(sources.counted, few, sources.names) if few else {}
+    return {**out, **_sums(sources.rows, many)} if many else out
+
+
+def _sums(
+    rows: DataFrame, models: Mapping[int, tuple[Encoder, np.ndarray]], names: Sequence[str] | None = None
+) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``_pass`` over one kind of rows; with ``names`` of all models those of ``pattern_counts``."""
+    numbers = {names[m]: m for m in models} if names else {}
+    widths = {n: len(models[m][0].inputs) for n, m in numbers.items()}
+
+    def parts_of(part: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
+        if names:
+            for name, own, labels, counts in _by_model(part, widths):
+                yield numbers[name], own, labels, counts
+        else:
+            labels = part.column(0).to_numpy()
+            for m in models:
+                yield m, part, labels, np.ones(len(part))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {m: (np.zeros(3), np.zeros(e.width), Cells(e.width)) for m, (e, _) in models.items()}
         for batch in batches:
             for at in range(0, len(batch), CHUNK_ROWS):
-                part = batch.slice(at, CHUNK_ROWS)
-                labels = part.column(0).to_numpy()
-                for m, (encoder, beta) in models.items():
+                for m, part, labels, counts in parts_of(batch.slice(at, CHUNK_ROWS)):
+                    encoder, beta = models[m]
                     index, value, complete = encoder.encode(part)
-                    y = labels[complete]
+                    y, n = labels[complete], counts[complete]
                     eta = _predict(beta, index, value)
                     p = 1.0 / (1.0 + np.exp(-eta))
                     size, score, cells = totals[m]
-                    size += len(y), y.sum(), (np.maximum(eta, 0) + np.log1p(np.exp(-np.abs(eta))) - y * eta).sum()
-                    score += np.bincount(index.ravel(), (value * (y - p)[:, None]).ravel(), encoder.width)
-                    cells.add(index, value, p * (1.0 - p))
+                    size += n.sum(), (n * y).sum(), (n * (np.maximum(eta, 0) + np.log1p(np.exp(-np.abs(eta))) - y * eta)).sum()
+                    score += np.bincount(index.ravel(), (value * (n * (y - p))[:, None]).ravel(), encoder.width)
+                    cells.add(index, value, n * p * (1.0 - p))
         for m, (size, score, cells) in totals.items():
             i, j, v = cells.rows()
             used = np.flatnonzero(score)
@@ -220,6 +294,12 @@ class Normal:
         out[self.apart[apart]] = levels[apart] / self.diagonal[apart] - self.ratio[apart] @ solved
         return out
 
+    def gain(self, step: np.ndarray) -> float:
+        """The largest square of a column's step, times the column's information."""
+        information = np.zeros(len(step))
+        information[self.rest], information[self.apart] = np.diag(self.core), self.diagonal
+        return float((step * step * information).max())
+
     def covariance(self) -> tuple[np.ndarray, np.ndarray]:
         """Variances of all columns (NaN for those left out), and the covariance of the columns not apart."""
         rest, apart = self._open()
@@ -238,15 +318,22 @@ def _inputs(df: DataFrame, designs: Sequence[Design]) -> tuple[list[Column], dic
     return columns, {f: i + 1 for i, f in enumerate(factors)}
 
 
-def fit_many(df: DataFrame, designs: Mapping[str, Design], max_iter: int = 50, tol: float = 1e-10) -> dict[str, LogitModel]:
+def fit_many(
+    df: DataFrame, designs: Mapping[str, Design], max_iter: int = 50, tol: float = 1e-10, counted: DataFrame | None = None
+) -> dict[str, LogitModel]:
     """Maximum-likelihood fits of several designs with the same label, each on its own complete rows.
 
     Models leave as their deviance settles; steps that make it worse are halved.
+    ``counted`` are the ``pattern_counts`` of the rows, if they are there already.
     """
     names = list(designs)
-    label = F.col(f"`{designs[names[0]].label}`").cast("double")
-    columns, places = _inputs(df, list(designs.values()))
-    rows = df.select(label.alias("y"), *columns).filter(F.col("y").isNotNull() & ~F.isnan("y")).persist(StorageLevel.MEMORY_AND_DISK)
+    grouped = {m for m, n in enumerate(names) if countable(designs[n])}
+    plain = [designs[n] for m, n in enumerate(names) if m not in grouped]
+    columns, places = _inputs(df, plain)
+    rows = df.select(_label(designs[names[0]].label), *columns).filter(F.col("y").isNotNull() & ~F.isnan("y")).persist(StorageLevel.MEMORY_AND_DISK)
+    if counted is None and grouped:
+        counted = pattern_counts(df, designs[names[0]].label, countable_keys(designs))
+    counted = None if counted is None else counted.filter(F.col("y").isNotNull() & ~F.isnan("y"))
     try:
         numbers = [c for c, t in rows.dtypes[1:] if t == "double"]
         fine = [F.avg(F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))).alias(c) for c in numbers]
@@ -254,13 +341,15 @@ def fit_many(df: DataFrame, designs: Mapping[str, Design], max_iter: int = 50, t
         means = {f: middle.get(f"f{i - 1}") or 0.0 for f, i in places.items()}
         states = {}
         for m, name in enumerate(names):
-            encoder = Encoder(designs[name], places, means)
-            states[m] = [encoder, np.zeros(encoder.width), None, math.inf, None]  # beta, step from, deviance there, columns used
+            encoder = Encoder(designs[name], _keyed(designs[name]) if m in grouped else places, means)
+            # beta, step from, deviance there, columns used, gain of the step that a settled deviance would take
+            states[m] = [encoder, np.zeros(encoder.width), None, math.inf, None, math.inf]
+        sources = Sources(rows, counted, tuple(names), frozenset(grouped))
         done: dict[str, LogitModel] = {}
         for turn in range(max_iter + 1):
-            found = _pass(rows, {m: (s[0], s[1]) for m, s in states.items()})
+            found = _pass(sources, {m: (s[0], s[1]) for m, s in states.items()})
             for m, (size, score, cells, sums) in found.items():
-                encoder, beta, before, old, used = states[m]
+                encoder, beta, before, old, used, last = states[m]
                 design, deviance = designs[names[m]], 2.0 * float(size[2])
                 if not 0 < size[1] < size[0]:
                     done[names[m]] = _one_class(design, int(size[0]))
@@ -271,14 +360,18 @@ def fit_many(df: DataFrame, designs: Mapping[str, Design], max_iter: int = 50, t
                     used = ~Normal(encoder.width, cells, sums, apart).redundant()
                     states[m][4] = used
                 normal = Normal(encoder.width, cells, sums, apart, used)
-                settled = abs(old - deviance) <= tol * (abs(deviance) + 0.1)
-                if settled or turn == max_iter:
-                    done[names[m]] = _model(design, encoder, beta, normal, size, means)
-                    del states[m]
-                elif deviance > old:
+                if deviance > old and abs(old - deviance) > tol * (abs(deviance) + 0.1) and turn < max_iter:
                     states[m][1] = (beta + before) / 2
-                else:
-                    states[m][1:4] = [beta + normal.step(np.where(used, score, 0.0)), beta, deviance]
+                    continue
+                step = normal.step(np.where(used, score, 0.0))
+                if turn == max_iter or abs(old - deviance) <= tol * (abs(deviance) + 0.1):
+                    gain = normal.gain(step)
+                    if turn == max_iter or gain <= LEAST_STEP or gain > last / 10:
+                        done[names[m]] = _model(design, encoder, beta, normal, size, means)
+                        del states[m]
+                        continue
+                    states[m][5] = gain
+                states[m][1:4] = [beta + step, beta, deviance]
             if not states:
                 break
         return {n: done[n] for n in names}
@@ -329,19 +422,42 @@ def predictor(model: LogitModel) -> Column:
     return walk(F.struct(*[F.col(f"`{f}`").cast("string" if f in design.levels else "double").alias(f"f{i}") for i, f in enumerate(design.features)]))
 
 
-def score_many(df: DataFrame, models: Mapping[str, LogitModel], digits: int) -> DataFrame:
-    """``model, y, score`` of the rows that each model can score, from one pass; scores rounded, so that equal fits tie."""
-    designs = [m.design for m in models.values()]
-    columns, places = _inputs(df, designs)
-    ready = [(n, Encoder(m.design, places), _beta(m)) for n, m in models.items()]
+def score_many(df: DataFrame, models: Mapping[str, LogitModel], digits: int, counted: DataFrame | None = None) -> DataFrame:
+    """``model, y, score, n`` of the rows that each model can score; scores rounded, so that equal fits tie.
+
+    A row stands for ``n`` equal ones: those of ``pattern_counts`` (``counted``, if they are there already) in countable designs, one row in others.
+    """
+    designs = {n: m.design for n, m in models.items()}
+    grouped = {n for n, d in designs.items() if countable(d)}
+    columns, places = _inputs(df, [d for n, d in designs.items() if n not in grouped])
+    ready = {n: (Encoder(d, _keyed(d) if n in grouped else places), _beta(models[n])) for n, d in designs.items()}
+    widths = {n: len(designs[n].features) for n in grouped}
+    schema = "model string, y int, score double, n bigint"
+    label = next(iter(designs.values())).label
+
+    def scores(name: str, part: pa.RecordBatch, y: pa.Array, n: pa.Array) -> pa.RecordBatch:
+        encoder, beta = ready[name]
+        index, value, complete = encoder.encode(part)
+        p = 1.0 / (1.0 + np.exp(-_predict(beta, index, value)))
+        y, n = (c.filter(pa.array(complete)) for c in (y, n))
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(p), pa.string()), y, pa.array(np.round(p, digits)), n], ["model", "y", "score", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, encoder, beta in ready:
-                index, value, complete = encoder.encode(batch)
-                p = 1.0 / (1.0 + np.exp(-_predict(beta, index, value)))
-                y = batch.column(0).filter(pa.array(complete))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(p), pa.string()), y, pa.array(np.round(p, digits))], ["model", "y", "score"])
-
-    label = F.col(f"`{designs[0].label}`").cast("int").alias("y")
-    return df.select(label, *columns).filter("y IS NOT NULL").mapInArrow(run, "model string, y int, score double")
+            for name in ready:
+                if name not in grouped:
+                    yield scores(name, batch, batch.column(0), pa.array(np.ones(len(batch), np.int64)))
+
+    def run_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, own, y, n in _by_model(batch, widths):
+                yield scores(name, own, pa.array(y.astype(np.int32)), pa.array(n))
+
+    out = []
+    if len(grouped) < len(ready):
+        rows = df.select(_label(label), *columns).filter("y IS NOT NULL").withColumn("y", F.col("y").cast("int"))
+        out.append(rows.mapInArrow(run, schema))
+    if grouped:
+        counted = pattern_counts(df, label, countable_keys(designs)) if counted is None else counted
+        out.append(counted.filter("y IS NOT NULL").mapInArrow(run_counted, schema))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])

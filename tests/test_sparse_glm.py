@@ -101,3 +101,27 @@ def test_screening_by_prefix(loans):
     assert families == {"AGE_": ["AGE_1", "AGE_2"], "AGE_OLD_": ["AGE_OLD_1"], "PAY_": ["PAY_1"]}
     out = {r["family"]: r for r in glm.screen_features(wide, families, "y").collect()}
     assert out["PAY_"]["keep"] and out["AGE_"]["keep"] and out["AGE_OLD_"]["auc"] < out["AGE_"]["auc"]
+
+
+def test_countable_designs_read_counts_and_give_the_row_fits(loans, monkeypatch):
+    designs = {"job": glm.make_design(loans, "y", ["job"]), "two": glm.make_design(loans, "y", ["g", "job"], interactions=[("g", "job")]), "age": glm.make_design(loans, "y", ["job", "age"])}
+    read = []
+    real = sg._sums
+    monkeypatch.setattr(sg, "_sums", lambda rows, models, names=None: read.append((names is not None, rows.count())) or real(rows, models, names))
+    found = sg.fit_many(loans, designs)
+    assert max(n for counted, n in read if counted) <= 2 * (8 + 18)  # combinations, not rows
+    scored = {r["model"]: r["n"] for r in sg.score_many(loans, found, 9).groupBy("model").agg(F.sum("n").alias("n")).collect()}
+    assert scored == {n: m.n for n, m in found.items()}
+    monkeypatch.setattr(sg, "countable", lambda design: False)
+    for name, want in sg.fit_many(loans, designs).items():
+        same(found[name], want)
+
+
+def test_screening_with_rows_of_weight(loans):
+    families = {"job": ["job"], "both": ["g", "coarse"], "age": ["age"], "again": ["job"]}
+    found = {r["family"]: r for r in glm.screen_features(loans, families, "y").collect()}
+    assert set(found) == set(families) and found["job"]["auc"] == found["again"]["auc"]
+    for name, own in families.items():
+        model = glm.logit_fit(loans, glm.make_design(loans, "y", own))
+        want = glm.auc_ci(glm.score_logit(model, loans).dropna(subset=["score", "y"]).withColumn("score", F.round("score", 9)), "y", "score").first()
+        assert found[name]["auc"] == pytest.approx(want["auc"]) and found[name]["lower"] == pytest.approx(want["lower"])
