@@ -30,7 +30,7 @@ from .designs import ALIAS_TOLERANCE, INTERCEPT, Design, LogitModel
 DENSE = 1024
 CHUNK_ROWS = 2048
 PATTERNS = 1 << 20
-LEAST_STEP = math.inf  # squared, in units of a column's information; no bound yet
+LEAST_STEP = 1e-14  # squared, in units of a column's information
 
 
 @dataclass(frozen=True)
@@ -323,7 +323,8 @@ def fit_many(
 ) -> dict[str, LogitModel]:
     """Maximum-likelihood fits of several designs with the same label, each on its own complete rows.
 
-    Models leave as their deviance settles; steps that make it worse are halved.
+    Models leave as their deviance settles and each column's own part of it has (a settled sum over many levels says little about one);
+    steps that make it worse are halved. Columns that separate the labels have no maximum: their steps do not shrink and end the fit.
     ``counted`` are the ``pattern_counts`` of the rows, if they are there already.
     """
     names = list(designs)

@@ -117,6 +117,14 @@ def test_countable_designs_read_counts_and_give_the_row_fits(loans, monkeypatch)
         same(found[name], want)
 
 
+def test_every_level_of_a_wide_factor_has_settled(spark):
+    """A total deviance that has settled to a share of 1e-10 says little about one of many levels."""
+    sizes = spark.range(2000).select("id", F.when(F.col("id") == 7, 1).otherwise(15).alias("p"))
+    rows = sizes.select(F.col("id").cast("string").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("i"), "p").select("k", (F.col("i") <= F.col("p")).cast("int").alias("y"))
+    got = sg.fit_many(rows, {"m": glm.make_design(rows, "y", ["k"])}, tol=1e-5)["m"].estimates
+    assert got["k_7"] == pytest.approx(math.log(1 / 29), abs=1e-7)
+
+
 def test_screening_with_rows_of_weight(loans):
     families = {"job": ["job"], "both": ["g", "coarse"], "age": ["age"], "again": ["job"]}
     found = {r["family"]: r for r in glm.screen_features(loans, families, "y").collect()}
