@@ -1,7 +1,7 @@
 """A corpus from raw documents to packed sequences, in stages that are written as Parquet and read again.
 
 Language identification drops texts in no known language, line dedup removes lines that repeat an earlier one, near-copy
-removal keeps one document of each group linked by 5-word Jaccard 0.8 or more, decontamination drops documents with a benchmark window, packing lays the
+removal keeps one document of each group linked by 5-word Jaccard 0.8 or more (candidates from op8's SimHash index, and from bands what its bits cannot reach), decontamination drops documents with a benchmark window, packing lays the
 rest out in sequences. All stages but the last return the columns of ``documents``; rows of the last are pieces.
 """
 

@@ -3,13 +3,16 @@
 Two texts are near copies if the sets of their ``WORDS``-word shingles have a Jaccard similarity of ``LEAST`` or more;
 groups are connected by such pairs.
 
-1. A text gets ``BANDS * ROWS`` minimum hashes of its shingles. Texts that agree in a whole band of ``ROWS`` are candidates;
-   a pair of similarity J is missed with probability ``(1 - J ** ROWS) ** BANDS``: 5e-5 at 0.8, 8e-7 at 0.85. Fields of one
-   64-bit SimHash cannot do this: at 0.8 about 10 of 64 bits differ.
-2. The sorted shingle hashes of texts with a candidate are written once; texts do not move any more.
-3. Every text is compared with one candidate, the smallest text it shares a band with. Where many texts have the same one, they
-   are dealt into units of ``BLOCK`` by a hash, each with that text's hashes. What is near forms first groups.
-4. A band whose members are all of one group needs nothing more. In the others (once, where bands have the same members) all pairs
+1. A text gets a SimHash of its distinct shingles. The hierarchical index of ``simhash`` (masked fields, runs in Gray order, differences
+   added up down the tree) gives pairs of fingerprints of at most ``MAX_BITS`` differing bits, which connect all such pairs; texts of one
+   fingerprint hang on the smallest of them. These are the first candidates.
+2. At similarity 0.8 about 10 of 64 bits differ, so that index alone would lose pairs. For those a text also gets ``BANDS * ROWS`` minimum hashes
+   of its shingles. Texts that agree in a whole band of ``ROWS`` are candidates too; a pair of similarity J is missed by the bands with
+   probability ``(1 - J ** ROWS) ** BANDS``: 5e-5 at 0.8, 8e-7 at 0.85.
+3. The sorted shingle hashes of texts with a candidate are written once; texts do not move any more.
+4. The pairs of the index, and of each text the pair with the smallest text it shares a band with, are compared by their exact shingle sets. Where
+   many texts have the same partner, they are dealt into units of ``BLOCK`` by a hash, each with that text's hashes. What is near forms first groups.
+5. A band whose members are all of one group needs nothing more. In the others (once, where bands have the same members) all pairs
    of different groups are compared. A band of more than ``BLOCK`` texts is dealt into blocks by a hash, and pairs of blocks are
    separate units of work, each of which writes a spanning forest of its near copies. So only texts that share a band are ever compared:
    no closure over bands joins what merely shares boilerplate.
@@ -30,9 +33,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import cut_lineage, free_names, release_buffers, small_side, text_key
 from .components import components
+from .simhash import fingerprint_links, majority
 
 WORDS = 5
 LEAST = 0.8
+MAX_BITS = 6
 BANDS = 25
 ROWS = 5
 BLOCK = 256
@@ -63,17 +68,30 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(raw[b * step : (b + 1) * step], b) for b in range(BANDS)]
 
 
-def band_rows(keyed: DataFrame) -> DataFrame:
-    """``band, key``: the distinct texts of every band."""
+def marked_texts(keyed: DataFrame) -> DataFrame:
+    """``key, fp, bands``: the SimHash (64 bits as a signed long) and the band keys of every distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([bands(shingles(t.as_py())) for t in batch.column(1)], dtype=np.uint64).reshape(-1).view(np.int64)
-            keys = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(keys)], ["band", "key"])
+            sets = [shingles(t.as_py()) for t in batch.column(1)]
+            fps = np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+            found = np.array([bands(s) for s in sets], dtype=np.uint64).reshape(-1).view(np.int64)
+            places = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.ListArray.from_arrays(places, pa.array(found))], ["key", "fp", "bands"])
             release_buffers()
 
-    return keyed.select("key", "text").mapInArrow(run, "band bigint, key bigint").distinct()
+    marked = keyed.select("key", "text").mapInArrow(run, "key bigint, fp bigint, bands array<bigint>")
+    return marked.dropDuplicates(["key"])
+
+
+def index_pairs(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``first, key``: pairs of texts of ``key, fp`` that the SimHash index links, enough to connect all it links."""
+    heads = cut_lineage(prints.groupBy("fp").agg(F.min("key").alias("head")))
+    links = fingerprint_links(heads.select("fp"), max_bits, direct=True)
+    one, two = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    between = links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("first"), F.greatest("x", "y").alias("key"))
+    same = prints.join(heads, "fp").filter("key <> head").select(F.col("head").alias("first"), "key")
+    return between.unionByName(same)
 
 
 def unit_links(sets: list[np.ndarray], side: np.ndarray, within: bool, least: float = LEAST, known: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -129,7 +147,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
 
 def star_links(tried: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """``a, b``: the pairs ``first, key`` of ``tried`` that are near copies; every key is there once."""
+    """``a, b``: the pairs ``first, key`` of ``tried`` that are near copies; every pair is there once."""
     sizes = tried.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     many = cut_lineage(sizes.filter("parts > 1"))
     dealt = tried.join(small_side(many), "first", "left").fillna(1, ["parts"])
@@ -211,14 +229,18 @@ def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``key, least, component``: every distinct text, its smallest document id and the group of near copies it is in."""
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     ids = cut_lineage(keyed.groupBy("key").agg(F.min("doc_id").alias("least")))
-    placed = cut_lineage(band_rows(keyed))
+    marked = cut_lineage(marked_texts(keyed))
+    linked = cut_lineage(index_pairs(marked.select("key", "fp")))
+    placed = marked.select(F.explode("bands").alias("band"), "key")
     shared = placed.groupBy("band").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut_lineage(placed.join(small_side(cut_lineage(shared.select("band", "first"))), "band").select("band", "first", "key"))
-    wanted = cut_lineage(members.select("key").distinct().join(ids, "key"))
+    paired = members.select("key").union(linked.select("key")).union(linked.select("first")).distinct()
+    wanted = cut_lineage(paired.join(ids, "key"))
     named = small_side(wanted.select(F.col("key").alias("k"), "least"))
     texts = keyed.join(named, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("key", "text")
     sets = cut_lineage(shingle_sets(texts))
-    tried = members.groupBy("key").agg(F.min("first").alias("first")).filter("first <> key")
+    starred = members.groupBy("key").agg(F.min("first").alias("first")).filter("first <> key")
+    tried = linked.unionByName(starred.select("first", "key")).distinct()
     near = cut_lineage(star_links(cut_lineage(tried), sets, block))
     rest = _verified(cut_lineage(open_bands(members, components(near, "a", "b"))), sets, block)
     groups = components(near.unionByName(rest), "a", "b").select(F.col("node").alias("key"), "component")

@@ -56,10 +56,11 @@ def fingerprint(text: str | None, size: int = WORDS) -> int:
     last = ends[size - 1 :].tolist() if len(found) >= size else [len(joined)]
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, last)], dtype="<u8")
-    return _majority(hashes)
+    return majority(hashes)
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the 64-bit hashes have."""
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):  # bounded memory for very long texts
         bits = np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -192,27 +193,32 @@ def linked_pairs(codes: np.ndarray, side: np.ndarray, within: bool, earlier: lis
             yield left[x[ok]], right[y[ok]]
 
 
-def _unit_links(codes: np.ndarray, side: np.ndarray, within: bool, earlier: list[int], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links of one unit: members and their roots."""
+def _unit_links(codes: np.ndarray, side: np.ndarray, within: bool, earlier: list[int], max_bits: int, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links of one unit: members and their roots, with ``direct`` pairs that are linked themselves."""
     order = np.argsort(gray_rank(codes), kind="stable")
     codes, side = codes[order], side[order]
     forest = _Forest(len(codes))
-    touched = False
+    touched, pairs = False, []
     for x, y in linked_pairs(codes, side, within, earlier, max_bits):
         for a, b in zip(x.tolist(), y.tolist()):
+            if direct and forest.root(a) != forest.root(b):
+                pairs.append((a, b))
             forest.join(a, b)
             touched = True
     if not touched:
         return codes[:0], codes[:0]
+    if direct:
+        return codes[[a for a, _ in pairs]], codes[[b for _, b in pairs]]
     roots = np.array([forest.root(i) for i in range(len(codes))])
     moved = roots != np.arange(len(codes))
     return codes[moved], codes[roots[moved]]
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE_ROWS, count: int | None = None) -> DataFrame:
+def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, node_rows: int = NODE_ROWS, count: int | None = None, direct: bool = False) -> DataFrame:
     """``a, b``: links that connect all fingerprints (column ``fp``, distinct) at ``max_bits`` or fewer differing bits.
 
-    ``count`` is the number of bit fields; by default it follows from the number of fingerprints.
+    ``count`` is the number of bit fields; by default it follows from the number of fingerprints. With ``direct`` every
+    pair is within ``max_bits`` itself; else a pair may be joined by others of its node.
     """
     parts = masks(count or field_count(fps.count(), max_bits, node_rows), max_bits)
     each = [F.struct(F.lit(j).alias("field"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for j, m in enumerate(parts)]
@@ -234,7 +240,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, node_rows: int =
         def solve(part: pd.DataFrame) -> pd.DataFrame:
             codes = part["fp"].to_numpy(np.int64).view(np.uint64)
             within = bool(part["lo"].iat[0] == part["hi"].iat[0])
-            a, b = _unit_links(codes, part["side"].to_numpy(), within, parts[: int(part["field"].iat[0])], max_bits)
+            a, b = _unit_links(codes, part["side"].to_numpy(), within, parts[: int(part["field"].iat[0])], max_bits, direct)
             return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
         held = None  # the last unit of a batch may go on in the next
