@@ -24,6 +24,7 @@ from .ordering import value_positions
 from .sparse_glm import countable_keys, fit_many, pattern_counts, predictor, score_many
 
 SCORE_DIGITS = 9  # of screened scores; less than rounding apart, they count as tied
+SUMMED = 8  # up to so many columns their products are summed as columns, without vectors
 WIDE = 64  # more columns than this are fitted and scored from sparse rows, not from one expression per column
 
 
@@ -53,7 +54,16 @@ def make_design(
 
 
 def gramian(df: DataFrame, columns: Mapping[str, Column], weight: Column | None = None) -> np.ndarray:
-    """``X' W X`` of [1, columns] over complete rows; only the p-by-p matrix reaches the driver."""
+    """``X' W X`` of [1, columns] over complete rows; only the p-by-p matrix reaches the driver. Few columns are plain sums."""
+    if len(columns) <= SUMMED:
+        each, w = [F.lit(1.0), *[c.cast("double") for c in columns.values()]], F.lit(1.0) if weight is None else weight
+        named = df.select(w.alias("w"), *[c.alias(f"x{i}") for i, c in enumerate(each)]).dropna()
+        pairs = [(i, j) for i in range(len(each)) for j in range(i + 1)]
+        sums = named.agg(*[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).first()
+        out = np.zeros((len(each), len(each)))
+        for (i, j), v in zip(pairs, sums):
+            out[i, j] = out[j, i] = v or 0.0
+        return out
     root = F.lit(1.0) if weight is None else F.sqrt(weight)
     scaled = [root.alias("x0"), *[(c * root).alias(f"x{i + 1}") for i, c in enumerate(columns.values())]]
     rows = df.select(*scaled).dropna()
@@ -87,8 +97,15 @@ def aliased_columns(gram: np.ndarray, names: Sequence[str], tolerance: float = A
     return dropped
 
 
+def counted_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` with their number ``n``: equal rows once, where at most half of the rows are different (by a sketch), else every row with 1."""
+    total, different = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*rows.columns))).first()
+    own = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("n")) if different * 2 <= total else rows.withColumn("n", F.lit(1.0))
+    return own.repartition(work_partitions(rows.sparkSession))
+
+
 def logit_fit(df: DataFrame, design: Design, max_iter: int = 50, tol: float = 1e-10) -> LogitModel:
-    """Maximum-likelihood fit on the complete rows. Aliased columns are left out and reported.
+    """Maximum-likelihood fit on the complete rows, equal ones with their number as weight. Aliased columns are left out and reported.
 
     Designs of more than ``WIDE`` columns are fitted from sparse rows.
     """
@@ -99,30 +116,33 @@ def logit_fit(df: DataFrame, design: Design, max_iter: int = 50, tol: float = 1e
     rows = df.select(
         F.col(f"`{design.label}`").cast("double").alias("y"), *[c.alias(n) for n, c in zip(names, columns.values())]
     ).dropna()
-    rows = rows.repartition(work_partitions(df.sparkSession)).persist(StorageLevel.MEMORY_AND_DISK)
+    times = F.col("n")
+    rows = counted_rows(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        middle = rows.agg(*[F.avg(n).alias(n) for n in names]).first() if names else {}
+        middle = rows.agg(*[(F.sum(F.col(n) * times) / F.sum(times)).alias(n) for n in names]).first() if names else {}
         centred = {n: F.col(n) - F.lit(float(middle[n] or 0.0)) for n in names}
-        dropped = set(aliased_columns(gramian(rows, centred), names))
+        dropped = set(aliased_columns(gramian(rows, centred, times), names))
         used = [n for n in names if n not in dropped]
         labels = dict(zip(names, columns))
         if not used:
             return _null_model(rows, design, tuple(labels[n] for n in names))
-        moved = rows.select("y", *[centred[n].alias(n) for n in used])
-        data = VectorAssembler(inputCols=used, outputCol="features").transform(moved).select("y", "features")
+        # The solver starts a row at (weight * y + 0.5) / (weight + 1): weights beyond 1 would start it at the label itself and may diverge.
+        most = rows.agg(F.max("n")).first()[0]
+        moved = rows.select("y", (times / F.lit(most)).alias("n"), *[centred[n].alias(n) for n in used])
+        data = VectorAssembler(inputCols=used, outputCol="features").transform(moved).select("y", "n", "features")
         fit = GeneralizedLinearRegression(
-            family="binomial", link="logit", labelCol="y", maxIter=max_iter, tol=tol
+            family="binomial", link="logit", labelCol="y", weightCol="n", maxIter=max_iter, tol=tol
         ).fit(data)
         slopes = [float(v) for v in fit.coefficients]
         offsets = np.array([1.0, *[-float(middle[n]) for n in used]])
         eta = _balanced_sum([F.lit(fit.intercept), *[centred[n] * F.lit(v) for n, v in zip(used, slopes)]])
         p = 1.0 / (1.0 + F.exp(-eta))
-        covariance = np.linalg.inv(gramian(rows, {n: centred[n] for n in used}, p * (1.0 - p)))
+        covariance = np.linalg.inv(gramian(rows, {n: centred[n] for n in used}, times * p * (1.0 - p)))
         errors = np.sqrt(np.diag(covariance))[1:].tolist()
         intercept = fit.intercept + float(offsets[1:] @ slopes)
         estimates = {INTERCEPT: intercept, **{labels[n]: v for n, v in zip(used, slopes)}}
         intercept_error = math.sqrt(float(offsets @ covariance @ offsets))
-        n, positives, loss = rows.agg(F.count(F.lit(1)), F.sum("y"), F.sum(_log_loss(F.col("y"), eta))).first()
+        n, positives, loss = rows.agg(F.sum(times).cast("bigint"), F.sum(times * F.col("y")), F.sum(times * _log_loss(F.col("y"), eta))).first()
         deviance = 2.0 * loss
         return LogitModel(
             design,
@@ -148,7 +168,7 @@ def _null_deviance(n: int, positives: float) -> float:
 
 
 def _null_model(rows: DataFrame, design: Design, dropped: tuple[str, ...]) -> LogitModel:
-    n, positives = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
+    n, positives = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint"), F.sum(F.col("n") * F.col("y"))).first()
     share = positives / n if n else float("nan")
     inside = 0.0 < share < 1.0
     odds = math.log(share / (1 - share)) if inside else float("nan")
@@ -251,12 +271,13 @@ def residuals(model: LogitModel, df: DataFrame, keep: Sequence[str]) -> DataFram
     )
 
 
-def influence(model: LogitModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+def influence(model: LogitModel, df: DataFrame, keep: Sequence[str], positions: bool = True) -> DataFrame:
     """What the fit plots show, for every complete row.
 
     Adds to ``residuals``: Pearson residual, leverage (the row's quadratic form in the fitted covariance, times its weight),
     both residuals standardised by it, Cook's distance, and the plotting position of the standardised deviance residual
-    with its normal quantile. Equal residuals share the middle of their positions.
+    with its normal quantile. Equal residuals share the middle of their positions. Without ``positions`` those two columns are left out,
+    and no row is shuffled.
     """
     label = model.design.label
     columns = {n: c for n, c in model.design.columns().items() if n in model.estimates}
@@ -288,6 +309,8 @@ def influence(model: LogitModel, df: DataFrame, keep: Sequence[str]) -> DataFram
             "cook": F.pow(F.col("pearson_residual") / left, 2) * F.col("leverage") / float(model.parameters),
         }
     )
+    if not positions:
+        return scored
     steps = value_positions(scored, "std_deviance")
     edge = F.when(F.col("n") <= 10, 0.375).otherwise(0.5)
     steps = steps.withColumn("position", (F.col("middle") - edge) / (F.col("n") + 1.0 - 2.0 * edge))

@@ -187,3 +187,38 @@ def test_influence_measures(loans, fitted):
     from statistics import NormalDist
 
     assert got["normal_quantile"].to_numpy() == pytest.approx([NormalDist().inv_cdf(v) for v in got["position"]], abs=1e-9)
+
+
+def test_equal_rows_are_fitted_once(spark, loans, fitted, monkeypatch):
+    """Repeated rows give the fit of the weighted table, from as many rows as differ."""
+    many = loans.crossJoin(spark.range(40).select(F.col("id").alias("copy"))).drop("copy")
+    held, real = [], glm.counted_rows
+    monkeypatch.setattr(glm, "counted_rows", lambda rows: held.append(real(rows)) or held[-1])
+    model = glm.logit_fit(many, fitted.design)
+    assert held[0].count() == 1500 and model.n == 40 * fitted.n
+    assert model.deviance == pytest.approx(40 * fitted.deviance, rel=1e-9)
+    for term, b in fitted.estimates.items():
+        assert model.estimates[term] == pytest.approx(b, abs=1e-7)
+        assert model.errors[term] * math.sqrt(40) == pytest.approx(fitted.errors[term], rel=1e-6)
+    assert glm.logit_fit(loans, fitted.design).n == fitted.n and held[1].count() == 1500
+
+
+def test_influence_without_positions_shuffles_nothing(loans, fitted):
+    whole = glm.influence(fitted, loans, ["id"])
+    plain = glm.influence(fitted, loans, ["id"], positions=False)
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    key = lambda rows: sorted(tuple(round(v, 9) for v in r) for r in rows)
+    assert key(plain.drop("y").collect()) == key(whole.drop("y", "position", "normal_quantile").collect())
+
+
+def test_few_patterns_of_many_rows(spark):
+    """Heavy weights on rows that differ in the label only; the fit is the plain one."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(1, 51, 40_000) / 50
+    y = (rng.random(40_000) < 0.25).astype(float)
+    df = spark.createDataFrame(list(zip(y.tolist(), x.tolist())), "y double, a double")
+    many = df.crossJoin(spark.range(50)).select("y", "a")
+    model = glm.logit_fit(many, glm.make_design(many, "y", ["a"]))
+    b, p, _ = newton(np.column_stack([np.ones(len(x)), x]), y)
+    assert [model.estimates[t] for t in ("(Intercept)", "a")] == pytest.approx(list(b), abs=1e-8)
+    assert model.n == 2_000_000
