@@ -58,14 +58,17 @@ def _near(max_edits: int) -> Column:
 
 
 def within_edits(x: Column, y: Column, max_edits: int = MAX_EDITS) -> Column:
-    """Whether two texts are within ``max_edits`` edits, by bit vectors over the band of diagonals. Null if one is null."""
+    """Whether two texts are within ``max_edits`` edits, by bit vectors over the band of diagonals. Null if one is null.
+
+    The texts are split once: a one-element array binds their characters to a lambda's variable, where an expression
+    would be evaluated again for every character.
+    """
     width, middle = 2 * max_edits + 1, max_edits
     ones = F.lit((1 << width) - 1).cast("bigint")
-    xs, ys = F.split(x, ""), F.split(y, "")
     bit = lambda d: F.lit(1 << d).cast("bigint")
     none = F.lit(0).cast("bigint")
 
-    def match(c: Column, j: Column) -> Column:
+    def match(xs: Column, c: Column, j: Column) -> Column:
         """Bit ``d``: the character of ``x`` on diagonal ``d`` is the ``j``-th of ``y``."""
         same = [F.when(F.get(xs, j + F.lit(d - middle)) == c, bit(d)).otherwise(none) for d in range(width)]
         return reduce(Column.bitwiseOR, same)
@@ -80,8 +83,10 @@ def within_edits(x: Column, y: Column, max_edits: int = MAX_EDITS) -> Column:
 
     start = F.struct(*[F.lit(((1 << e + 1) - 1) << middle).cast("bigint").alias(f"e{e}") for e in range(max_edits + 1)])
     end = F.length(x) - F.length(y) + middle
+    split = F.array(F.struct(F.split(x, "").alias("xs"), F.split(y, "").alias("ys")))
+    steps = F.get(F.transform(split, lambda s: F.transform(s["ys"], lambda c, j: match(s["xs"], c, j))), F.lit(0))
     # The empty text splits into one empty character, which is no character of a line.
-    steps = F.when(F.length(y) > 0, F.transform(ys, match)).otherwise(F.array().cast("array<bigint>"))
+    steps = F.when(F.length(y) > 0, steps).otherwise(F.array().cast("array<bigint>"))
     last = F.aggregate(steps, start, step, lambda acc: acc[f"e{max_edits}"])
     return (F.abs(end - middle) <= max_edits) & F.call_function("shiftright", last, end).bitwiseAND(F.lit(1).cast("bigint")).cast("boolean")
 

@@ -74,6 +74,15 @@ def test_bit_vectors_match_edit_distance(spark):
             assert r["near"] == (None if r["x"] is None else edits(r["x"], r["y"]) <= k), r
 
 
+def test_long_lines_are_split_once(spark):
+    near = linededup.within_edits(F.col("x"), F.col("y"))
+    assert str(near).count("split(") == 2  # inside a lambda a split runs again for every character
+    rng = random.Random(22)
+    line = "".join(rng.choices("abcdé ", k=20_000))
+    pairs = [(line, line[:9_000] + "q" + line[9_000:]), (line, line[2:]), (line, line[3:]), (line, "x" + line[1:-1] + "xy")]
+    assert [r[0] for r in spark.createDataFrame(pairs, "x string, y string").select(near).collect()] == [True, True, False, False]
+
+
 def test_hot_lines(spark, monkeypatch):
     monkeypatch.setattr(linededup, "HOT_ROWS", 3)
     test_line_join_matches_all_pairs(spark)
