@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from evenlend.llm import linededup, simhash
+from evenlend.llm import components as components_module, linededup, simhash
 from evenlend.llm.components import components
 
 
@@ -36,6 +36,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_few_links_need_no_exchange(spark, monkeypatch):
+    rng = random.Random(2)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 430)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(31)
+    rounds, cut = [], components_module.cut_lineage
+    monkeypatch.setattr(components_module, "cut_lineage", lambda df: rounds.append(df) or cut(df))
+    few = {tuple(r) for r in components(links, "a", "b").collect()}
+    one = [df.rdd.getNumPartitions() for df in rounds[1:]]
+    rounds.clear()
+    assert few == {tuple(r) for r in components(links, "a", "b", few=0).collect()}
+    assert one and set(one) == {1}
+    assert len(rounds) == len(one) + 1
+
+
 def edits(x, y):
     row = list(range(len(y) + 1))
     for i, a in enumerate(x):
