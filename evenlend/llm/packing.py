@@ -34,6 +34,7 @@ GROUP_ROWS = 4096
 END_ID = 2
 CACHE_PARTS = 600_000
 BATCH_BYTES = 8 << 20  # of texts whose parts are looked up together
+RUN_PARTS = 1 << 16  # parts that are looked up, or gathered, at once within a batch
 SEED = 5
 SIMPLE = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 
@@ -65,6 +66,10 @@ class PartEncoder:
         self.letters = _byte_letters()
         self.marks = [b"", self._whole("."), self._whole(",")]
         self.limit = cache_parts // 2
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache."""
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -114,32 +119,46 @@ class PartEncoder:
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of all texts, one after another, and how many each text has. Null texts have none.
 
-        Only the distinct parts of the batch are looked up; their identifiers are then gathered by offsets.
+        Only the distinct parts of the batch are looked up; their identifiers are then gathered by offsets, some parts at a time, as the
+        offsets take several times the room of the identifiers.
         """
         texts = pc.fill_null(texts, "")
         # May hold the name of a special token, which is matched before anything is split.
         special = pc.match_substring(texts, "<|")
         split = pc.split_pattern(pc.replace_substring(pc.if_else(special, "", texts), "\n", " "), " ")
         coded = pc.list_flatten(split).dictionary_encode()
-        known = self._parts(coded.dictionary)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        pool = np.frombuffer(b"".join(known), "<u4")
+        firsts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()  # every row has a part
+        del split
         part = coded.indices.to_numpy(zero_copy_only=False)
-        each = size[part]
-        ends = np.cumsum(each)
-        starts = (np.cumsum(size) - size)[part]
-        ids = pool[np.repeat(starts - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        counts = np.diff(bounds)
+        size, pool = self._pool(coded.dictionary)
+        heads = np.cumsum(size, dtype=np.int32) - size
+        ids = np.concatenate([np.zeros(0, "<u4"), *(_gathered(pool, heads, size, part[i : i + RUN_PARTS]) for i in range(0, len(part), RUN_PARTS))])
+        counts = np.add.reduceat(size[part], firsts, dtype=np.int64) if len(firsts) else np.zeros(0, np.int64)
         if special.true_count:
-            rows = np.split(ids, bounds[1:-1])
+            rows = np.split(ids, np.cumsum(counts)[:-1])
             for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
                 rows[i] = np.frombuffer(self._whole(texts[i].as_py()), "<u4")
             ids, counts = np.concatenate(rows), np.array([len(r) for r in rows])
         return ids, counts
 
+    def _pool(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many identifiers each of the distinct parts has, and all of them."""
+        sizes, pools = [np.zeros(0, np.int32)], []
+        for i in range(0, len(parts), RUN_PARTS):
+            known = self._parts(parts.slice(i, RUN_PARTS))
+            sizes.append(np.fromiter(map(len, known), np.int32, len(known)) // 4)
+            pools.append(b"".join(known))
+        return np.concatenate(sizes), np.frombuffer(b"".join(pools), "<u4")
+
+
+def _gathered(pool: np.ndarray, heads: np.ndarray, size: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Identifiers of ``part``, one after another; a part's lie in ``pool`` from its head."""
+    each = size[part]
+    ends = np.cumsum(each, dtype=np.int64)
+    return pool[np.repeat(heads[part] - (ends - each), each) + np.arange(ends[-1])]
+
 
-_ENCODERS: dict[str, PartEncoder] = {}  # a worker keeps its encoder, and with it the bounded cache, from task to task
+_ENCODERS: dict[str, PartEncoder] = {}  # a worker keeps its tokenizer from task to task; the cache goes with its task, as other work follows
 
 
 def _encoder(path: str) -> PartEncoder:
@@ -165,24 +184,28 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(place)
-        for batch in batches:
-            first = 0
-            for texts in _slices(batch.column(1)):
-                ids, counts = encoder.encode_batch(texts)
-                total = counts + 1
-                whole = np.full(total.sum(), END_ID, "<u4")
-                whole[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
-                pieces = -(-total // capacity)
-                row = np.repeat(np.arange(len(counts)), pieces)
-                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
-                length = np.minimum(capacity, total[row] - start)
-                at = (np.cumsum(total) - total)[row] + start
-                view = memoryview(whole).cast("B")
-                crc = [zlib.crc32(view[4 * i : 4 * (i + n)]) for i, n in zip(at.tolist(), length.tolist())]
-                columns = [batch.column(0).take(pa.array(row + first)), *[pa.array(x, pa.int64()) for x in (start, length, crc, total[row])]]
-                kept = [pa.array([view[4 * i : 4 * (i + n)].tobytes() for i, n in zip(at.tolist(), length.tolist())], pa.binary())] if keep_ids else []
-                first += len(texts)
-                yield pa.RecordBatch.from_arrays([*columns, *kept], names)
+        try:
+            for batch in batches:
+                first = 0
+                for texts in _slices(batch.column(1)):
+                    ids, counts = encoder.encode_batch(texts)
+                    total = counts + 1
+                    whole = np.insert(ids, np.cumsum(counts), END_ID)
+                    del ids
+                    pieces = -(-total // capacity)
+                    row = np.repeat(np.arange(len(counts)), pieces)
+                    start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                    length = np.minimum(capacity, total[row] - start)
+                    at = (np.cumsum(total) - total)[row] + start
+                    view = memoryview(whole).cast("B")
+                    crc = [zlib.crc32(view[4 * i : 4 * (i + n)]) for i, n in zip(at.tolist(), length.tolist())]
+                    columns = [batch.column(0).take(pa.array(row + first)), *[pa.array(x, pa.int64()) for x in (start, length, crc, total[row])]]
+                    kept = [pa.array([view[4 * i : 4 * (i + n)].tobytes() for i, n in zip(at.tolist(), length.tolist())], pa.binary())] if keep_ids else []
+                    first += len(texts)
+                    yield pa.RecordBatch.from_arrays([*columns, *kept], names)
+                release_buffers()
+        finally:
+            encoder.forget()
             release_buffers()
 
     kind = dict(docs.dtypes)["doc_id"]

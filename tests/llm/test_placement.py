@@ -1,9 +1,11 @@
 """Packing, sharding, exact search and revisit resolution against plain versions."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +32,25 @@ TEXTS = [
 ]
 
 
+def test_identifiers_of_a_batch_take_little_more_room_than_themselves():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    plain, ours = Tokenizer.from_file(path), packing.PartEncoder(path)
+    texts = ["of the 7 words, " * 20_000, "", None, "x<|endoftext|>y", "the end\n" * 30_000]
+    batch = pa.array(texts, pa.string())
+    tracemalloc.start()
+    ids, _ = ours.encode_batch(pa.array(["of the 7 words, " * 300_000], pa.string()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(ids), peak / len(ids)  # offsets of all identifiers at once took over 30 bytes each
+    ids, counts = ours.encode_batch(batch)
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    ours.forget()
+    assert not ours.young and not ours.old
+
+
 def test_tokens_equal_those_of_whole_texts():
     from tokenizers import Tokenizer
 
