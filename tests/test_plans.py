@@ -110,6 +110,14 @@ def test_scorecard_table(wide):
     assert {v for r in out.select(*flags).collect() for v in r} == {"0", "1"} and out.count() == 60
 
 
+def test_scorecard_rows_of_one_file_are_dealt_over_the_tasks(spark):
+    rows = spark.range(4000).coalesce(1).selectExpr("id AS SK_ID_CURR", "int(id % 2) AS Target", "double(id) AS AMT_INCOME_TOTAL", "id % 3 AS CODE_GENDER")
+    out = ap.scorecard_table(rows, merged={})
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 1000 and sum(sizes) == 4000
+    assert out.select("SK_ID_CURR").distinct().count() == 4000
+
+
 @pytest.fixture(scope="module")
 def lenders(spark, tmp_path_factory):
     rng = random.Random(9)
