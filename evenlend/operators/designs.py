@@ -2,24 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 INTERCEPT = "(Intercept)"
 ALIAS_TOLERANCE = 1e-10
 
 
+class LongLevels(Sequence):
+    """Levels that stay a table ``level, folded``; they reach the driver only where they are read one by one."""
+
+    def __init__(self, table: DataFrame, size: int, reference: str) -> None:
+        self.table, self.size, self.reference = table, size, reference
+
+    @cached_property
+    def _all(self) -> tuple[str, ...]:
+        rows = sorted(self.table.collect(), key=lambda r: (r["folded"], r["level"]))
+        return (self.reference, *[r["level"] for r in rows if r["level"] != self.reference])
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        return self._all[at]
+
+
+class LongTerms(Mapping):
+    """One column of a table ``term, estimate, se`` as a mapping, without its NULLs; the intercept is at hand, the others are read when asked for."""
+
+    def __init__(self, table: DataFrame, value: str, size: int, intercept: float) -> None:
+        self.table, self.value, self.size, self.intercept = table, value, size, intercept
+
+    @cached_property
+    def _all(self) -> dict[str, float]:
+        rows = self.table.select("term", self.value).dropna().collect()
+        return {INTERCEPT: self.intercept, **{r["term"]: r[self.value] for r in rows}}
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._all)
+
+    def __getitem__(self, term: str) -> float:
+        return self.intercept if term == INTERCEPT else self._all[term]
+
+
+class LongNames(Sequence):
+    """The terms of such a table without an estimate."""
+
+    def __init__(self, table: DataFrame, first: Sequence[str], size: int) -> None:
+        self.table, self.first, self.size = table, first, size
+
+    @cached_property
+    def _all(self) -> tuple[str, ...]:
+        return (*self.first, *[r["term"] for r in self.table.filter("estimate IS NULL").select("term").collect()])
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        return self._all[at]
+
+
 @dataclass(frozen=True)
 class Design:
     """Which columns a model uses, in order. The first level of a factor is its reference."""
 
     label: str
     features: tuple[str, ...]
-    levels: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    levels: Mapping[str, Sequence[str]] = field(default_factory=dict)
     interactions: tuple[tuple[str, str], ...] = ()
 
+    @property
+    def long(self) -> LongLevels | None:
+        """The levels of the only feature, if they are a table."""
+        found = self.levels.get(self.features[0]) if len(self.features) == 1 and not self.interactions else None
+        return found if isinstance(found, LongLevels) else None
+
     def blocks(self) -> dict[str, dict[str, Column]]:
         """Model columns by formula term."""
         single: dict[str, dict[str, Column]] = {}
@@ -57,7 +120,8 @@ class LogitModel:
     null_deviance: float
     aic: float
     n: int
-    aliased: tuple[str, ...] = field(default=())
+    aliased: Sequence[str] = field(default=())
+    table: DataFrame | None = None  # ``term, estimate, se`` of all terms but the intercept, where they are too many for the driver
 
     @property
     def parameters(self) -> int:

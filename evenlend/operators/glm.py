@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,13 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.formulas import chi2_tail, normal_quantiles, normal_two_sided
-from ..session import work_partitions
-from .categorical import closed_levels
-from .designs import ALIAS_TOLERANCE, INTERCEPT, Design, LogitModel
+from ..functions.formulas import chi2_tail, normal_quantiles, normal_two_sided, two_sided
+from ..session import LEVEL_CAP, cut_lineage, work_partitions
+from .categorical import closed_levels, label_counts, ranked_levels
+from .designs import ALIAS_TOLERANCE, INTERCEPT, Design, LogitModel, LongLevels
 from .metrics import auc_ci
 from .ordering import value_positions
-from .sparse_glm import countable_keys, fit_many, pattern_counts, predictor, score_many
+from .sparse_glm import countable_keys, fit_long, fit_many, long_predictors, pattern_counts, predictor, score_many
 
 SCORE_DIGITS = 9  # of screened scores; less than rounding apart, they count as tied
 SUMMED = 8  # up to so many columns their products are summed as columns, without vectors
@@ -35,14 +36,22 @@ def make_design(
     exclude: Sequence[str] = (),
     interactions: Sequence[tuple[str, str]] = (),
     reference: str = "sorted",
+    cap: int = LEVEL_CAP,
 ) -> Design:
     """All columns but the label and ``exclude`` (or the listed ``features``); text columns are factors.
 
-    ``reference`` picks the reference level of each factor: the first in sorted order or the most frequent.
+    ``reference`` picks the reference level of each factor: the first in sorted order or the most frequent. A factor that is the only
+    feature keeps its levels as a table if they are more than ``cap``.
     """
     names = [c for c in (features or df.columns) if c not in {label, *exclude}]
     text = [n for n in names if isinstance(df.schema[n].dataType, (T.StringType, T.BooleanType))]
-    found = closed_levels(df, text) if text else {}
+    if text and len(names) == 1 and not interactions:
+        table = cut_lineage(label_counts(df, text))
+        if table.count() > cap:
+            return Design(label, tuple(names), {names[0]: _long_levels(table, reference)})
+        found = ranked_levels(table, text)
+    else:
+        found = closed_levels(df, text) if text else {}
     levels = {}
     for n in text:
         ranked = [(v, k) for v, k in found[n] if v is not None]
@@ -53,6 +62,13 @@ def make_design(
     return Design(label, tuple(names), levels, tuple(tuple(i) for i in interactions))
 
 
+def _long_levels(counts: DataFrame, reference: str) -> LongLevels:
+    table = counts.dropna(subset=["level"]).select("level", "n", F.lower("level").alias("folded"))
+    order = [(-F.col("n")).alias("few")] if reference == "frequent" else []
+    size, first = table.agg(F.count(F.lit(1)), F.min(F.struct(*order, "folded", "level")).alias("first")).first()
+    return LongLevels(table.select("level", "folded"), size, first["level"])
+
+
 def gramian(df: DataFrame, columns: Mapping[str, Column], weight: Column | None = None) -> np.ndarray:
     """``X' W X`` of [1, columns] over complete rows; only the p-by-p matrix reaches the driver. Few columns are plain sums."""
     if len(columns) <= SUMMED:
@@ -107,8 +123,10 @@ def counted_rows(rows: DataFrame) -> DataFrame:
 def logit_fit(df: DataFrame, design: Design, max_iter: int = 50, tol: float = 1e-10) -> LogitModel:
     """Maximum-likelihood fit on the complete rows, equal ones with their number as weight. Aliased columns are left out and reported.
 
-    Designs of more than ``WIDE`` columns are fitted from sparse rows.
+    Designs of more than ``WIDE`` columns are fitted from sparse rows, factors with a table of levels from the counts of the levels.
     """
+    if design.long is not None:
+        return fit_long(df, design, max_iter, tol)
     if len(design.names()) > WIDE:
         return fit_many(df, {"wide": design}, max_iter, tol)["wide"]
     columns = design.columns()
@@ -201,20 +219,31 @@ def predicted(model: LogitModel) -> Column:
 
 
 def score_logit(model: LogitModel, df: DataFrame, out: str = "score") -> DataFrame:
+    if model.table is not None:
+        level = F.col(f"`{model.design.features[0]}`").cast("string")
+        joined = df.withColumn("__level", level).join(long_predictors(model), "__level", "left")
+        scored = joined.withColumn(out, 1.0 / (1.0 + F.exp(-F.col("__link"))))
+        return scored.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*df.columns, out])])
     return df.withColumn(out, predicted(model))
 
 
 def coefficients(spark: SparkSession, models: Mapping[str, LogitModel]) -> DataFrame:
     """Coefficient tables of several models: ``model, term, estimate, se, z, p_value``; aliased terms are NULL."""
-    rows = []
+    rows, long = [], []
     for name, m in models.items():
+        if m.table is not None:
+            first = [(INTERCEPT, m.estimates[INTERCEPT], m.errors[INTERCEPT])] + [(t, None, None) for t in m.aliased.first]
+            terms = m.table.unionByName(spark.createDataFrame(first, "term string, estimate double, se double"))
+            z = F.when(F.col("se") != 0.0, F.col("estimate") / F.col("se"))
+            long.append(terms.select(F.lit(name).alias("model"), "term", "estimate", "se", z.alias("z")).withColumn("p_value", two_sided(F.col("z"))))
+            continue
         for term, b in m.estimates.items():
             se = m.errors[term]
             z = b / se if se else None
             rows.append((name, term, b, se, z, normal_two_sided(z) if z is not None else None))
         rows += [(name, term, None, None, None, None) for term in m.aliased]
     schema = "model string, term string, estimate double, se double, z double, p_value double"
-    return spark.createDataFrame(rows, schema)
+    return reduce(DataFrame.unionByName, long, spark.createDataFrame(rows, schema))
 
 
 def pseudo_r2(spark: SparkSession, models: Mapping[str, LogitModel]) -> DataFrame:

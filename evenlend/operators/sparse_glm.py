@@ -10,6 +10,9 @@ a weight, and the passes of a fit, and its scores, read these counts only.
 Designs of more than ``DENSE`` columns are solved by blocks. The levels of the widest factor never occur together, so their block of the
 normal equations is diagonal and is eliminated; what is left has the size of the other columns. There the widest factor
 counts as the first term when redundant columns are looked for.
+
+The only factor of a design may have a table of levels (``LongLevels``). Then every level's log odds depend on its rows and positives
+alone; passes read how often each such pair occurs, and the estimates stay a table.
 """
 
 from __future__ import annotations
@@ -25,11 +28,12 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .designs import ALIAS_TOLERANCE, INTERCEPT, Design, LogitModel
+from .designs import ALIAS_TOLERANCE, INTERCEPT, Design, LogitModel, LongNames, LongTerms
 
 DENSE = 1024
 CHUNK_ROWS = 2048
 PATTERNS = 1 << 20
+FEW_PAIRS = 1 << 16  # different numbers of rows and positives that the driver holds
 LEAST_STEP = 1e-14  # squared, in units of a column's information
 
 
@@ -46,7 +50,7 @@ class Encoder:
     """Rows of a design as one column number and value per term; column 0 is the intercept."""
 
     def __init__(self, design: Design, inputs: Mapping[str, int], means: Mapping[str, float] | None = None) -> None:
-        self.levels = [design.levels.get(f) for f in design.features]
+        self.levels = [tuple(design.levels[f]) if f in design.levels else None for f in design.features]
         self.inputs = [inputs[f] for f in design.features]
         self.means = [0.0 if f in design.levels or not means else means[f] for f in design.features]
         sizes = [1 if found is None else max(0, len(found) - 1) for found in self.levels]
@@ -403,6 +407,121 @@ def _model(design: Design, encoder: Encoder, beta: np.ndarray, normal: Normal, s
     return LogitModel(design, estimates, errors, 2.0 * loss, null, 2.0 * loss + 2.0 * len(estimates), n, aliased)
 
 
+def _level_pass(n: np.ndarray, s: np.ndarray, eta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss, information and Newton step of levels with ``n`` rows and ``s`` positives at their log odds."""
+    p = 1.0 / (1.0 + np.exp(-eta))
+    loss = n * (np.maximum(eta, 0) + np.log1p(np.exp(-np.abs(eta)))) - s * eta
+    weight = n * p * (1.0 - p)
+    return loss, weight, np.divide(s - n * p, weight, out=np.zeros(len(n)), where=weight > 0)
+
+
+def _log_odds(n: np.ndarray, s: np.ndarray, moves: Sequence[bool]) -> np.ndarray:
+    """Where levels are after moves that all of them made: a Newton step, or half of the way back."""
+    eta = before = np.zeros(len(n))
+    for step in moves:
+        if step:
+            before, eta = eta, eta + _level_pass(n, s, eta)[2]
+        else:
+            eta = (eta + before) / 2
+    return eta
+
+
+def _level_sums(pairs: DataFrame | np.ndarray, moves: Sequence[bool], reference: tuple[float, float]) -> np.ndarray:
+    """Rows, positives, loss and information of all levels, and the largest square of a column's step times its information."""
+    first = tuple(np.array([x]) for x in reference)
+
+    def sums(n: np.ndarray, s: np.ndarray, times: np.ndarray) -> list[float]:
+        own = float(_level_pass(*first, _log_odds(*first, moves))[2][0])
+        loss, weight, step = _level_pass(n, s, _log_odds(n, s, moves))
+        gain = np.where(weight > 0, weight * (step - own) ** 2, 0.0).max(initial=0.0)
+        # The reference's step is that of the intercept, whose information is everybody's.
+        return [*[(times * x).sum() for x in (n, s, loss, weight)], gain, own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sums(*[batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n", "s", "times")])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in found], names)
+
+    names = ["n", "s", "loss", "weight", "gain", "own"]
+    if isinstance(pairs, np.ndarray):
+        out = np.array(sums(*pairs))
+    else:
+        parts = pairs.mapInArrow(run, ", ".join(f"{c} double" for c in names))
+        out = np.array([x or 0.0 for x in parts.agg(*[F.sum(c) for c in names[:4]], *[F.max(c) for c in names[4:]]).first()])
+    out[4] = max(out[4], out[3] * out[5] ** 2)
+    return out[:5]
+
+
+def fit_long(df: DataFrame, design: Design, max_iter: int = 50, tol: float = 1e-10) -> LogitModel:
+    """``fit_many`` of a single factor with a table of levels: the same steps and the same end, but no list of levels on the driver."""
+    (name,), levels = design.features, design.long
+    rows = df.select(_label(design.label), F.col(f"`{name}`").cast("string").alias("level")).filter("y IS NOT NULL AND NOT isnan(y) AND level IS NOT NULL")
+    sums = rows.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    known = levels.table.select("level").join(sums, "level", "left")
+    counts = cut_lineage(known.select("level", F.coalesce("n", F.lit(0)).cast("double").alias("n"), F.coalesce("s", F.lit(0.0)).alias("s")))
+    pairs = cut_lineage(counts.filter("n > 0").groupBy("n", "s").agg(F.count(F.lit(1)).alias("times")))
+    if pairs.count() <= FEW_PAIRS:
+        pairs = pairs.select("n", "s", "times").toPandas().to_numpy(float).T.reshape(3, -1)
+    reference = tuple(counts.filter(F.col("level") == levels.reference).select("n", "s").first())
+    moves: list[bool] = []
+    old = last = math.inf
+    for turn in range(max_iter + 1):
+        size = _level_sums(pairs, moves, reference)
+        deviance = 2.0 * size[2]
+        if not 0 < size[1] < size[0]:
+            return _long_model(design, counts, None, reference, size, 0.0)
+        settled = abs(old - deviance) <= tol * (abs(deviance) + 0.1)
+        if deviance > old and not settled and turn < max_iter:
+            moves.append(False)
+            continue
+        if turn == max_iter or settled:
+            if turn == max_iter or size[4] <= LEAST_STEP or size[4] > last / 10:
+                break
+            last = size[4]
+        old = deviance
+        moves.append(True)
+    return _long_model(design, counts, moves, reference, size, deviance)
+
+
+def _long_model(design: Design, counts: DataFrame, moves: Sequence[bool] | None, reference: tuple[float, float], size: np.ndarray, deviance: float) -> LogitModel:
+    """The model of what each level has come to; without moves the labels are all the same, and no level has an estimate."""
+    (name,), levels = design.features, design.long
+    n, positives = int(size[0]), float(size[1])
+    first = tuple(np.array([x]) for x in reference)
+    seen = reference[0] > 0  # a reference without rows leaves the other levels their own log odds, and no intercept
+    base, variance = (0.0, 0.0) if moves is None or not seen else (float(_log_odds(*first, moves)[0]), float(1.0 / _level_pass(*first, _log_odds(*first, moves))[1][0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, hits = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "s"))
+            none = rows <= 0 if moves is not None else np.ones(len(rows), bool)
+            eta = _log_odds(rows, hits, moves or ())
+            with np.errstate(divide="ignore"):
+                error = np.sqrt(1.0 / _level_pass(rows, hits, eta)[1] + variance)
+            terms = [f"{name}_{v}" for v in batch.column("level").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(eta - base, mask=none), pa.array(error, mask=none)], ["term", "estimate", "se"])
+
+    others = counts.filter(F.col("level") != levels.reference)
+    table = others.mapInArrow(run, "term string, estimate double, se double")
+    empty = 0 if moves is None else others.filter("n <= 0").count()
+    used = 0 if moves is None else len(levels) - 1 - empty
+    gone = () if moves is None or seen else (INTERCEPT,)
+    aliased = LongNames(table, gone, len(gone) + len(levels) - 1 - used)
+    if moves is None:
+        base, error, null = math.nan, math.nan, 0.0
+    else:
+        error, null = math.sqrt(variance), -2.0 * sum(k * math.log(k / n) for k in (positives, n - positives) if k > 0)
+    estimates, errors = LongTerms(table, "estimate", used + 1, base), LongTerms(table, "se", used + 1, error)
+    return LogitModel(design, estimates, errors, deviance, null, deviance + 2.0 * (used + 1), n, aliased, table)
+
+
+def long_predictors(model: LogitModel) -> DataFrame:
+    """``__level, __link``: the linear predictor of every level of a factor with a table of levels."""
+    levels, (name,), base = model.design.long, model.design.features, model.estimates[INTERCEPT]
+    others = model.table.select(F.substring("term", len(name) + 2, 2**31 - 1).alias("__level"), (F.lit(base) + F.coalesce("estimate", F.lit(0.0))).alias("__link"))
+    return others.unionByName(others.sparkSession.createDataFrame([(levels.reference, base)], "__level string, __link double"))
+
+
 def _beta(model: LogitModel) -> np.ndarray:
     return np.array([model.estimates.get(n, 0.0) for n in [INTERCEPT, *model.design.names()]])
 

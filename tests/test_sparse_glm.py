@@ -133,3 +133,53 @@ def test_screening_with_rows_of_weight(loans):
         model = glm.logit_fit(loans, glm.make_design(loans, "y", own))
         want = glm.auc_ci(glm.score_logit(model, loans).dropna(subset=["score", "y"]).withColumn("score", F.round("score", 9)), "y", "score").first()
         assert found[name]["auc"] == pytest.approx(want["auc"]) and found[name]["lower"] == pytest.approx(want["lower"])
+
+
+def test_levels_beyond_the_driver_give_the_same_fit(spark):
+    """A factor alone with more levels than the cap keeps them, and its estimates, as tables."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(3, 40, 300)
+    level = np.repeat(np.arange(300), sizes)
+    y = (rng.random(len(level)) < 0.2 + 0.6 * (level % 7) / 7).astype(int)
+    y[level == 3] = 1  # one label only
+    rows = [(int(a), f"l{b}") for a, b in zip(y, level)] + [(None, "unlabelled"), (1, None), (None, None)]
+    df = spark.createDataFrame(rows, "y int, level string").repartition(5)
+    want = glm.logit_fit(df, glm.make_design(df, "y", ["level"]))
+    design = glm.make_design(df, "y", ["level"], cap=200)
+    got = glm.logit_fit(df, design)
+    assert got.table is not None and design.long.reference == want.design.levels["level"][0]
+    often = [glm.make_design(df, "y", ["level"], reference="frequent", cap=cap).levels["level"] for cap in (200, 1000)]
+    assert list(often[0]) == list(often[1])
+    assert got.parameters == want.parameters and len(got.aliased) == len(want.aliased) == 1
+    same(got, want)
+    assert list(got.aliased) == list(want.aliased) == ["level_unlabelled"]
+    tables = [{r["term"]: r for r in glm.coefficients(spark, {"m": m}).collect()} for m in (got, want)]
+    assert set(tables[0]) == set(tables[1])
+    for term, r in tables[1].items():
+        for c in ("estimate", "se", "z", "p_value"):
+            assert tables[0][term][c] == (None if r[c] is None else pytest.approx(r[c], rel=1e-5, abs=1e-7))
+    other = df.limit(300).unionByName(spark.createDataFrame([(1, "new"), (1, None), (0, "unlabelled")], df.schema))
+    scores = [sorted((str(r["level"]), r["y"] or 0, -1 if r["score"] is None else round(r["score"], 7)) for r in glm.score_logit(m, other).collect()) for m in (got, want)]
+    assert scores[0] == scores[1]
+
+
+def test_long_factor_of_one_label_and_an_unlabelled_reference(spark):
+    rows = [(1, f"l{i}") for i in range(80)] + [(None, "a")]
+    df = spark.createDataFrame(rows, "y int, level string")
+    got, want = (glm.logit_fit(df, glm.make_design(df, "y", ["level"], cap=cap)) for cap in (10, 100))
+    assert got.table is not None and math.isnan(got.estimates[glm.INTERCEPT]) and len(got.aliased) == len(want.aliased)
+    more = df.unionByName(spark.createDataFrame([(0, f"l{i}") for i in range(80) for _ in range(2)], df.schema))
+    got = glm.logit_fit(more, glm.make_design(more, "y", ["level"], cap=10))
+    assert got.estimates["level_l3"] == pytest.approx(math.log(1 / 2)) and got.estimates[glm.INTERCEPT] == 0.0
+    assert glm.score_logit(got, more).filter("level <> 'a' AND abs(score - 1 / 3) > 1e-6").count() == 0
+
+
+def test_the_driver_reads_no_level_of_a_long_factor(spark, monkeypatch):
+    monkeypatch.setattr(sg, "FEW_PAIRS", 0)
+    df = spark.range(4000).selectExpr("CAST(id % 2 AS INT) AS y", "CAST(id DIV 8 AS STRING) AS level")
+    design = glm.make_design(df, "y", ["level"], cap=100)
+    read = lambda *_: pytest.fail("levels reached the driver")
+    for held in (type(design.long), sg.LongTerms, sg.LongNames):
+        monkeypatch.setattr(held, "_all", property(read))
+    table = glm.coefficients(spark, {"m": glm.logit_fit(df, design)})
+    assert table.filter("abs(estimate) < 1e-9").count() == 500
